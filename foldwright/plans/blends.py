@@ -173,7 +173,7 @@ def _greedy_sql() -> str:
             f"""try{s} AS (SELECT x.model, weight, round(avg(sqrt(greatest(weight * weight * own + 2 * weight * (1 - weight) * cx + (1 - weight) * (1 - weight) * g.g, 0))), 9) AS score
             FROM cross{s} x JOIN own{s} o USING (iter, fold) JOIN g ON g.iter = x.iter AND g.fold = x.fold AND g.i = x.model AND g.j = x.model, w GROUP BY ALL)""",
             f"top{s} AS (SELECT model, min_by(weight, (score, weight)) AS weight, min(score) AS score FROM try{s} GROUP BY model)",
-            f"""best{s} AS (SELECT {s} AS step, t.model, weight, t.score FROM top{s} t, best{p} b WHERE b.score - t.score >= 0.000001::DOUBLE ORDER BY t.score, t.model LIMIT 1)""",
+            f"""best{s} AS (SELECT {s} AS step, t.model, t.weight, t.score FROM top{s} t, best{p} b WHERE b.score - t.score >= 0.000001::DOUBLE ORDER BY t.score, t.model LIMIT 1)""",
             f"c{s} AS (SELECT c.model, c.c * b.weight + CASE WHEN c.model = b.model THEN 1 - b.weight ELSE 0 END AS c FROM c{p} c, best{s} b)",
         ]
     picks = " UNION ALL ".join(f"SELECT * FROM best{s}" for s in range(STEPS + 1))
