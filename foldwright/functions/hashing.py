@@ -23,4 +23,5 @@ def hash_uniform(seed: int | Column, *keys: Column) -> Column:
 def hex_prefix_bucket(hex_text: Column, buckets: int) -> Column:
     """Equal-width bucket of a hex digest, increasing with the digest's text order."""
     head = F.conv(F.substring(hex_text, 1, 8), 16, 10).cast("bigint")
-    return F.shiftright(head * F.lit(int(buckets)), 32).cast("bigint")
+    # never null, which spares the join on it a null filter that would hash every row again
+    return F.coalesce(F.shiftright(head * F.lit(int(buckets)), 32).cast("bigint"), F.lit(0).cast("bigint"))

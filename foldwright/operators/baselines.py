@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.operators.features import leave_fold_out_means, leave_fold_out_moments
-from foldwright.session import small_side
+from foldwright.session import small_side, small_sides
 
 
 def fold_mean(df: DataFrame, y: str, out: str = "mean") -> DataFrame:
@@ -71,11 +71,11 @@ def baseline_library(df: DataFrame, y: str, x: str, groups: dict[str, str], ridg
         slope(0.0).alias("_ols"),
         slope(ridge).alias("_ridge"),
     )
-    df = df.join(small_side(stats), ["iter", "fold"])
-    for name, group in groups.items():
-        per_group = leave_fold_out_means(df, {name: F.col(y)}, [group]).drop("n_train")
-        df = df.join(small_side(per_group), ["iter", "fold", group], "left")
-        df = df.withColumn(name, F.coalesce(name, "mean"))
+    per_group = [leave_fold_out_means(df, {name: F.col(y)}, [group]).drop("n_train") for name, group in groups.items()]
+    overall, *lookups = small_sides([stats, *per_group])
+    df = df.join(overall, ["iter", "fold"])
+    for (name, group), lookup in zip(groups.items(), lookups):
+        df = df.join(lookup, ["iter", "fold", group], "left").withColumn(name, F.coalesce(name, "mean"))
     lines = {n: F.col("mean") + F.col(f"_{n}") * (F.col(x) - F.col("_mx")) for n in ("ols", "ridge")}
     return df.withColumns(lines).drop("_mx", "_ols", "_ridge")
 

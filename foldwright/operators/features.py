@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions import scalar as S
+from foldwright.operators.encoding import value_positions
 
 # The model features, in the order of the feature frame.
 FEATURES = [
@@ -219,14 +220,11 @@ def feature_drop_list(
 
 
 def label_encode(df: DataFrame, col: str, out: str) -> DataFrame:
-    """0-based position of a category among the sorted distinct values.
+    """0-based position of a category among the sorted distinct values; null stays null.
 
     The distinct values are ranked on their own: a hot category is one row by then.
     """
-    from foldwright.operators.encoding import value_positions
-
-    codes = value_positions(df, col, out)
-    return df.join(codes, df[col].eqNullSafe(codes[col])).select(df["*"], codes[out])
+    return df.join(value_positions(df, col, out), col, "left")
 
 
 def one_hot(df: DataFrame, col: str, values: Sequence[str], prefix: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.functions.hashing import hash_hex
-from foldwright.operators.ranking import ranked_by_hash, ranked_by_value
+from foldwright.operators.ranking import is_within_first, ranked_by_hash, ranked_by_value
 from foldwright.session import materialise
 
 # The seed of repeat i is 711 + 1000 * (i + 1).
@@ -66,15 +66,13 @@ def value_strata(df: DataFrame, col: str, bins: int, row_id: str = "row_id", out
 
 def tail_holdout(df: DataFrame, by: str, size: int, row_id: str = "row_id", out: str = "is_valid") -> DataFrame:
     """Flag the last ``size`` rows along ``by`` as validation rows."""
-    ranked = ranked_by_value(df, by, False, row_id, rank="_rank")
-    return ranked.withColumn(out, (F.col("_rank") <= size).cast("int")).drop("_rank")
+    return df.withColumn(out, is_within_first(df, by, False, row_id, size).cast("int"))
 
 
 def head_fraction(df: DataFrame, by: str, fraction: float, row_id: str = "row_id", out: str = "is_valid") -> DataFrame:
     """Flag the first int(fraction * n) + 1 rows along ``by`` as validation rows."""
-    ranked = ranked_by_value(df, by, True, row_id, rank="_rank", total="_n")
-    size = F.floor(F.lit(float(fraction)) * F.col("_n")) + 1
-    return ranked.withColumn(out, (F.col("_rank") <= size).cast("int")).drop("_rank", "_n")
+    size = int(fraction * df.count()) + 1
+    return df.withColumn(out, is_within_first(df, by, True, row_id, size).cast("int"))
 
 
 def in_training(df: DataFrame, fold: int, iteration: int = 0) -> DataFrame:

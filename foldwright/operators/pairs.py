@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.hashing import hash_uniform
 from foldwright.operators.ranking import ranked_by_value
-from foldwright.session import materialise
+from foldwright.session import materialise, small_side
 
 
 def preference_pairs(
@@ -25,7 +25,7 @@ def preference_pairs(
     ranked = ranked_by_value(df.select(row_id, y, *carry), y, True, row_id, rank="_rank", total="_n")
     ranked = materialise(ranked, "pair-ranks")  # used twice below
     runs = ranked.groupBy(y).agg((F.min("_rank") - 1).alias("_start"), F.count(F.lit(1)).alias("_run"))
-    draws = ranked.join(runs, y).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))))
+    draws = ranked.join(small_side(runs), y).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(per_row - 1))))
     free = F.col("_n") - F.col("_run")
     at = F.floor(hash_uniform(seed, F.col(row_id), F.col("draw")) * free).cast("bigint")
     at = F.when(at < F.col("_start"), at).otherwise(at + F.col("_run")) + 1

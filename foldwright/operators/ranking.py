@@ -154,3 +154,36 @@ def ranked_by_hash(
     """1-based rank in the pseudo-random order given by a column of md5 text."""
     coded = hash_buckets(df, hex_col, buckets)
     return scan_in_order(coded, [F.col(hex_col).asc(), F.col(tie).asc()], groups, **scan)
+
+
+def row_at(
+    df: DataFrame, by: str, ascending: bool, tie: str, position: int, buckets: int | None = None
+) -> tuple[float, object] | None:
+    """(``by``, ``tie``) of the row at a 1-based position of the ordering, or None beyond the end.
+
+    Counts per bucket find the bucket that holds the position; only that bucket is ordered.
+    """
+    coded = ordering_buckets(df.select(*dict.fromkeys([by, tie])), by, ascending, tie, buckets)
+    counts = coded.groupBy(CODE).count().orderBy(CODE).collect()  # one row per bucket
+    passed = 0
+    for row in counts:
+        if passed + row["count"] >= position:
+            key = F.col(by).asc_nulls_last() if ascending else F.col(by).desc_nulls_first()
+            inside = coded.filter(F.col(CODE) == row[CODE])
+            local = F.row_number().over(Window.partitionBy(CODE).orderBy(key, F.col(tie).asc()))
+            at = inside.withColumn("_local", local).filter(F.col("_local") == position - passed).first()
+            return at[by], at[tie]
+        passed += row["count"]
+    return None
+
+
+def is_within_first(df: DataFrame, by: str, ascending: bool, tie: str, size: int) -> Column:
+    """Whether a row is among the first ``size`` of the ordering: a comparison with one boundary row,
+    so the table itself is neither sorted nor shuffled. ``by`` must not be null."""
+    if size <= 0:
+        return F.lit(False)
+    last = row_at(df, by, ascending, tie, size)
+    if last is None:
+        return F.lit(True)
+    before = F.col(by) < last[0] if ascending else F.col(by) > last[0]
+    return before | ((F.col(by) == last[0]) & (F.col(tie) <= last[1]))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,14 +35,13 @@ def scratch_root(spark: SparkSession) -> str:
     It is chosen here only when the session names none and runs on one machine;
     on a cluster a machine-local folder would be lost with its executor.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not context.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
-        root = tempfile.mkdtemp(prefix="run-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+        root = context.getCheckpointDir()
     return root
 
 
@@ -72,6 +73,13 @@ def small_side(df: DataFrame, max_rows: int = 20_000) -> DataFrame:
     return F.broadcast(df.sparkSession.createDataFrame(fetched, df.schema))
 
 
+def small_sides(frames: list[DataFrame], max_rows: int = 20_000) -> list[DataFrame]:
+    """``small_side`` of several frames, fetched side by side."""
+    wrap = inheritable_thread_target(frames[0].sparkSession)
+    with ThreadPool(len(frames)) as pool:
+        return pool.map(wrap(lambda df: small_side(df, max_rows)), frames)
+
+
 def range_buckets(spark: SparkSession) -> int:
     """Buckets used to split an ordering: twice the shuffle width, so that no task gets one whole group."""
     return min(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2), 20_000)
