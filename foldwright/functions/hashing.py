@@ -20,8 +20,19 @@ def hash_uniform(seed: int | Column, *keys: Column) -> Column:
     return head / F.lit(4294967296.0)
 
 
+def hash_order(seed: int | Column, *keys: Column) -> Column:
+    """The first 60 bits of the hash: sorts like the hash text, in 8 bytes instead of 32."""
+    head = F.conv(F.substring(hash_hex(seed, *keys), 1, 15), 16, 10).cast("bigint")
+    # never null, which spares a join on it a null filter that would hash every row again
+    return F.coalesce(head, F.lit(0).cast("bigint"))
+
+
+def hash_order_bucket(order: Column, buckets: int) -> Column:
+    """Equal-width bucket of a 60-bit hash, increasing with it."""
+    return F.shiftright(F.shiftright(order, 30) * F.lit(int(buckets)), 30)
+
+
 def hex_prefix_bucket(hex_text: Column, buckets: int) -> Column:
     """Equal-width bucket of a hex digest, increasing with the digest's text order."""
     head = F.conv(F.substring(hex_text, 1, 8), 16, 10).cast("bigint")
-    # never null, which spares the join on it a null filter that would hash every row again
-    return F.coalesce(F.shiftright(head * F.lit(int(buckets)), 32).cast("bigint"), F.lit(0).cast("bigint"))
+    return F.coalesce(F.shiftright(head * F.lit(int(buckets)), 32), F.lit(0).cast("bigint"))

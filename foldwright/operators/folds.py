@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.hashing import hash_hex
+from foldwright.functions.hashing import hash_order
 from foldwright.operators.ranking import is_within_first, ranked_by_hash, ranked_by_value
 from foldwright.session import materialise
 
@@ -32,7 +32,7 @@ def stratified_folds(
     Adds ``iter`` and ``fold`` (the fold in which the row validates) and keeps the other columns,
     so that no join is needed to put rows into folds.
     """
-    rows = repeated(df, iters).withColumn("_h", hash_hex(F.col("_seed"), F.col(row_id)))
+    rows = repeated(df, iters).withColumn("_h", hash_order(F.col("_seed"), F.col(row_id)))
     ranked = ranked_by_hash(rows, "_h", row_id, ["iter", stratum], buckets, rank="_rank")
     return ranked.withColumn("fold", ((F.col("_rank") - 1) % k).cast("int")).drop("_rank", "_seed", "_h")
 
@@ -50,7 +50,7 @@ def block_folds(
     df: DataFrame, k: int = 3, iters: int = 1, row_id: str = "row_id", buckets: int | None = None
 ) -> DataFrame:
     """Shuffled blocks of floor(n / k) rows; the remainder never validates and gets fold -1."""
-    rows = repeated(df, iters).withColumn("_h", hash_hex(F.col("_seed"), F.col(row_id)))
+    rows = repeated(df, iters).withColumn("_h", hash_order(F.col("_seed"), F.col(row_id)))
     ranked = ranked_by_hash(rows, "_h", row_id, ["iter"], buckets, rank="_rank", total="_n")
     block = F.floor(F.col("_n") / k)
     fold = F.floor((F.col("_rank") - 1) / block)

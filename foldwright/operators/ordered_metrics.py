@@ -17,9 +17,9 @@ def lorenz_area(df: DataFrame, key: str, y: str, groups: Sequence[str], tie: str
     a few sums per bucket are needed, so rows are shuffled once and never joined back.
     """
     coded, keys = _group_keys(ordering_buckets(df, key, False, tie), groups)
-    local = Window.partitionBy(*keys, CODE).orderBy(F.col(key).desc_nulls_first(), F.col(tie).asc())
+    local = Window.partitionBy(CODE, *keys).orderBy(F.col(key).desc_nulls_first(), F.col(tie).asc())
     ranked = coded.select(*dict.fromkeys([*groups, *keys]), CODE, F.col(y).alias("_y"), F.row_number().over(local).alias("_r"))
-    per_bucket = ranked.groupBy(*keys, CODE).agg(
+    per_bucket = ranked.groupBy(CODE, *keys).agg(
         *[F.first(g).alias(g) for g in groups if g not in keys],
         F.count(F.lit(1)).alias("_n"),
         F.sum("_y").alias("_s"),
@@ -75,10 +75,10 @@ def roc_auc(
     """Rank-sum AUC with average ranks on ties. Rows are first counted per distinct prediction."""
     counts = scored.groupBy(*groups, pred).agg(F.count(F.lit(1)).alias("_c"), F.sum(F.col(y)).alias("_p"))
     coded, keys = _group_keys(ordering_buckets(counts, pred, True), groups)
-    local = Window.partitionBy(*keys, CODE).orderBy(F.col(pred).asc_nulls_last())
+    local = Window.partitionBy(CODE, *keys).orderBy(F.col(pred).asc_nulls_last())
     upto = local.rowsBetween(Window.unboundedPreceding, -1)
     placed = coded.withColumn("_before", F.coalesce(F.sum("_c").over(upto), F.lit(0)))
-    per_bucket = placed.groupBy(*keys, CODE).agg(
+    per_bucket = placed.groupBy(CODE, *keys).agg(
         *[F.first(g).alias(g) for g in groups if g not in keys],
         F.sum("_c").alias("_n"),
         F.sum("_p").alias("_pos"),

@@ -13,6 +13,7 @@ a bucket of its own, which is cut further along the tie-break key.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -20,17 +21,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.functions.hashing import hex_prefix_bucket
+from foldwright.functions.hashing import hash_order_bucket, hex_prefix_bucket
 from foldwright.session import range_buckets
 
 CODE = "_bucket"
 
 
-def _quantiles(df: DataFrame, col: str, buckets: int) -> list[float]:
+def _quantiles(df: DataFrame, cols: Sequence[str], buckets: int) -> list[list[float]]:
+    """Approximate quantiles of several columns in one pass."""
     probs = [i / buckets for i in range(1, buckets)]
-    key = F.col(col).cast("double") + F.lit(0.0)
-    found = df.agg(F.percentile_approx(key, probs, max(10_000, 20 * buckets)).alias("q")).first()[0]
-    return sorted(found or [])
+    accuracy = max(1000, 8 * buckets)
+    found = df.agg(
+        *[F.percentile_approx(F.col(c).cast("double") + F.lit(0.0), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]
+    ).first()
+    return [sorted(q or []) for q in found]
 
 
 def _bucketize(df: DataFrame, col: str, bounds: Sequence[float], out: str) -> DataFrame:
@@ -51,35 +55,51 @@ def ordering_buckets(
 ) -> DataFrame:
     """Add a bucket number that increases along (``by`` in the given direction, ``tie`` ascending)."""
     buckets = buckets or range_buckets(df.sparkSession)
-    bounds = _quantiles(df, by, buckets)
-    hot = sorted({b for b, nxt in zip(bounds, bounds[1:]) if b == nxt})
+    cut_tie = tie is not None and tie != by and not isinstance(df.schema[tie].dataType, T.StringType)
+    bounds, *tie_bounds = _quantiles(df, [by, tie] if cut_tie else [by], buckets)
     out = _bucketize(df, by, bounds, "_b")
     sign = 1 if ascending else -1
-    if not hot or tie is None:
+    starts = sorted(set(bounds))
+    # how often each bucket's lower end occurs among the quantiles: its share of the rows
+    shares = [0, *Counter(bounds).values()]
+    if max(shares) < 2 or tie is None or tie == by:
         return out.withColumn(CODE, F.col("_b") * sign).drop("_b")
-    if isinstance(df.schema[tie].dataType, T.StringType):  # md5 text
+    if cut_tie:
+        out = _bucketize(out, tie, tie_bounds[0], "_t")
+    else:  # md5 text
         out = out.withColumn("_t", hex_prefix_bucket(F.col(tie), buckets))
-    else:
-        out = _bucketize(out, tie, _quantiles(df, tie, buckets), "_t")
-    is_hot = (F.col(by).cast("double") + F.lit(0.0)).isin(hot)
-    # A hot value is the lower end of its bucket: first when ascending, last when descending.
+    share = F.coalesce(F.get(F.expr(_numbers("L", shares)), F.col("_b").cast("int")), F.lit(0))
+    start = F.get(F.expr(_numbers("D", [starts[0], *starts])), F.col("_b").cast("int"))
+    key = F.col(by).cast("double") + F.lit(0.0)
+    is_hot = F.coalesce((share >= 2) & (key == start), F.lit(False))
+    # A hot value is the lower end of its bucket: first when ascending, last when descending. It is cut
+    # into as many pieces as its share asks for, so there are at most twice as many pieces as buckets.
     place = F.when(is_hot, F.lit(0 if ascending else 1)).otherwise(F.lit(1 if ascending else 0))
-    width = buckets + 2
-    code = (F.col("_b") * sign * 2 + place) * width + F.when(is_hot, F.col("_t")).otherwise(F.lit(0))
-    return out.withColumn(CODE, code).drop("_b", "_t")
+    piece = F.when(is_hot, F.floor(F.col("_t") * (share + 1) / F.lit(buckets + 1))).otherwise(F.lit(0))
+    code = (F.col("_b") * sign * 2 + place) * (buckets + 2) + piece
+    return out.withColumn(CODE, code.cast("bigint")).drop("_b", "_t")
 
 
-def hash_buckets(df: DataFrame, hex_col: str, buckets: int | None = None) -> DataFrame:
-    """Bucket number along a column of md5 text. Such text is uniform, so no quantiles are needed."""
+def _numbers(suffix: str, values: Sequence[float]) -> str:
+    """An array literal as SQL text: one expression, however long."""
+    return "array(" + ", ".join(f"{v!r}{suffix}" for v in values) + ")"
+
+
+def hash_buckets(df: DataFrame, hash_col: str, buckets: int | None = None) -> DataFrame:
+    """Bucket number along a hash column. Hashes are uniform, so no quantiles are needed."""
     buckets = buckets or range_buckets(df.sparkSession)
-    return df.withColumn(CODE, hex_prefix_bucket(F.col(hex_col), buckets))
+    return df.withColumn(CODE, hash_order_bucket(F.col(hash_col), buckets))
+
+
+# Columns that are never null in the library's tables, whatever their schema says.
+KEY_COLUMNS = ("model", "iter", "fold", "n_models", "submission", "at")
 
 
 def _group_keys(df: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """Non-null stand-ins for nullable group columns, so that null groups survive the offset join."""
     keys = []
     for g in groups:
-        if df.schema[g].nullable:
+        if df.schema[g].nullable and g not in KEY_COLUMNS:
             key = f"_g_{g}"
             df = df.withColumn(key, F.coalesce(F.concat(F.lit("="), F.col(g).cast("string")), F.lit("")))
             keys.append(key)
@@ -114,14 +134,15 @@ def scan_in_order(
         *[F.coalesce(F.sum(f"_r_{n}").over(before), F.lit(0.0)).alias(f"_off_{n}") for n in running],
         *[F.sum(f"_t_{n}").over(whole).alias(f"_tot_{n}") for n in totals],
     )
-    local = Window.partitionBy(*keys, CODE).orderBy(*order)
+    # the bucket leads: the sort then compares mostly one number
+    local = Window.partitionBy(CODE, *keys).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = df.select(
         "*",
         F.row_number().over(local).alias("_local"),
         *[F.sum(c).over(upto).alias(f"_run_{n}") for n, c in running.items()],
     )
-    joined = ranked.join(offsets, [*keys, CODE])
+    joined = ranked.join(offsets, [CODE, *keys])
     keep = [c for c in df.columns if c != CODE and c not in {k for k in keys if k.startswith("_g_")}]
     return joined.select(
         *keep,
@@ -149,11 +170,11 @@ def ranked_by_value(
 
 
 def ranked_by_hash(
-    df: DataFrame, hex_col: str, tie: str = "row_id", groups: Sequence[str] = (), buckets: int | None = None, **scan
+    df: DataFrame, hash_col: str, tie: str = "row_id", groups: Sequence[str] = (), buckets: int | None = None, **scan
 ) -> DataFrame:
-    """1-based rank in the pseudo-random order given by a column of md5 text."""
-    coded = hash_buckets(df, hex_col, buckets)
-    return scan_in_order(coded, [F.col(hex_col).asc(), F.col(tie).asc()], groups, **scan)
+    """1-based rank in the pseudo-random order given by a ``hash_order`` column."""
+    coded = hash_buckets(df, hash_col, buckets)
+    return scan_in_order(coded, [F.col(hash_col).asc(), F.col(tie).asc()], groups, **scan)
 
 
 def row_at(

@@ -81,5 +81,6 @@ def small_sides(frames: list[DataFrame], max_rows: int = 20_000) -> list[DataFra
 
 
 def range_buckets(spark: SparkSession) -> int:
-    """Buckets used to split an ordering: twice the shuffle width, so that no task gets one whole group."""
-    return min(max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2), 20_000)
+    """Buckets used to split an ordering: several times the shuffle width, so that no task gets one whole
+    group and tasks come out even."""
+    return min(max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2), 10_000)

@@ -137,3 +137,18 @@ def test_stacking_over_two_models(spark, table):
     test = matrix.select("row_id", *names)
     averaged = ST.stack_test(meta, test, names, "linear", 1)
     assert averaged.count() == 300 and averaged.filter(F.col("pred").isNull()).count() == 0
+
+
+def test_metrics_serve_spark_model_selection(table):
+    from pyspark.ml.regression import LinearRegression
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+
+    from foldwright.functions.evaluator import MetricEvaluator
+
+    rows = LE.assemble(table, FEATURES)
+    model = LinearRegression(featuresCol="_x", labelCol="y", predictionCol="pred")
+    grid = ParamGridBuilder().addGrid(model.regParam, [0.0, 10.0]).build()
+    chosen = CrossValidator(estimator=model, estimatorParamMaps=grid, evaluator=MetricEvaluator("rmse"), numFolds=2, seed=1).fit(rows)
+    assert chosen.avgMetrics[0] < chosen.avgMetrics[1]
+    assert MetricEvaluator("gini").evaluate(chosen.transform(rows)) > 0.9
+    assert MetricEvaluator("gini").isLargerBetter() and not MetricEvaluator("rmspe").isLargerBetter()

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from foldwright.functions.hashing import hash_order
 from foldwright.operators import folds as FO
 from foldwright.operators.encoding import value_positions
 from foldwright.operators.ordered_metrics import lorenz_curve
@@ -69,7 +70,7 @@ def test_rank_does_not_depend_on_partitions(spark, df):
         spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
         try:
             by_value = ranked_by_value(df.repartition(partitions), "v", False, "row_id", ["g"])
-            by_hash = ranked_by_hash(by_value.withColumn("_h", F.md5(F.col("row_id").cast("string"))), "_h", groups=["g"], rank="hr")
+            by_hash = ranked_by_hash(by_value.withColumn("_h", hash_order(7, F.col("row_id"))), "_h", groups=["g"], rank="hr")
             return sorted(tuple(r) for r in by_hash.select("row_id", "rank", "hr").collect())
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", before)
