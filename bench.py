@@ -12,26 +12,18 @@ from foldwright.session import build_session
 HEADLINE = [
     "feature_frame",
     "stratified_folds",
-    "block_folds",
     "tail_holdout",
     "log_standardise",
     "feature_drop_list",
     "rmspe_by_fold",
     "gini_by_fold",
-    "lorenz_curve",
     "gram_matrix",
-    "blend_weight_grid",
     "greedy_full",
-    "recipe_replay",
-    "prefix_best",
     "rank_average",
     "rank_pairs",
     "trial_grid",
     "knn_join",
     "knn_join_blocked",
-    "smote",
-    "stack_matrix",
-    "oof_linear",
     "oof_forest",
     "oof_gbt",
 ]

@@ -186,10 +186,11 @@ def greedy_by_scoring(
     coefficient per model, so the plan does not grow from step to step.
     """
     direction = METRICS[metric]
+    labels = wide.select("iter", "fold", "row_id", "y")
     sign = 1.0 if direction.higher_is_better else -1.0
 
     def cv(long: DataFrame, by: Sequence[str]):
-        scored = score(long, metric, groups=[*by, "iter", "fold"])
+        scored = score(long, metric, groups=[*by, "iter", "fold"], labels=labels, label_groups=["iter", "fold"])
         return scored.groupBy(*by).agg(F.avg("score").alias("score")).collect()
 
     singles = {r["model"]: r["score"] for r in cv(to_long(wide, models), ["model"])}

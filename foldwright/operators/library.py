@@ -50,11 +50,16 @@ def score(
     y: str = "y",
     pred: str = "pred",
     tie: str = "row_id",
+    labels: DataFrame | None = None,
+    label_groups: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``groups`` plus ``metric`` and ``score``, for any registered metric."""
+    """``groups`` plus ``metric`` and ``score``, for any registered metric.
+
+    ``labels`` (one row per ``label_groups`` and ``tie``) spares Gini the truth ordering per model.
+    """
     entry = METRICS[metric]
     if metric == "gini":
-        out = normalised_gini(scored, y, pred, groups, tie).withColumnRenamed("gini", "score")
+        out = normalised_gini(scored, y, pred, groups, tie, labels, label_groups).withColumnRenamed("gini", "score")
     elif metric == "auc":
         out = roc_auc(scored, y, pred, groups).withColumnRenamed("auc", "score")
     else:

@@ -56,7 +56,9 @@ def normalised_gini(
     label_groups = list(groups) if label_groups is None else list(label_groups)
     by_pred = lorenz_area(scored, pred, y, groups, tie, "_g_pred")
     by_true = lorenz_area(labels, y, y, label_groups, tie, "_g_true").drop("n")
-    joined = by_pred.join(by_true, label_groups) if label_groups else by_pred.join(F.broadcast(by_true))
+    if not label_groups:
+        return by_pred.select(*groups, (F.col("_g_pred") / by_true.scalar()).alias("gini"))  # one number
+    joined = by_pred.join(by_true, label_groups)
     return joined.select(*groups, (F.col("_g_pred") / F.col("_g_true")).alias("gini"))
 
 

@@ -68,13 +68,13 @@ def concat_blocks(spark, folder):
 @query(
     "feature_matrix_scan",
     f"""WITH {Q.SALES}, {Q.stratified('sales')}, parts AS (SELECT DISTINCT iter AS i, fold AS f FROM folded)
-    SELECT CAST(i AS BIGINT) AS iter, CAST(f AS BIGINT) AS fold, CASE WHEN fold = f THEN 'valid' ELSE 'train' END AS part, count(*) AS n, round(avg(y), 8) AS y_mean, round(avg(x), 8) AS x_mean
+    SELECT CAST(i AS BIGINT) AS iter, CAST(f AS BIGINT) AS fold, CASE WHEN fold = f THEN 'valid' ELSE 'train' END AS part, count(*) AS n, CAST(sum(CAST(round(y * 100) AS BIGINT)) AS BIGINT) AS y_cents, CAST(sum(CAST(round(x * 100) AS BIGINT)) AS BIGINT) AS x_cents
     FROM folded JOIN parts ON iter = i GROUP BY 1, 2, 3""",
 )
 def feature_matrix_scan(spark, folder):
     spread = FO.membership(folded_sales(spark, folder), Q.K)
-    stats = spread.groupBy("iter", "fold", "part").agg(F.count(F.lit(1)).alias("n"), F.avg("y").alias("y_mean"), F.avg("x").alias("x_mean"))
-    return tidy(stats, 8)
+    cents = lambda c: F.sum(F.round(F.col(c) * 100).cast("bigint")).alias(f"{c}_cents")
+    return tidy(spread.groupBy("iter", "fold", "part").agg(F.count(F.lit(1)).alias("n"), cents("y"), cents("x")))
 
 
 @query(
