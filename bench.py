@@ -27,7 +27,7 @@ HEADLINE = [
     "oof_forest",
     "oof_gbt",
 ]
-RUNS = 2
+RUNS = 1
 
 
 def main() -> None:
