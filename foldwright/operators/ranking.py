@@ -27,14 +27,19 @@ from foldwright.session import range_buckets
 CODE = "_bucket"
 
 
-def _quantiles(df: DataFrame, cols: Sequence[str], buckets: int) -> list[list[float]]:
-    """Approximate quantiles of several columns in one pass."""
+# A bucket is not worth its place below this many rows.
+ROWS_PER_BUCKET = 5000
+
+
+def _quantiles(df: DataFrame, cols: Sequence[str], buckets: int) -> tuple[list[list[float]], int]:
+    """Approximate quantiles of several columns and the number of rows, in one pass."""
     probs = [i / buckets for i in range(1, buckets)]
     accuracy = max(1000, 8 * buckets)
     found = df.agg(
-        *[F.percentile_approx(F.col(c).cast("double") + F.lit(0.0), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)]
+        F.count(F.lit(1)).alias("n"),
+        *[F.percentile_approx(F.col(c).cast("double") + F.lit(0.0), probs, accuracy).alias(f"q{i}") for i, c in enumerate(cols)],
     ).first()
-    return [sorted(q or []) for q in found]
+    return [sorted(q or []) for q in found[1:]], found["n"]
 
 
 def _bucketize(df: DataFrame, col: str, bounds: Sequence[float], out: str) -> DataFrame:
@@ -54,9 +59,14 @@ def ordering_buckets(
     df: DataFrame, by: str, ascending: bool = True, tie: str | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Add a bucket number that increases along (``by`` in the given direction, ``tie`` ascending)."""
-    buckets = buckets or range_buckets(df.sparkSession)
     cut_tie = tie is not None and tie != by and not isinstance(df.schema[tie].dataType, T.StringType)
-    bounds, *tie_bounds = _quantiles(df, [by, tie] if cut_tie else [by], buckets)
+    most = buckets or range_buckets(df.sparkSession)
+    found, n_rows = _quantiles(df, [by, tie] if cut_tie else [by], most)
+    if buckets is None:  # a small table needs fewer: keep every n-th quantile
+        every = -(-most // max(2, n_rows // ROWS_PER_BUCKET))
+        found = [q[every - 1 :: every] for q in found]
+    bounds, *tie_bounds = found
+    buckets = len(bounds) + 1
     out = _bucketize(df, by, bounds, "_b")
     sign = 1 if ascending else -1
     starts = sorted(set(bounds))
