@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -31,7 +32,7 @@ from foldwright.llm.common import map_text, text_of
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 CHUNK, OVERLAP = 1 << 15, 1 << 10
 #: Pieces whose tokens a worker remembers.
-REMEMBER = 200_000
+REMEMBER = 150_000
 _SPLIT = regex.compile(public_tokenizers.PATTERN)
 
 
@@ -48,21 +49,19 @@ class Encoder:
         self.library = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(path), special_tokens={})
         self.known: dict[str, list[int]] = {}
 
-    def piece(self, piece: str) -> list[int]:
-        found = self.known.get(piece)
-        if found is None:
-            found = self.library._core_bpe.encode_single_piece(piece.encode())
-            if len(self.known) >= REMEMBER:
-                self.known.clear()
+    def pieces(self, pieces: list[str]) -> list[list[int]]:
+        found = list(map(self.known.get, pieces))
+        for i in [i for i, t in enumerate(found) if t is None]:
+            piece = pieces[i]
+            found[i] = self.library._core_bpe.encode_single_piece(piece.encode())
             if len(piece) < 64:
-                self.known[piece] = found
+                self.known[piece] = found[i]
+        if len(self.known) > REMEMBER:
+            self.known.clear()
         return found
 
     def text(self, text: str) -> list[int]:
-        out: list[int] = []
-        for piece in _SPLIT.findall(text):
-            out += self.piece(piece)
-        return out
+        return list(chain.from_iterable(self.pieces(_SPLIT.findall(text))))
 
 
 @lru_cache(maxsize=2)
@@ -114,27 +113,35 @@ def _between(chunk: dict, begin: int, end: int | None) -> np.ndarray:
 
 def split_and_encode(start: int, text: str, last: bool, path: str) -> dict:
     pieces = split_chunk(text, last)
-    tokens = [encoder(path).piece(p) for p in pieces]
+    tokens = encoder(path).pieces(pieces)
     return {
         "start": start, "text": text, "last": last,
         "ends": np.cumsum([len(p) for p in pieces], dtype=np.int64) if pieces else np.zeros(0, np.int64),
         "sizes": np.array([len(t) for t in tokens], np.int32),
-        "ids": np.array([i for t in tokens for i in t], np.int32),
+        "ids": np.fromiter(chain.from_iterable(tokens), np.int32),
     }
 
 
-def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
-    """doc_id and ids, one row for every row of ``docs``."""
+def ids_only(tokens: list[list[int]]) -> dict:
+    return {"ids": tokens}
+
+
+def encode(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str = RANKS, chunk: int = CHUNK, overlap: int = OVERLAP,
+    told: Callable[[list[list[int]]], dict] = ids_only, schema: str = "ids array<int>",
+) -> DataFrame:
+    """doc_id and the columns that ``told`` makes of each text's tokens, one row for every row of ``docs``."""
     docs = text_of(docs, id_col, text_col)
     short = map_text(
         docs.where(F.char_length("text") <= chunk),
-        lambda ids, texts: {"doc_id": ids, "ids": [encoder(path).text(t) for t in texts]},
-        "doc_id long, ids array<int>",
+        lambda ids, texts: {"doc_id": ids} | told([encoder(path).text(t) for t in texts]),
+        f"doc_id long, {schema}",
+        chars=500_000,
     )
-    return short.union(_encode_long(docs.where(F.char_length("text") > chunk), path, chunk, overlap))
+    return short.union(_encode_long(docs.where(F.char_length("text") > chunk), path, chunk, overlap, told, schema))
 
 
-def _encode_long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFrame:
+def _encode_long(docs: DataFrame, path: str, chunk: int, overlap: int, told: Callable, schema: str) -> DataFrame:
     once = docs.groupBy("doc_id", "text").agg(F.count(F.lit(1)).alias("copies"))
     key = F.sha2(F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), 256).alias("key")
     cut = "key string, doc_id long, copies long, start long, last boolean, text string"
@@ -165,16 +172,16 @@ def _encode_long(docs: DataFrame, path: str, chunk: int, overlap: int) -> DataFr
 
     def join(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("start")
-        ids = stitch(rows.to_dict("records"), path)
-        return pd.DataFrame({"doc_id": rows["doc_id"][:1].astype("Int64"), "copies": rows["copies"][:1], "ids": [ids]})
+        made = told([stitch(rows.to_dict("records"), path)])
+        return pd.DataFrame({"doc_id": rows["doc_id"][:1].astype("Int64"), "copies": rows["copies"][:1]} | made)
 
     spread = once.select(key, "doc_id", "copies", "text").mapInArrow(chunks, cut).repartition("key", "start")
-    joined = spread.mapInArrow(work, encoded).groupBy("key").applyInPandas(join, "doc_id long, copies long, ids array<int>")
-    return joined.select("doc_id", F.explode(F.array_repeat("ids", F.col("copies").cast("int"))).alias("ids"))
+    joined = spread.mapInArrow(work, encoded).groupBy("key").applyInPandas(join, f"doc_id long, copies long, {schema}")
+    return joined.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).drop("copies", "copy")
 
 
-def decode_ids(ids: np.ndarray, table: list[bytes]) -> bytes:
-    return b"".join([table[i] for i in ids.tolist()])
+def decode_ids(ids: list[int], table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in ids])
 
 
 @lru_cache(maxsize=2)
@@ -186,32 +193,34 @@ def token_table(path: str) -> list[bytes]:
     return table
 
 
+@lru_cache(maxsize=2)
+def token_names(path: str) -> list[str]:
+    return [str(i) for i in range(len(token_table(path)))]
+
+
 def decode(encoded: DataFrame, path: str = RANKS) -> DataFrame:
     """doc_id, ids and the decoded bytes."""
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            raw = [decode_ids(i.values.to_numpy(), token_table(path)) for i in batch.column(1)]
+            raw = [decode_ids(i.as_py(), token_table(path)) for i in batch.column(1)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(raw, pa.binary())], names=["doc_id", "ids", "bytes"])
 
     return encoded.mapInArrow(work, "doc_id long, ids array<int>, bytes binary")
 
 
-def digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """Encoded, decoded again, and both told by their digests."""
+DIGESTS = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [str(i) for i in range(len(token_table(path)))]
-        for batch in batches:
-            lists = [i.values.to_numpy() for i in batch.column(1)]
-            told = [" ".join([names[i] for i in x.tolist()]) for x in lists]
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "doc_id": batch.column(0),
-                    "n_tokens": pa.array([len(x) for x in lists], pa.int64()),
-                    "ids_sha256": [hashlib.sha256(x.encode()).hexdigest() for x in told],
-                    "decoded_sha256": [hashlib.sha256(x.as_buffer()).hexdigest() for x in batch.column(2)],
-                }
-            )
-
-    return decode(encode(docs, path=path), path).mapInArrow(work, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+def digests(docs: DataFrame, path: str = RANKS, **options) -> DataFrame:
+    """Encoded, decoded again, and both told by their digests, in the task that has the tokens."""
+
+    def told(tokens: list[list[int]]) -> dict:
+        table, names = token_table(path), token_names(path)
+        return {
+            "n_tokens": [len(t) for t in tokens],
+            "ids_sha256": [hashlib.sha256(" ".join([names[i] for i in t]).encode()).hexdigest() for t in tokens],
+            "decoded_sha256": [hashlib.sha256(decode_ids(t, table)).hexdigest() for t in tokens],
+        }
+
+    return encode(docs, path=path, told=told, schema=DIGESTS, **options)
