@@ -34,18 +34,28 @@ from foldwright.session import materialise
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SAMPLE_DOCS, ROUNDS = 1_000, 2
 #: Words whose scores a worker remembers.
-REMEMBER = 300_000
+REMEMBER = 600_000
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _MARK = "▁"
 
 
 @lru_cache(maxsize=2)
 def vocabulary(path: str) -> tuple[dict[str, int], int, int]:
-    """Pieces without inner word marks, the longest, and how many numbers there are; bytes are under their names."""
+    """Numbers of the pieces without inner word marks, and 0 for every other beginning of one; the longest; the
+    count of numbers. Bytes are under their names."""
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i): i for i in range(model.get_piece_size()) if not (model.is_control(i) or model.is_unknown(i))}
     own = {p: i for p, i in pieces.items() if _MARK not in p[1:]}
-    return own, max(len(p) for p in own if not p.startswith("<0x")), model.get_piece_size()
+    plain = [p for p in own if not p.startswith("<0x")]
+    return {p[:k]: 0 for p in plain for k in range(1, len(p))} | own, max(map(len, plain)), model.get_piece_size()
+
+
+def spelled(word: str, pieces: dict[str, int]) -> str | list[str]:
+    """The word with its mark; a letter that is no piece is spelled in byte pieces."""
+    word = _MARK + word
+    if all(map(pieces.get, word)):
+        return word
+    return [p for c in word for p in ([c] if pieces.get(c) else [f"<0x{b:02X}>" for b in c.encode()])]
 
 
 def words(text: str) -> list[str]:
@@ -58,20 +68,23 @@ def lattice(batch: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     A letter that is no piece takes one place per byte, spelled in byte pieces.
     """
     pieces, longest, _ = vocabulary(path)
-    cells, lengths = [], []
+    cells: list[int] = []
+    lengths = []
+    get = pieces.get
     for n, word in enumerate(batch):
-        places: list[str] = []
-        for c in _MARK + word:
-            places += [c] if c in pieces else [f"<0x{b:02X}>" for b in c.encode()]
-        lengths.append(len(places))
-        for end in range(1, len(places) + 1):
-            cells.append((n, end, 1, pieces[places[end - 1]]))
-            for size in range(2, min(longest, end) + 1):
-                found = pieces.get("".join(places[end - size : end]))
+        places = spelled(word, pieces)
+        join = "".join if isinstance(places, list) else str
+        size = len(places)
+        lengths.append(size)
+        for start in range(size):
+            for end in range(start + 1, size + 1):
+                found = get(join(places[start:end]))
                 if found:
-                    cells.append((n, end, size, found))
+                    cells += (n, end, end - start, found)
+                elif found is None:
+                    break
     table = np.zeros((len(batch), max(lengths) + 1, longest + 1), np.int32)
-    at = np.array(cells)
+    at = np.array(cells).reshape(-1, 4)
     table[at[:, 0], at[:, 1], at[:, 2]] = at[:, 3]
     return table, np.array(lengths)
 
@@ -108,7 +121,7 @@ def word_scores(batch: list[str], log_prob: np.ndarray, path: str) -> np.ndarray
 def long_word(word: str, log_prob: np.ndarray, path: str) -> np.ndarray:
     """The same in logarithms with a window of the longest piece: no underflow, little memory."""
     pieces, longest, _ = vocabulary(path)
-    places = [p for c in _MARK + word for p in ([c] if c in pieces else [f"<0x{b:02X}>" for b in c.encode()])]
+    places = spelled(word, pieces)
     last = [np.zeros(log_prob.shape[1])]
     for end in range(1, len(places) + 1):
         ways = [last[-1] + log_prob[pieces[places[end - 1]]]]
@@ -168,7 +181,7 @@ def train(docs: DataFrame, path: str = PIECES, rounds: int = ROUNDS) -> tuple[li
     table = materialise(table.where(F.octet_length("word") <= 64), "language-words")  # longer runs are no words to learn from
     pieces, _, _ = vocabulary(path)
     usable = np.zeros(size)
-    usable[list(pieces.values())] = 1
+    usable[[i for i in pieces.values() if i]] = 1
     prob = np.repeat((usable / usable.sum())[:, None], len(langs), axis=1)
     for _ in range(rounds):
         now = prob
