@@ -29,6 +29,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foldwright.llm.common import SPACE_BYTES, empty_if_null, map_text, text_of
 from foldwright.llm.cuckoo import CuckooFilter, Full
@@ -142,8 +143,8 @@ class LineDedup:
         gone = refs.where(~F.col("doc_id").eqNullSafe(F.col("last")))
         return gone.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
 
-    def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-        """``docs`` with ``text_col`` rewritten and the columns n_lines and n_dropped added.
+    def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
+        """``docs`` with ``text_col`` rewritten and, with ``counts``, the columns n_lines and n_dropped added.
 
         Rows without a dropped line keep their text as it is.
         """
@@ -151,7 +152,7 @@ class LineDedup:
         joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]), "left").drop("_gone_id")
         names = joined.columns
         at_text, at_gone, min_chars = names.index(text_col), names.index("_gone"), self.min_chars
-        schema = docs.schema.add("n_lines", "long").add("n_dropped", "long")
+        schema = StructType([*docs.schema.fields, *([StructField(c, LongType()) for c in ("n_lines", "n_dropped")] if counts else [])])
 
         def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -171,7 +172,8 @@ class LineDedup:
                         texts.append(raw if text.is_valid else None)
                 columns = [c for i, c in enumerate(batch.columns) if i != at_gone]
                 columns[at_text] = pa.array(texts, pa.binary()).cast(pa.string())
-                columns += [pa.array(total, pa.int64()), pa.array(lost, pa.int64())]
+                if counts:
+                    columns += [pa.array(total, pa.int64()), pa.array(lost, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
         return joined.mapInArrow(rewrite, schema)
@@ -199,9 +201,9 @@ def _update(change: pd.DataFrame, old: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"shard": change["shard"][:1], "filter": [made.to_bytes()]})
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folder: str | None = None, counts: bool = True) -> DataFrame:
     """One batch: insert all documents, then clean them."""
-    return LineDedup(docs.sparkSession, folder).insert(docs, id_col, text_col).clean(docs, id_col, text_col)
+    return LineDedup(docs.sparkSession, folder).insert(docs, id_col, text_col).clean(docs, id_col, text_col, counts)
 
 
 def digests(docs: DataFrame) -> DataFrame:

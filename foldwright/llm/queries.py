@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwright.llm import bpe, chat, exact_dedup, language, line_dedup, mixing, quality, secrets, simhash
+from foldwright.llm import bpe, chat, exact_dedup, language, line_dedup, mixing, quality, secrets, simhash, suffix_dedup
 from foldwright.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,6 +49,11 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.with_probe(spark, spark.read.parquet(f"{sf_dir}/conversations.parquet")))
 
 
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(documents(spark, sf_dir))
+
+
 @query("op4_quality_rules")
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(documents(spark, sf_dir))

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from foldwright.llm.common import map_text, text_of
 from foldwright.session import materialise
@@ -225,7 +226,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
 
     at = docs.columns.index(text_col)
-    keyed = docs.mapInArrow(key, docs.schema.add("_key", "long"))
+    keyed = docs.mapInArrow(key, StructType([*docs.schema.fields, StructField("_key", LongType())]))
     keyed = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_none", F.col(id_col).isNull())
     on = ["_id", "_none", "_key"]
     return keyed.join(stay, on, "left_semi").dropDuplicates(on).select(*docs.columns)
