@@ -31,8 +31,3 @@ def hash_order_bucket(order: Column, buckets: int) -> Column:
     """Equal-width bucket of a 60-bit hash, increasing with it."""
     return F.shiftright(F.shiftright(order, 30) * F.lit(int(buckets)), 30)
 
-
-def hex_prefix_bucket(hex_text: Column, buckets: int) -> Column:
-    """Equal-width bucket of a hex digest, increasing with the digest's text order."""
-    head = F.conv(F.substring(hex_text, 1, 8), 16, 10).cast("bigint")
-    return F.coalesce(F.shiftright(head * F.lit(int(buckets)), 32), F.lit(0).cast("bigint"))

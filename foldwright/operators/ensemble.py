@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -147,7 +148,7 @@ def candidate_scores(grams: np.ndarray, blend: np.ndarray, steps: int = WEIGHT_S
     return np.sqrt(np.maximum(loss, 0.0)).mean(axis=0)
 
 
-def greedy_select(gram: DataFrame, models: Sequence[str], max_steps: int = 100, steps: int = WEIGHT_STEPS) -> list[Step]:
+def greedy_select(gram: DataFrame, models: Sequence[str], steps: int = WEIGHT_STEPS) -> list[Step]:
     """Forward selection with replacement on a loss (lower is better).
 
     Step 0 is the best single model. Each further step blends in the model and weight with the lowest
@@ -161,7 +162,7 @@ def greedy_select(gram: DataFrame, models: Sequence[str], max_steps: int = 100,
     blend = np.zeros(len(models))
     blend[order[0]] = 1.0
     recipe = [Step(0, models[order[0]], 1.0, best)]
-    for number in range(1, max_steps + 1):
+    for number in count(1):  # every step gains at least MIN_GAIN, so this ends
         scores = np.round(candidate_scores(grams, blend, steps), 9)
         chosen = None
         for m in order:
@@ -178,7 +179,7 @@ def greedy_select(gram: DataFrame, models: Sequence[str], max_steps: int = 100,
 
 
 def greedy_by_scoring(
-    wide: DataFrame, models: Sequence[str], metric: str, max_steps: int = 20, steps: int = 10
+    wide: DataFrame, models: Sequence[str], metric: str, steps: int = 10
 ) -> list[Step]:
     """Forward selection for a metric that is not a mean of squares (Gini, AUC, log loss).
 
@@ -199,7 +200,7 @@ def greedy_by_scoring(
     blend = dict.fromkeys(models, 0.0)
     blend[order[0]] = 1.0
     recipe = [Step(0, order[0], 1.0, best)]
-    for number in range(1, max_steps + 1):
+    for number in count(1):  # every step gains at least MIN_GAIN, so this ends
         current = sum((F.lit(c) * F.col(m) for m, c in blend.items() if c), F.lit(0.0))
         cells = [
             F.struct(
@@ -261,13 +262,13 @@ def coefficients(recipe: Sequence[Step]) -> dict[str, float]:
 
 
 def replay(predictions: DataFrame, recipe: Sequence[Step], keys: Sequence[str] = ("row_id",)) -> DataFrame:
-    """Ensemble prediction per row from the long table. Models outside the recipe are never read."""
+    """Ensemble prediction per row from the long table. Models outside the recipe are never read; a row that
+    lacks a model of the recipe, or has one twice, gets null."""
     coefs = coefficients(recipe)
-    weight = F.lit(None).cast("double")
-    for m, c in coefs.items():
-        weight = F.when(F.col("model") == m, F.lit(float(c))).otherwise(weight)
+    weights = F.create_map(*[x for m, c in coefs.items() for x in (F.lit(m), F.lit(float(c)))])
     used = predictions.filter(F.col("model").isin(list(coefs)))
-    return used.groupBy(*keys).agg(F.sum(weight * F.col("pred")).alias("pred"))
+    total = F.sum(F.element_at(weights, F.col("model")) * F.col("pred"))
+    return used.groupBy(*keys).agg(F.when(F.count("pred") == len(coefs), total).alias("pred"))
 
 
 PREFIX_MEANS = {

@@ -206,10 +206,11 @@ def feature_drop_list(
         mean.alias("_mean"),
     )
     # deviation in one pass over the rows, without a shuffle of the values
-    deviations = df.agg(*[F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(-1.0))).alias(c) for c in numeric])
-    long = deviations.select(
-        F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("std")) for c in numeric])).alias("_s")
-    ).select("_s.*")
+    spread_of = [(c, F.stddev_pop(F.coalesce(F.col(c).cast("double"), F.lit(-1.0)))) for c in numeric]
+    cells = [F.struct(F.lit(c).alias("column_name"), s.alias("std")) for c, s in spread_of]
+    none = F.array().cast("array<struct<column_name:string,std:double>>")
+    long = df.agg(F.array(*cells).alias("_a") if cells else F.max(F.lit(None)).alias("_a"))
+    long = long.select(F.explode(F.col("_a") if cells else none).alias("_s")).select("_s.*")
     # one row per column on both sides
     joined = per_column.join(F.broadcast(long), "column_name", "left")
     constant = (F.col("n_distinct") <= 1) | ((F.col("n_distinct") == 2) & (F.col("has_sentinel") == 1))

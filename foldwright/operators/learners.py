@@ -12,6 +12,7 @@ from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
+from pyspark.errors import AnalysisException
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 
 from foldwright.functions.scalar import inverse_square_weight
 from foldwright.operators.folds import head_fraction
+from foldwright.operators.library import missing_work
 from foldwright.operators.pairs import preference_pairs
 from foldwright.session import materialise
+from foldwright.sources import files
 
 Predict = Callable[[DataFrame], DataFrame]
 Fit = Callable[[DataFrame, Sequence[str], dict], Predict]
@@ -79,18 +82,25 @@ def lasso(train, features, params):
 
 
 def boosted_linear(train, features, params):
-    """Linear booster with L1 (``alpha``) and L2 (``lambda``) penalties."""
-    l1, l2 = params.get("alpha", 0.0), params.get("lambda", 0.0)
-    n = train.count()
-    reg = (l1 + l2) / n
+    """Linear booster: penalties ``alpha`` on absolute values and ``lambda`` on half the squares, beside half the
+    sum of squared errors. Only the L2 part is converted to Spark's scaled label, as in ``ridge``."""
+    stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("s")).first()
+    l1, l2 = params.get("alpha", 0.0), params.get("lambda", 0.0) * (stats["s"] or 0.0)
     mix = l1 / (l1 + l2) if l1 + l2 else 0.0
-    return _fit_plain(R.LinearRegression(**COMMON, regParam=reg, elasticNetParam=mix), train, features)
+    model = R.LinearRegression(
+        **COMMON, regParam=(l1 + l2) / stats["n"], elasticNetParam=mix, standardization=False, solver="l-bfgs", tol=1e-12, maxIter=500
+    )
+    return _fit_plain(model, train, features)
 
 
 def huber(train, features, params):
-    """Robust linear regression, in place of an epsilon-insensitive one."""
+    """Robust linear regression, in place of an epsilon-insensitive one. ``C`` weighs the losses against half the
+    squared coefficients."""
     epsilon = 1.0 + params.get("epsilon", 0.1)
-    model = R.LinearRegression(**COMMON, loss="huber", epsilon=epsilon, maxIter=params.get("max_iter", 30))
+    reg = 1.0 / (params["C"] * train.count()) if "C" in params else 0.0
+    model = R.LinearRegression(
+        **COMMON, loss="huber", epsilon=epsilon, regParam=reg, standardization=False, maxIter=params.get("max_iter", 100)
+    )
     return _fit_plain(model, train, features)
 
 
@@ -102,13 +112,20 @@ def logistic(train, features, params):
         reg = (params.get("alpha", 0.0) + params.get("lambda", 0.0)) / train.count()
     total = params.get("alpha", 0.0) + params.get("lambda", 0.0)
     mix = params.get("alpha", 0.0) / total if total else 0.0
-    model = C.LogisticRegression(**COMMON, regParam=reg, elasticNetParam=mix, maxIter=params.get("max_iter", 50))
+    # penalties are on the coefficients of the features as they are
+    model = C.LogisticRegression(
+        **COMMON, regParam=reg, elasticNetParam=mix, standardization=False, tol=1e-8, maxIter=params.get("max_iter", 200)
+    )
     return _fit_probability(model, train, features, params.get("output", "probability"))
 
 
 def multinomial(train, features, params):
     """Softmax over classes 1..n; labels are shifted to start at 0 and shifted back."""
-    model = C.LogisticRegression(**COMMON, family="multinomial", regParam=params.get("lambda", 0.0), maxIter=params.get("max_iter", 30))
+    l1, l2 = params.get("alpha", 0.0), params.get("lambda", 0.0)
+    model = C.LogisticRegression(
+        **COMMON, family="multinomial", regParam=(l1 + l2) / train.count(), elasticNetParam=l1 / (l1 + l2) if l1 + l2 else 0.0,
+        standardization=False, maxIter=params.get("max_iter", 30),
+    )
     predict = _fit_plain(model, train.withColumn("y", F.col("y") - 1), features)
     return lambda df: predict(df).withColumn("pred", F.col("pred") + 1)
 
@@ -141,10 +158,12 @@ def forest_deep_class(train, features, params):
 
 
 def _boosting(cls, params, **extra):
+    if int(params.get("max_depth", 3)) > 30:
+        raise ValueError("max_depth is 30 at most")
     return cls(
         **COMMON,
         maxIter=int(params.get("num_rounds", params.get("n_estimators", 100))),
-        maxDepth=min(int(params.get("max_depth", 3)), 30),
+        maxDepth=int(params.get("max_depth", 3)),
         stepSize=float(params.get("eta", params.get("learning_rate", 0.1))),
         subsamplingRate=float(params.get("subsample", 1.0)),
         featureSubsetStrategy=str(params.get("colsample_bytree", params.get("max_features", "all"))),
@@ -206,9 +225,8 @@ def poisson(train, features, params):
 def svc(train, features, params):
     """Linear support vector classification; ``pred`` is the signed margin."""
     n = train.count()
-    fitted = C.LinearSVC(**COMMON, regParam=1.0 / (params.get("C", 1.0) * n), maxIter=params.get("max_iter", 30)).fit(
-        assemble(train, features)
-    )
+    reg = 1.0 / (params.get("C", 1.0) * n)
+    fitted = C.LinearSVC(**COMMON, regParam=reg, standardization=False, maxIter=params.get("max_iter", 30)).fit(assemble(train, features))
 
     def predict(df: DataFrame) -> DataFrame:
         out = fitted.transform(assemble(df, features))
@@ -351,8 +369,12 @@ def out_of_fold(
     threads: int = 3,
     fail_to_zero: bool = False,
     model: str | None = None,
+    parts: Sequence[tuple[int, int]] | None = None,
 ) -> DataFrame:
-    """Predictions (model, iter, fold, row_id, y, pred) for every row by a model that did not see it.
+    """Predictions (model, iter, fold, row_id, y, pred) for every row by a model that was not fitted on it.
+
+    ``parts`` names the (iter, fold) to do, all by default. The learners in ``WATCHED`` choose their number of
+    trees on the very fold that they predict.
 
     Folds are independent Spark jobs, submitted a few at a time. With ``fail_to_zero`` a fold whose
     fit raises gets 0 and ``failed`` = 1 instead of ending the run.
@@ -379,12 +401,34 @@ def out_of_fold(
         columns = [out.alias("model"), "iter", "fold", "row_id", "y", "pred"]
         return predicted.select(*columns, *([F.lit(failed).alias("failed")] if fail_to_zero else []))
 
-    parts = [(i, f) for i in range(iters) for f in range(k)]
+    parts = [(i, f) for i in range(iters) for f in range(k)] if parts is None else list(parts)
     with ThreadPool(min(threads, len(parts))) as pool:
         pieces = pool.map(inheritable_thread_target(table.sparkSession)(one), parts)
     return reduce(DataFrame.unionByName, pieces)
 
 
+def train_missing(
+    table: DataFrame, path: str, models: dict[str, dict], features: Sequence[str], k: int, iters: int = 1, forced: Sequence[str] = ()
+) -> DataFrame:
+    """The prediction table at ``path`` after training what it lacks of ``models`` (learner to parameters).
+
+    Only (model, iter, fold) parts that are not there, or belong to a ``forced`` model, are fitted; they take the
+    place of what was there. A complete library is returned as it is.
+    """
+    spark, key = table.sparkSession, table.schema["row_id"].dataType.simpleString()
+    cells = [(m, i, f) for m in models for i in range(iters) for f in range(k)]
+    wanted = spark.createDataFrame(cells, "model string, iter int, fold int")
+    try:
+        todo = missing_work(wanted, files.read_predictions(spark, path, key), forced).collect()  # names only
+    except AnalysisException:  # no table yet
+        todo = wanted.collect()
+    for m, params in models.items():
+        parts = sorted((r["iter"], r["fold"]) for r in todo if r["model"] == m)
+        if parts:
+            files.append_predictions(out_of_fold(table, m, features, k, iters, params, parts=parts), path)
+    return files.read_predictions(spark, path, key)
+
+
 def refit(train: DataFrame, test: DataFrame, learner: str, features: Sequence[str], params: dict | None = None) -> DataFrame:
     """Fit on all training rows and predict the test rows."""
     return LEARNERS[learner](train, features, dict(params or {}))(test)

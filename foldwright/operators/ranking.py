@@ -13,6 +13,7 @@ a bucket of its own, which is cut further along the tie-break key.
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Sequence
 
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foldwright.functions.hashing import hash_order_bucket, hex_prefix_bucket
+from foldwright.functions.hashing import hash_order_bucket
 from foldwright.session import range_buckets
 
 CODE = "_bucket"
@@ -59,7 +60,8 @@ def ordering_buckets(
     df: DataFrame, by: str, ascending: bool = True, tie: str | None = None, buckets: int | None = None
 ) -> DataFrame:
     """Add a bucket number that increases along (``by`` in the given direction, ``tie`` ascending)."""
-    cut_tie = tie is not None and tie != by and not isinstance(df.schema[tie].dataType, T.StringType)
+    has_tie = tie is not None and tie != by
+    cut_tie = has_tie and not isinstance(df.schema[tie].dataType, T.StringType)
     most = buckets or range_buckets(df.sparkSession)
     found, n_rows = _quantiles(df, [by, tie] if cut_tie else [by], most)
     if buckets is None:  # a small table needs fewer: keep every n-th quantile
@@ -76,12 +78,12 @@ def ordering_buckets(
         return out.withColumn(CODE, F.col("_b") * sign).drop("_b")
     if cut_tie:
         out = _bucketize(out, tie, tie_bounds[0], "_t")
-    else:  # md5 text
-        out = out.withColumn("_t", hex_prefix_bucket(F.col(tie), buckets))
+    else:
+        out = _bucketize_text(out, tie, buckets, "_t")
     share = F.coalesce(F.get(F.expr(_numbers("L", shares)), F.col("_b").cast("int")), F.lit(0))
     start = F.get(F.expr(_numbers("D", [starts[0], *starts])), F.col("_b").cast("int"))
     key = F.col(by).cast("double") + F.lit(0.0)
-    is_hot = F.coalesce((share >= 2) & (key == start), F.lit(False))
+    is_hot = F.coalesce((share >= 2) & (key == start) & _is_exact(df.schema[by].dataType, start), F.lit(False))
     # A hot value is the lower end of its bucket: first when ascending, last when descending. It is cut
     # into as many pieces as its share asks for, so there are at most twice as many pieces as buckets.
     place = F.when(is_hot, F.lit(0 if ascending else 1)).otherwise(F.lit(1 if ascending else 0))
@@ -90,6 +92,24 @@ def ordering_buckets(
     return out.withColumn(CODE, code.cast("bigint")).drop("_b", "_t")
 
 
+def _is_exact(kind: T.DataType, bound: Column) -> Column:
+    """Whether values that equal ``bound`` as doubles are one value: not so for whole numbers beyond 2^53."""
+    if isinstance(kind, T.LongType):
+        return F.abs(bound) < float(2**53)
+    return F.lit(not isinstance(kind, T.DecimalType) or kind.precision <= 15)
+
+
+def _bucketize_text(df: DataFrame, col: str, buckets: int, out: str) -> DataFrame:
+    """Buckets along a text column at quantiles of the six bytes that follow the column's common prefix."""
+    ends = df.agg(F.min(col).alias("a"), F.max(col).alias("b")).first()
+    prefix = len(os.path.commonprefix([(ends["a"] or "").encode(), (ends["b"] or "").encode()]))
+    head = F.substring(F.encode(F.col(col), "utf-8"), prefix + 1, 6)
+    code = F.conv(F.rpad(F.hex(head), 12, "0"), 16, 10).cast("double")
+    coded = df.withColumn("_text", F.coalesce(code, F.lit(-1.0)))
+    bounds, _ = _quantiles(coded, ["_text"], buckets)
+    return _bucketize(coded, "_text", bounds[0], out).drop("_text")
+
+
 def _numbers(suffix: str, values: Sequence[float]) -> str:
     """An array literal as SQL text: one expression, however long."""
     return "array(" + ", ".join(f"{v!r}{suffix}" for v in values) + ")"

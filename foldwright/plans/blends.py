@@ -152,20 +152,35 @@ def greedy_step1(spark, folder):
     return tidy(reduce(DataFrame.unionByName, pieces))
 
 
-STEPS = 3
+# Members that differ from the label by independent noise, so that blending them gains.
+NOISE = {f"noisy{i}": 0.2 + 0.05 * i for i in range(5)}
+GREEDY_MODELS = [*Q.MODELS, *NOISE]
+# The SQL twin writes every step out; selection itself ends when nothing gains, well before.
+SQL_STEPS = 30
+
+
+def noisy_library(spark, folder) -> DataFrame:
+    rows = library(spark, folder)
+    draw = {m: F.lit(2.0) * hash_uniform(i, F.col("row_id")) - F.lit(1.0) for i, m in enumerate(NOISE)}
+    return rows.withColumns({m: F.col("y") * (F.lit(1.0) + F.lit(a) * draw[m]) for m, a in NOISE.items()})
 
 
 def _greedy_sql() -> str:
-    """Greedy selection unrolled for a fixed number of steps, on the Gram matrix."""
+    """Greedy selection written out step by step on the Gram matrix, over the whole noisy library."""
+    noisy = " UNION ALL ".join(
+        f"SELECT '{m}' AS model, iter, fold, row_id, y, y * (1 + {a!r}::DOUBLE * (2 * {Q.uniform(i, 'row_id')} - 1)) AS pred FROM wide"
+        for i, (m, a) in enumerate(NOISE.items())
+    )
     parts = [
-        Q.SCORES,
-        """e AS (SELECT model, iter, fold, row_id, (y - pred) / y AS e FROM preds)""",
-        """g AS (SELECT a.iter, a.fold, a.model AS i, b.model AS j, avg(a.e * b.e) AS g FROM e a JOIN e b ON a.iter = b.iter AND a.fold = b.fold AND a.row_id = b.row_id GROUP BY ALL)""",
-        "w AS (SELECT unnest(range(101)) / 100.0::DOUBLE AS weight)",
-        "c0 AS (SELECT model, CASE WHEN model_rank = 1 THEN 1.0::DOUBLE ELSE 0 END AS c FROM ranking)",
-        "best0 AS (SELECT 0 AS step, model, 1.0::DOUBLE AS weight, cv_mean AS score FROM ranking WHERE model_rank = 1)",
+        Q.LIBRARY,
+        f"""e AS MATERIALIZED (SELECT model, iter, fold, row_id, (y - pred) / y AS e FROM (SELECT * FROM preds UNION ALL {noisy}))""",
+        """g AS MATERIALIZED (SELECT a.iter, a.fold, a.model AS i, b.model AS j, avg(a.e * b.e) AS g FROM e a JOIN e b ON a.iter = b.iter AND a.fold = b.fold AND a.row_id = b.row_id GROUP BY ALL)""",
+        "w AS MATERIALIZED (SELECT unnest(range(101)) / 100.0::DOUBLE AS weight)",
+        "single AS MATERIALIZED (SELECT i AS model, avg(sqrt(g)) AS score FROM g WHERE i = j GROUP BY i)",
+        "best0 AS MATERIALIZED (SELECT 0 AS step, model, 1.0::DOUBLE AS weight, score FROM single ORDER BY round(score, 9), model LIMIT 1)",
+        "c0 AS MATERIALIZED (SELECT s.model, CASE WHEN s.model = b.model THEN 1.0::DOUBLE ELSE 0 END AS c FROM single s, best0 b)",
     ]
-    for s in range(1, STEPS + 1):
+    for s in range(1, SQL_STEPS + 1):
         p = s - 1
         parts += [
             f"own{s} AS (SELECT iter, fold, sum(a.c * b.c * g) AS own FROM g JOIN c{p} a ON a.model = i JOIN c{p} b ON b.model = j GROUP BY ALL)",
@@ -173,25 +188,25 @@ def _greedy_sql() -> str:
             f"""try{s} AS (SELECT x.model, weight, round(avg(sqrt(greatest(weight * weight * own + 2 * weight * (1 - weight) * cx + (1 - weight) * (1 - weight) * g.g, 0))), 9) AS score
             FROM cross{s} x JOIN own{s} o USING (iter, fold) JOIN g ON g.iter = x.iter AND g.fold = x.fold AND g.i = x.model AND g.j = x.model, w GROUP BY ALL)""",
             f"top{s} AS (SELECT model, min_by(weight, (score, weight)) AS weight, min(score) AS score FROM try{s} GROUP BY model)",
-            f"""best{s} AS (SELECT {s} AS step, t.model, t.weight, t.score FROM top{s} t, best{p} b WHERE b.score - t.score >= 0.000001::DOUBLE ORDER BY t.score, t.model LIMIT 1)""",
-            f"c{s} AS (SELECT c.model, c.c * b.weight + CASE WHEN c.model = b.model THEN 1 - b.weight ELSE 0 END AS c FROM c{p} c, best{s} b)",
+            f"""best{s} AS MATERIALIZED (SELECT {s} AS step, t.model, t.weight, t.score FROM top{s} t, best{p} b WHERE b.score - t.score >= 0.000001::DOUBLE ORDER BY t.score, t.model LIMIT 1)""",
+            f"c{s} AS MATERIALIZED (SELECT c.model, c.c * b.weight + CASE WHEN c.model = b.model THEN 1 - b.weight ELSE 0 END AS c FROM c{p} c, best{s} b)",
         ]
-    picks = " UNION ALL ".join(f"SELECT * FROM best{s}" for s in range(STEPS + 1))
+    picks = " UNION ALL ".join(f"SELECT * FROM best{s}" for s in range(SQL_STEPS + 1))
     return f"WITH {', '.join(parts)} SELECT CAST(step AS BIGINT) AS step, model, weight, round(score, 6) AS score FROM ({picks})"
 
 
 @query("greedy_full", _greedy_sql())
 def greedy_full(spark, folder):
-    gram = E.gram_matrix(library(spark, folder), Q.MODELS, "rmspe")
-    recipe = E.greedy_select(gram, Q.MODELS, max_steps=STEPS)
-    return tidy(E.recipe_table(spark, recipe))
+    """Selection over the whole library until no candidate gains."""
+    gram = E.gram_matrix(noisy_library(spark, folder), GREEDY_MODELS, "rmspe")
+    return tidy(E.recipe_table(spark, E.greedy_select(gram, GREEDY_MODELS)))
 
 
 @query("recipe_round_trip", _greedy_sql())
 def recipe_round_trip(spark, folder):
     """The recipe as a stored table."""
-    gram = E.gram_matrix(library(spark, folder), Q.MODELS, "rmspe")
-    table = E.recipe_table(spark, E.greedy_select(gram, Q.MODELS, max_steps=STEPS))
+    gram = E.gram_matrix(noisy_library(spark, folder), GREEDY_MODELS, "rmspe")
+    table = E.recipe_table(spark, E.greedy_select(gram, GREEDY_MODELS))
     return tidy(files.round_trip(table, "recipe"))
 
 
@@ -253,10 +268,10 @@ def prefix_best(spark, folder):
 @query(
     "rank_average",
     f"""WITH {Q.LIBRARY}, r AS (SELECT iter, fold, row_id, row_number() OVER (PARTITION BY model, iter, fold ORDER BY pred, row_id) / CAST(count(*) OVER (PARTITION BY model, iter, fold) AS DOUBLE) AS rp
-    FROM preds WHERE model IN ('by_kind', 'by_stratum', 'ols')) SELECT {IF}, row_id, round(avg(rp), 6) AS pred FROM r GROUP BY iter, fold, row_id""",
+    FROM preds) SELECT {IF}, row_id, round(avg(rp), 6) AS pred FROM r GROUP BY iter, fold, row_id""",
 )
 def rank_average(spark, folder):
-    ranked = E.rank_normalise(L.to_long(library(spark, folder), ["by_kind", "by_stratum", "ols"]))
+    ranked = E.rank_normalise(predictions(spark, folder))
     return tidy(ranked.groupBy("iter", "fold", "row_id").agg(F.avg("rank_pred").alias("pred")))
 
 
@@ -427,6 +442,5 @@ def raw_plus_meta(spark, folder):
 @query("greedy_by_gini")
 def greedy_by_gini(spark, folder):
     """Selection under a metric that is no mean of squares."""
-    wide = materialise(library(spark, folder, 1).select("iter", "fold", "row_id", "y", "by_kind", "by_stratum", "ols"), "wide")
-    recipe = E.greedy_by_scoring(wide, ["by_kind", "by_stratum", "ols"], "gini", max_steps=2, steps=4)
-    return tidy(E.recipe_table(spark, recipe))
+    wide = materialise(noisy_library(spark, folder).select("iter", "fold", "row_id", "y", *GREEDY_MODELS), "wide")
+    return tidy(E.recipe_table(spark, E.greedy_by_scoring(wide, GREEDY_MODELS, "gini")))

@@ -369,8 +369,8 @@ def sign_text_rows(spark, folder):
     return spark.read.text(path)
 
 
-DROP_COLUMNS = ["open", "promo", "school_holiday", "state_holiday", "store_type", "competition_distance", "promo2", "promo2_year", "sales"]
-DROP_TEXT = {"state_holiday", "store_type"}
+DROP_COLUMNS = [c for c in MERGED_COLUMNS if c not in ("row_id", "sales")]
+DROP_TEXT = {"state_holiday", "store_type", "date_text", "stratum", "assortment"}
 MAX_SAME = 4000
 
 

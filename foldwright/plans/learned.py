@@ -138,29 +138,24 @@ def refit_predict(spark, folder):
 
 @query("train_library")
 def train_library(spark, folder):
-    """Models with stored parameters, trained only where the prediction table lacks them."""
-    from functools import reduce
-
-    from pyspark.sql import DataFrame
-
+    """All models with stored parameters for these rows, trained only where the prediction table lacks them."""
     from foldwright.plans.blends import STORED_PARAMS
     from foldwright.session import scratch_path
-    from foldwright.sources import files
 
     table = sales_features(spark, folder)
     path = scratch_path(spark, "predictions")
-    files.append_predictions(LE.out_of_fold(table, "ridge", FEATURES, K, 1, STORED_PARAMS["standard_ridge"]), path)
-    names = ["ridge", "lasso"]
-    parts = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(0).alias("iter"), F.lit(f).alias("fold")) for m in names for f in range(K)])
-    wanted = spark.range(1).select(F.explode(parts).alias("_p")).select("_p.*")
-    todo = L.missing_work(wanted, files.read_predictions(spark, path))
-    left = sorted({r["model"] for r in todo.collect()})  # model and fold names only
-    pieces = [LE.out_of_fold(table, m, FEATURES, K, 1, SE.with_default_params(STORED_PARAMS[f"standard_{m}"], m)) for m in left]
-    files.append_predictions(reduce(DataFrame.unionByName, pieces), path)
-    return tidy(files.read_predictions(spark, path).select("model", "iter", "fold", "row_id", "pred"), 4)
-
-
-@query("failed_fit")
+    names = ["ridge", "lasso", "xgb_rank", "xgb_linear", "xgb_tree"]
+    models = {m: SE.with_default_params(STORED_PARAMS[f"standard_{m}"], m) for m in names}
+    LE.train_missing(table, path, {"ridge": models["ridge"]}, FEATURES, K - 1)
+    have = LE.train_missing(table, path, models, FEATURES, K)
+    return tidy(have.select("model", "iter", "fold", "row_id", "pred"), 4)
+
+
+@query(
+    "failed_fit",
+    f"""WITH {Q.MERGED}, {Q.stratified("merged", iters=1)}
+    SELECT 'xgb_count' AS model, CAST(fold AS BIGINT) AS fold, count(*) AS n, 1::BIGINT AS failed, 0.0::DOUBLE AS top FROM folded GROUP BY fold""",
+)
 def failed_fit(spark, folder):
     """A learner that cannot be fitted yields zeros and a flag, not the end of the run."""
     out = LE.out_of_fold(sales_features(spark, folder), "xgb_count", FEATURES, K, 1, {"lambda": -1.0}, fail_to_zero=True)

@@ -163,12 +163,12 @@ def gini_by_fold(spark, folder):
 @query(
     "lorenz_curve",
     f"""WITH {Q.LIBRARY}, w AS (SELECT model, iter, fold, row_id, y, row_number() OVER p AS rank, sum(y) OVER (PARTITION BY model, iter, fold ORDER BY pred DESC, row_id ROWS UNBOUNDED PRECEDING) AS cum,
-      sum(y) OVER (PARTITION BY model, iter, fold) AS total, count(*) OVER (PARTITION BY model, iter, fold) AS n FROM preds WHERE model IN ('by_kind', 'ols')
+      sum(y) OVER (PARTITION BY model, iter, fold) AS total, count(*) OVER (PARTITION BY model, iter, fold) AS n FROM preds
       WINDOW p AS (PARTITION BY model, iter, fold ORDER BY pred DESC, row_id))
     SELECT model, {IF}, row_id, rank, round(cum / total, 6) AS lorenz, round((rank - 1) / CAST(n - 1 AS DOUBLE), 6) AS even FROM w""",
 )
 def lorenz_curve(spark, folder):
-    scored = L.to_long(library(spark, folder), ["by_kind", "ols"])
+    scored = predictions(spark, folder)
     curve = O.lorenz_curve(scored, "pred", "y", ["model", "iter", "fold"])
     return tidy(curve.select("model", "iter", "fold", "row_id", "rank", "lorenz", "even"))
 
@@ -337,12 +337,12 @@ def class_ratio(spark, folder):
 @query(
     "rank_normalise",
     f"""WITH {Q.LIBRARY} SELECT model, {IF}, row_id, round(row_number() OVER (PARTITION BY model, iter, fold ORDER BY pred, row_id) / CAST(count(*) OVER (PARTITION BY model, iter, fold) AS DOUBLE), 6) AS rank_pred
-    FROM preds WHERE model IN ('by_stratum', 'ridge')""",
+    FROM preds""",
 )
 def rank_normalise(spark, folder):
     from foldwright.operators.ensemble import rank_normalise as normalise
 
-    ranked = normalise(L.to_long(library(spark, folder), ["by_stratum", "ridge"]))
+    ranked = normalise(predictions(spark, folder))
     return tidy(ranked.select("model", "iter", "fold", "row_id", "rank_pred"))
 
 

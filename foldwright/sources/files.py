@@ -59,15 +59,16 @@ def write_features(df: DataFrame, path: str, feature_set: str) -> None:
 
 
 def append_predictions(predictions: DataFrame, path: str) -> None:
-    """Append to the prediction table. The rebalance hint spreads a large (model, iter, fold) over
-    several tasks and keeps small ones in one file."""
+    """Put whole (model, iter, fold) parts into the prediction table: new ones are added, parts that it holds are
+    replaced. The rebalance hint spreads a large part over several tasks and keeps small ones in one file."""
     keys = ("model", "iter", "fold")
     chosen = predictions.select(*keys, "row_id", "pred")
-    chosen.hint("rebalance", *keys).write.mode("append").partitionBy(*keys).parquet(path)
+    chosen.hint("rebalance", *keys).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
 
 
-def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION_SCHEMA).parquet(path)
+def read_predictions(spark: SparkSession, path: str, row_id: str = "bigint") -> DataFrame:
+    """The prediction table; ``row_id`` is the type of its row key."""
+    return spark.read.schema(PREDICTION_SCHEMA.replace("row_id bigint", f"row_id {row_id}")).parquet(path)
 
 
 def write_per_model(predictions: DataFrame, path: str, id_col: str, target: str) -> None:

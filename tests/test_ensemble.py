@@ -89,13 +89,13 @@ def test_recipe_is_kept_when_nothing_improves(spark):
 
 
 def test_greedy_by_scoring_agrees_with_gram_on_a_loss(wide):
-    direct = E.greedy_by_scoring(wide, MODELS[:3], "rmspe", max_steps=2, steps=10)
-    gram = E.greedy_select(E.gram_matrix(wide, MODELS[:3]), MODELS[:3], max_steps=2, steps=10)
+    direct = E.greedy_by_scoring(wide, MODELS[:3], "rmspe", steps=10)
+    gram = E.greedy_select(E.gram_matrix(wide, MODELS[:3]), MODELS[:3], steps=10)
     assert [(s.model, s.weight) for s in direct] == [(s.model, s.weight) for s in gram]
 
 
 def test_greedy_by_scoring_maximises_gini(wide):
-    recipe = E.greedy_by_scoring(wide, MODELS[:3], "gini", max_steps=2, steps=4)
+    recipe = E.greedy_by_scoring(wide, MODELS[:3], "gini", steps=4)
     assert all(b.score - a.score >= E.MIN_GAIN for a, b in zip(recipe, recipe[1:]))
 
 
