@@ -62,7 +62,7 @@ def mismatch(spark_frame: pd.DataFrame, sql_frame: pd.DataFrame) -> str | None:
 
 
 def type_difference(spark_df, con, sql: str) -> str | None:
-    same = {"bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER"}
+    same = {"bigint": "BIGINT", "boolean": "BOOLEAN", "double": "DOUBLE", "string": "VARCHAR", "int": "INTEGER"}
     ours = {f.name: same.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in spark_df.schema.fields}
     theirs = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
     off = {c: (ours[c], theirs.get(c)) for c in ours if ours[c] != theirs.get(c)}
