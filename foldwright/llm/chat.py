@@ -102,15 +102,20 @@ def format_conversations(rows: DataFrame, path: str = RANKS) -> DataFrame:
     )
     schema = to_arrow_schema(StructType.fromDDL(PARTS))
 
-    def part(conv, number: int, turns: list[tuple[str, str]]) -> pa.RecordBatch:
+    def part(conv, number: int, turns: list[tuple[str, str]]) -> tuple:
         library, sizes = tokenizer(path)
         text, spans = render(turns)
         ids = np.array(library.encode(text, allowed_special="all"), np.int64)
         loss = masked_spans(ids, loss_mask(ids, spans, sizes), sizes)
-        row = {"conv_id": conv, "part": number, "n_turns": len(turns), "formatted": text, "ids": ids.tolist(), "loss": [{"start": a, "end": b} for a, b in loss]}
-        return pa.RecordBatch.from_pylist([row], schema=schema)
+        return conv, number, len(turns), text, ids.astype(np.int32), [{"start": a, "end": b} for a, b in loss]
 
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def batch_of(parts: list[tuple]) -> pa.RecordBatch:
+        conv, number, n_turns, text, ids, loss = zip(*parts, strict=True)
+        ends = np.cumsum([0, *map(len, ids)], dtype=np.int32)
+        ids = pa.ListArray.from_arrays(ends, np.concatenate(ids), type=schema.field("ids").type)
+        return pa.RecordBatch.from_pydict({"conv_id": conv, "part": number, "n_turns": n_turns, "formatted": text, "ids": ids, "loss": loss}, schema=schema)
+
+    def parts_of(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple]:
         now, number, turns, held = None, 0, [], 0
         for batch in batches:
             convs, roles, texts = (batch.column(i).to_pylist() for i in (0, 2, 3))
@@ -124,6 +129,17 @@ def format_conversations(rows: DataFrame, path: str = RANKS) -> DataFrame:
         if turns:
             yield part(now, number, turns)
 
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for made in parts_of(batches):
+            held.append(made)
+            size += len(made[3])
+            if size > PART:
+                yield batch_of(held)
+                held, size = [], 0
+        if held:
+            yield batch_of(held)
+
     # sorted runs of rows, not groups: a task reads turn by turn
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").mapInArrow(work, PARTS)
 
@@ -133,16 +149,17 @@ def digests(rows: DataFrame) -> DataFrame:
     out = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now = None
+        now, done = None, []
 
-        def told() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pylist([now | {"turns_sha256": turns.hexdigest(), "loss_sha256": loss.hexdigest()}], schema=schema)
+        def told() -> dict:
+            return now | {"turns_sha256": turns.hexdigest(), "loss_sha256": loss.hexdigest()}
 
         for batch in batches:
-            for row in batch.to_pylist():
+            # the tokens are not needed here: the loss spans were read off them
+            for row in batch.drop_columns(["ids"]).to_pylist():
                 if row["part"] == 0:
                     if now:
-                        yield told()
+                        done.append(told())
                     now = {"conv_id": row["conv_id"], "n_turns": 0, "loss_chars": 0, "formatted_chars": 0}
                     turns, loss = hashlib.sha256(), hashlib.sha256()
                 text = row["formatted"]
@@ -155,8 +172,10 @@ def digests(rows: DataFrame) -> DataFrame:
                     now["loss_chars"] += len(said)
                     loss.update(said.encode())
                 now["formatted_chars"] += len(text)
+            yield pa.RecordBatch.from_pylist(done, schema=schema)
+            done = []
         if now:
-            yield told()
+            yield pa.RecordBatch.from_pylist([told()], schema=schema)
 
     schema = to_arrow_schema(StructType.fromDDL(out))
     return format_conversations(rows).mapInArrow(work, out)
