@@ -173,9 +173,37 @@ def _boosting(cls, params, **extra):
     )
 
 
+def kept_rounds(losses: Sequence[float], patience: int) -> int:
+    """Rounds up to the best loss, looking until ``patience`` rounds in a row bring none better."""
+    best = 0
+    for at, loss in enumerate(losses):
+        if loss < losses[best]:
+            best = at
+        elif at - best >= patience:
+            break
+    return best + 1
+
+
+def _patient(estimator, train: DataFrame, features: Sequence[str], patience: int, loss: tuple[str, ...]):
+    """``estimator`` with as many rounds as the watch set (``is_valid``) asks for. All rounds are fitted on the other
+    rows and scored round by round; the rounds of a shorter fit are the first of a longer one."""
+    rows = train.filter(~F.col("is_valid"))
+    watch = assemble(train.filter("is_valid"), features)
+    losses = estimator.fit(assemble(rows, features)).evaluateEachIteration(watch, *loss)
+    return estimator.copy({estimator.maxIter: kept_rounds(losses, patience)}), rows
+
+
 def boosted(train, features, params):
-    """Boosted trees. A 0/1 column ``is_valid`` in the training frame is the watch set for early stopping."""
+    """Boosted trees. A 0/1 column ``is_valid`` in the training frame is the watch set for early stopping: with
+    ``early_stopping_rounds`` after so many rounds without gain, else at the first flat round."""
     extra = {}
+    if "is_valid" in train.columns and params.get("early_stopping_rounds"):
+        train = train.withColumn("is_valid", F.col("is_valid") == 1)
+        if params.get("weighted"):
+            train = train.withColumn("_w", inverse_square_weight(F.col("y")))
+            extra["weightCol"] = "_w"
+        made = _boosting(R.GBTRegressor, params, **extra)
+        return _fit_plain(*_patient(made, train, features, int(params["early_stopping_rounds"]), ("squared",)), features)
     if "is_valid" in train.columns:
         train = train.withColumn("is_valid", F.col("is_valid") == 1)
         extra = {"validationIndicatorCol": "is_valid", "validationTol": float(params.get("tol", 0.0))}
@@ -187,6 +215,10 @@ def boosted(train, features, params):
 
 def boosted_class(train, features, params):
     extra = {}
+    if "is_valid" in train.columns and params.get("early_stopping_rounds"):
+        train = train.withColumn("is_valid", F.col("is_valid") == 1)
+        made = _boosting(C.GBTClassifier, params)
+        return _fit_probability(*_patient(made, train, features, int(params["early_stopping_rounds"]), ()), features)
     if "is_valid" in train.columns:
         train = train.withColumn("is_valid", F.col("is_valid") == 1)
         extra = {"validationIndicatorCol": "is_valid", "validationTol": float(params.get("tol", 0.0))}

@@ -87,3 +87,25 @@ def test_text_ties_over_many_tasks(spark, keys):
     assert made == sorted(made)
     most = ordering_buckets(rows, "v", True, "key", 16).groupBy(CODE).count().agg(F.max("count")).first()[0]
     assert most < 8000
+
+
+def test_patience():
+    losses = [5, 4, 4.5, 4.2, 3, 3.5, 3.6, 3.7, 2]
+    assert LE.kept_rounds(losses, 2) == 2  # the third and fourth bring nothing
+    assert LE.kept_rounds(losses, 3) == 5  # the fifth does, the three after it do not
+    assert LE.kept_rounds(losses, 4) == 9
+    assert LE.kept_rounds([5, 4, 3], 10) == 3
+
+
+@pytest.mark.parametrize("learner", ["xgb_tree", "xgb_fix"])
+def test_boosting_keeps_the_best_rounds(spark, points, learner):
+    x, y, z = points
+    rows = frame(spark, x, z if learner == "xgb_fix" else y).withColumn("is_valid", (F.col("row_id") % 3 == 0).cast("int"))
+    params = {"num_rounds": 8, "max_depth": 2, "eta": 0.5}
+    patient = LE.LEARNERS[learner](rows, ["x"], params | {"early_stopping_rounds": 8})
+    watch = rows.filter("is_valid = 1").select("row_id", "x", "y")
+    made = {r.row_id: r.pred for r in patient(watch).collect()}
+    # the same as the best of all shorter fits on the rows that are not watched
+    plain = {n: LE.LEARNERS[learner](rows.filter("is_valid = 0").drop("is_valid"), ["x"], params | {"num_rounds": n}) for n in range(1, 9)}
+    same = [n for n, fit in plain.items() if {r.row_id: r.pred for r in fit(watch).collect()} == pytest.approx(made)]
+    assert same
