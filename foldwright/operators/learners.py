@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from foldwright.functions.scalar import inverse_square_weight
 from foldwright.operators.folds import head_fraction
 from foldwright.operators.library import missing_work
+from foldwright.operators.neighbours import knn_classify, knn_join, knn_regress
 from foldwright.operators.pairs import preference_pairs
 from foldwright.session import materialise
 from foldwright.sources import files
@@ -309,13 +310,15 @@ def adaboost(train, features, params):
         tree = R.DecisionTreeRegressor(**COMMON, maxDepth=int(params.get("max_depth", 8)), weightCol="_w", seed=SEED + number)
         fitted = tree.fit(rows)
         errors = fitted.transform(rows).withColumn("_e", F.abs(F.col("y") - F.col("pred")))
-        top = errors.agg(F.max("_e")).first()[0]
+        # the loss is a share of the largest error, so its mean needs no second pass
+        total = errors.agg(F.max("_e").alias("top"), F.sum(F.col("_w") * F.col("_e")).alias("we"), F.sum("_w").alias("w")).first()
+        top = total["top"]
         if not top:
             trees.append(fitted)
             says.append(1.0)
             break
         loss = F.col("_e") / F.lit(top)
-        mean_loss = errors.agg((F.sum(F.col("_w") * loss) / F.sum("_w"))).first()[0]
+        mean_loss = total["we"] / top / total["w"]
         if mean_loss >= 0.5 and trees:
             break
         beta = mean_loss / max(1.0 - mean_loss, 1e-12)
@@ -346,6 +349,24 @@ def adaboost(train, features, params):
     return predict
 
 
+def _neighbours_of(decide, default_k: int) -> Fit:
+    """A learner that keeps its training rows and asks ``decide`` about the nearest of them."""
+
+    def fit(train, features, params):
+        vector = F.array(*[F.col(f).cast("double") for f in features]).alias("vector")
+        refs = train.select(F.col("row_id").alias("ref_id"), vector)
+        k, weights = int(params.get("n_neighbors", default_k)), params.get("weights", "distance")
+
+        def predict(df: DataFrame) -> DataFrame:
+            near = knn_join(df.select(F.col("row_id").alias("query_id"), vector), refs, k, probes=params.get("probes"))
+            preds = decide(near, train.select("row_id", "y"), weights=weights)
+            return df.join(preds.select(F.col("query_id").alias("row_id"), F.col("pred").cast("double").alias("pred")), "row_id").select(*df.columns, "pred")
+
+        return predict
+
+    return fit
+
+
 # Names under which parameter spaces and recipes refer to learners.
 LEARNERS: dict[str, Fit] = {
     "linear": linear,
@@ -378,6 +399,8 @@ LEARNERS: dict[str, Fit] = {
     "xgb_art": two_direction,
     "fm": factorisation,
     "adaboost": adaboost,
+    "knn": _neighbours_of(knn_regress, 50),
+    "knnC": _neighbours_of(knn_classify, 50),
 }
 
 # Learners whose watch set is the validation fold itself.

@@ -1,13 +1,18 @@
-"""Exact k-nearest-neighbour join, and what is built on it: regression, classification, mean-target
-features and oversampling.
+"""k-nearest-neighbour join, exact or by the nearest cells, and what is built on it: regression,
+classification, mean-target features and oversampling.
 
-Small reference side (size checked): it is sent to the tasks and queries are scanned once.
+Small reference side (rows and bytes checked): it is sent to the tasks and queries are scanned once.
 
-Otherwise both sides are cut into cells around pivot vectors. A first pass compares each query with
-one block of its own cell, which bounds its k-th distance; the triangle inequality then rules out
-cells that cannot hold anything closer. What is left is joined block by block: a task gets at most
-one block of references and one chunk of queries, and emits k rows per query, never all pairs.
-Cells are cut into blocks by their size, so one dense cell does not become one task.
+Otherwise both sides are cut into cells around pivot vectors, whose number grows with the square root of
+the references. A first pass compares each query with one block of each of its nearest cells, which bounds
+its k-th distance; the triangle inequality then rules out cells that cannot hold anything closer. What is
+left is joined block by block: a task gets at most one block of references and one chunk of queries, and
+emits k rows per query, never all pairs. Chunks hold queries of one cell, which ask for much the same
+blocks. Cells are cut into blocks by their size, so one dense cell does not become one task.
+
+Pruning lives on structure: among vectors that spread evenly over dozens of dimensions all distances are
+alike, no cell can be ruled out, and an exact join compares everything. ``probes`` then looks into that many
+nearest cells only; how many of the true neighbours it finds is to be measured on the data at hand.
 """
 
 from __future__ import annotations
@@ -16,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +29,11 @@ from foldwright.functions.hashing import hash_hex, hash_uniform
 from foldwright.session import materialise
 
 BLOCK_ROWS = 4096
+BLOCK_BYTES = 1 << 26
 CHUNK_ROWS = 16_384
 SLICE = 512
+MARGIN = 16
+FIRST_CELLS = 3
 RELATIVE_SLACK = 1e-9
 
 
@@ -33,32 +41,45 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.vstack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
+def _ids(column: pd.Series) -> np.ndarray:
+    """Whole numbers, or text in an array that sorts by code points."""
+    return np.array(column.tolist(), dtype=str) if column.dtype == object else column.to_numpy()
+
+
 def _nearest(
     q: np.ndarray, q_skip: np.ndarray, r: np.ndarray, r_skip: np.ndarray, r_id: np.ndarray, k: int, limit: np.ndarray
-) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query: positions and squared distances of its k nearest references not above ``limit``.
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Per slice of queries: query positions, reference positions and squared distances of the k nearest
+    references not above ``limit``.
 
     A matrix product narrows the field; survivors are measured again by direct differences, so
     distances do not suffer from the cancellation in |q|^2 + |r|^2 - 2qr.
     """
     r_norm = (r * r).sum(axis=1)
+    few = min(len(r), k + MARGIN)
     for start in range(0, len(q), SLICE):
         part = q[start : start + SLICE]
         q_norm = (part * part).sum(axis=1)
         rough = q_norm[:, None] + r_norm[None, :] - 2.0 * (part @ r.T)
         rough[q_skip[start : start + SLICE, None] == r_skip[None, :]] = np.inf
-        if rough.shape[1] > k:
-            kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
-        else:
-            kth = np.full(len(part), np.inf)
+        kth = np.partition(rough, k - 1, axis=1)[:, k - 1] if len(r) > k else np.full(len(part), np.inf)
         slack = RELATIVE_SLACK * (q_norm + (r_norm.max() if len(r_norm) else 0.0))
-        bound = np.minimum(kth, limit[start : start + SLICE]) + slack
-        for row in range(len(part)):
-            near = np.flatnonzero((rough[row] <= bound[row]) & np.isfinite(rough[row]))
-            diff = r[near] - part[row]
-            exact = (diff * diff).sum(axis=1)
-            order = np.lexsort((r_id[near], exact))[:k]
-            yield start + row, near[order], exact[order]
+        near = (rough <= (np.minimum(kth, limit[start : start + SLICE]) + slack)[:, None]) & np.isfinite(rough)
+        crowded = near.sum(axis=1) > few  # more near ties than the margin holds
+        at = np.argpartition(rough, few - 1, axis=1)[:, :few] if few < len(r) else np.tile(np.arange(len(r)), (len(part), 1))
+        diff = r[at] - part[:, None, :]
+        exact = np.where(np.take_along_axis(near, at, 1), (diff * diff).sum(axis=2), np.inf)
+        exact[crowded] = np.inf
+        order = np.lexsort((r_id[at], exact), axis=1)[:, :k]
+        at, exact = np.take_along_axis(at, order, 1), np.take_along_axis(exact, order, 1)
+        rows, cols = np.nonzero(np.isfinite(exact))
+        yield start + rows, at[rows, cols], exact[rows, cols]
+        for row in np.flatnonzero(crowded):
+            tied = np.flatnonzero(near[row])
+            diff = r[tied] - part[row]
+            d2 = (diff * diff).sum(axis=1)
+            best = np.lexsort((r_id[tied], d2))[:k]
+            yield np.full(len(best), start + row), tied[best], d2[best]
 
 
 def _skip_codes(pdf: pd.DataFrame, absent: int) -> np.ndarray:
@@ -75,21 +96,24 @@ def knn_join(
     skip: str | None = None,
     block_rows: int = BLOCK_ROWS,
     chunk_rows: int = CHUNK_ROWS,
+    probes: int | float | None = None,
 ) -> DataFrame:
     """The ``k`` nearest references of every query: (query_id, ref_id, distance, neighbour_rank).
 
-    ``skip`` names an integer column on both sides; a pair with equal values is left out (for
-    out-of-fold use: the fold). Equal distances are ordered by ``ref_id``.
+    Ids are whole numbers or text. ``skip`` names an integer column on both sides; a pair with equal values is
+    left out (for out-of-fold use: the fold). Equal distances are ordered by ``ref_id``. With ``probes`` a
+    reference side that is cut into cells is searched in that many nearest cells only (below 1: that share of the
+    cells), which may miss some.
     """
-    spark = queries.sparkSession
     extra = [F.col(skip).cast("int").alias("skip")] if skip else []
-    q = queries.select(F.col(query_id).cast("bigint").alias("qid"), F.col(vector).cast("array<double>").alias("v"), *extra)
-    r = refs.select(F.col(ref_id).cast("bigint").alias("rid"), F.col(vector).cast("array<double>").alias("v"), *extra)
-    head = r.limit(block_rows + 1).toPandas()
-    if len(head) <= block_rows:
-        found = _join_with_sent_block(q, head, k)
+    q = queries.select(_key(queries, query_id).alias("qid"), F.col(vector).cast("array<double>").alias("v"), *extra)
+    r = refs.select(_key(refs, ref_id).alias("rid"), F.col(vector).cast("array<double>").alias("v"), *extra)
+    start = r.limit(block_rows + 1)
+    size = start.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("v") * 8).alias("bytes")).first()
+    if size["rows"] <= block_rows and (size["bytes"] or 0) <= BLOCK_BYTES:
+        found = _join_with_sent_block(q, start.toPandas(), k)
     else:
-        found = _join_by_blocks(spark, q, r, k, block_rows, chunk_rows)
+        found = _join_by_blocks(q, r, k, block_rows, chunk_rows, probes)
     order = Window.partitionBy("qid").orderBy("d2", "rid")  # k rows per visited block
     ranked = found.withColumn("neighbour_rank", F.row_number().over(order)).filter(F.col("neighbour_rank") <= k)
     return ranked.select(
@@ -100,123 +124,155 @@ def knn_join(
     )
 
 
+def _key(df: DataFrame, name: str) -> Column:
+    return F.col(name) if isinstance(df.schema[name].dataType, T.StringType) else F.col(name).cast("bigint")
+
+
+def _found_schema(q: DataFrame, r: DataFrame) -> str:
+    return f"qid {q.schema['qid'].dataType.simpleString()}, rid {r.schema['rid'].dataType.simpleString()}, d2 double"
+
+
 def _join_with_sent_block(q: DataFrame, refs: pd.DataFrame, k: int) -> DataFrame:
-    block = _matrix(refs["v"])
-    block_id = refs["rid"].to_numpy()
-    block_skip = _skip_codes(refs, -2)
+    block, block_id, block_skip = _matrix(refs["v"]), _ids(refs["rid"]), _skip_codes(refs, -2)
+    rid = "string" if block_id.dtype.kind == "U" else "bigint"
 
     def scan(batches):
         for pdf in batches:
             yield _pairs(pdf, block, block_id, block_skip, k, np.full(len(pdf), np.inf))
 
-    return q.mapInPandas(scan, "qid bigint, rid bigint, d2 double")
+    return q.mapInPandas(scan, f"qid {q.schema['qid'].dataType.simpleString()}, rid {rid}, d2 double")
 
 
 def _pairs(pdf, block, block_id, block_skip, k, limit) -> pd.DataFrame:
-    qids, rids, dists = [], [], []
+    rows, near, d2 = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     if len(pdf) and len(block):
-        ids = pdf["qid"].to_numpy()
-        for row, near, d2 in _nearest(_matrix(pdf["v"]), _skip_codes(pdf, -1), block, block_skip, block_id, k, limit):
-            qids.append(np.full(len(near), ids[row]))
-            rids.append(block_id[near])
-            dists.append(d2)
-    join = lambda parts, kind: np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
-    return pd.DataFrame({"qid": join(qids, "int64"), "rid": join(rids, "int64"), "d2": join(dists, "float64")})
+        found = list(_nearest(_matrix(pdf["v"]), _skip_codes(pdf, -1), block, block_skip, block_id, k, limit))
+        rows, near, d2 = (np.concatenate(parts) for parts in zip(*found, strict=True))
+    rid = block_id[near]
+    return pd.DataFrame({"qid": pdf["qid"].to_numpy()[rows], "rid": rid.astype(object) if rid.dtype.kind == "U" else rid, "d2": d2})
+
+
+def _pivot_gaps(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of rows to all pivots, by direct differences."""
+    return np.stack([np.sqrt(((rows - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
-def _with_cell(df: DataFrame, pivots: np.ndarray, all_distances: bool = False) -> DataFrame:
-    """Nearest pivot and the distance to it (or to all pivots) for each row."""
-    kind = "struct<cell:int,dist:double,all:array<double>>" if all_distances else "struct<cell:int,dist:double>"
+def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Nearest pivot and the distance to it."""
 
-    @F.pandas_udf(kind)
+    @F.pandas_udf("struct<cell:int,dist:double>")
     def place(v: pd.Series) -> pd.DataFrame:
-        rows = _matrix(v)
-        gaps = np.stack([np.sqrt(((rows - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
-        cell = gaps.argmin(axis=1).astype("int32")
-        out = {"cell": cell, "dist": gaps[np.arange(len(rows)), cell]}
-        if all_distances:
-            out["all"] = list(gaps)
-        return pd.DataFrame(out)
+        cells, dists = np.zeros(len(v), "int32"), np.zeros(len(v))
+        for start in range(0, len(v), SLICE):
+            gaps = _pivot_gaps(_matrix(v[start : start + SLICE]), pivots)
+            cells[start : start + SLICE], dists[start : start + SLICE] = gaps.argmin(axis=1), gaps.min(axis=1)
+        return pd.DataFrame({"cell": cells, "dist": dists})
 
     return df.withColumn("_p", place("v")).select(*df.columns, "_p.*")
 
 
-def _join_by_blocks(spark, q: DataFrame, r: DataFrame, k: int, block_rows: int, chunk_rows: int) -> DataFrame:
-    n_refs, n_queries = r.count(), q.count()
-    n_pivots = int(min(256, max(2, round((n_refs / block_rows) ** 0.5 * 4))))
-    # pivots: the references first in hash order, a fixed number of them
-    picked = r.orderBy(hash_hex(17, F.col("rid")), "rid").limit(n_pivots).toPandas()
-    pivots = _matrix(picked["v"])
-    placed_refs = materialise(_with_cell(r, pivots), "knn-refs")
-    # one row per pivot
-    cells = placed_refs.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).toPandas()
-    n_blocks = np.zeros(len(pivots), dtype=int)
-    lo, hi = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+class _Pieces:
+    """How many pieces every cell is cut into, and the number of its first piece."""
+
+    def __init__(self, rows_per_cell: np.ndarray, most: int):
+        self.n = -(-rows_per_cell // most)
+        self.first = np.concatenate([[0], np.cumsum(self.n)[:-1]])
+
+    def of(self, cell: str, key: str) -> Column:
+        first, n = self.first, np.maximum(self.n, 1)
+        piece = F.pandas_udf(lambda c, h: pd.Series(first[c.to_numpy()] + h.to_numpy() % n[c.to_numpy()]), "bigint")
+        return piece(F.col(cell), F.xxhash64(key))
+
+
+def _rows_per_cell(placed: DataFrame, n_cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, smallest and largest pivot distance of every cell: one row per pivot."""
+    cells = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).toPandas()
+    n, lo, hi = np.zeros(n_cells, int), np.full(n_cells, np.inf), np.full(n_cells, -np.inf)
     at = cells["cell"].to_numpy()
-    n_blocks[at] = np.ceil(cells["n"].to_numpy() / block_rows).astype(int)
-    lo[at], hi[at] = cells["lo"].to_numpy(), cells["hi"].to_numpy()
-    first_block = np.concatenate([[0], np.cumsum(n_blocks)[:-1]])
-    chunks = max(1, -(-n_queries // chunk_rows))
-
-    counts = F.array(*[F.lit(int(max(b, 1))) for b in n_blocks])
-    firsts = F.array(*[F.lit(int(f)) for f in first_block])
-    blocked = placed_refs.withColumn(
-        "block", F.get(firsts, F.col("cell")) + F.pmod(F.xxhash64("rid"), F.get(counts, F.col("cell")).cast("bigint")).cast("int")
-    ).select("rid", "v", *[c for c in ("skip",) if c in r.columns], "block")
-
-    placed = materialise(
-        _with_cell(q, pivots, all_distances=True).withColumn("chunk", F.pmod(F.xxhash64("qid"), F.lit(chunks)).cast("int")),
-        "knn-queries",
-    )
-    total = int(n_blocks.sum())
+    n[at], lo[at], hi[at] = cells["n"], cells["lo"], cells["hi"]
+    return n, lo, hi
 
-    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return _pairs(left, _matrix(right["v"]), right["rid"].to_numpy(), _skip_codes(right, -2), k, left["bound"].to_numpy())
 
-    def meet(asked: DataFrame) -> DataFrame:
-        # A reference block is sent only to the chunks that ask for it.
-        wanted = asked.select(F.col("block").alias("block"), F.col("chunk").alias("chunk")).distinct()
-        sent = blocked.join(F.broadcast(wanted) if total * chunks <= 100_000 else wanted, "block")
-        return asked.groupBy("block", "chunk").cogroup(sent.groupBy("block", "chunk")).applyInPandas(
-            match, "qid bigint, rid bigint, d2 double"
-        )
-
-    base = [c for c in ("qid", "v", "skip", "chunk") if c in placed.columns]
-    home = F.get(firsts, F.col("cell")) + F.pmod(F.xxhash64("qid"), F.get(counts, F.col("cell")).cast("bigint")).cast("int")
-    first = placed.filter(F.get(F.array(*[F.lit(int(b)) for b in n_blocks]), F.col("cell")) > 0).select(
-        *base, home.alias("block"), F.lit(float("inf")).alias("bound")
-    )
-    # the k-th distance within one block of the home cell; unknown when that block has fewer than k
-    bounds = (
-        meet(first)
-        .groupBy("qid")
-        .agg(F.max("d2").alias("kth"), F.count(F.lit(1)).alias("found"))
-        .select("qid", F.when(F.col("found") >= k, F.col("kth")).alias("kth"))
-    )
-    bounded = materialise(placed.join(bounds, "qid", "left").withColumn("bound", F.coalesce("kth", F.lit(float("inf")))), "knn-bounds")
+def _join_by_blocks(q: DataFrame, r: DataFrame, k: int, block_rows: int, chunk_rows: int, probes: int | float | None) -> DataFrame:
+    # pivots: the references first in hash order; 10^12 references have 62,500 of them
+    n_pivots = max(2, round((r.count() / block_rows) ** 0.5 * 4))
+    pivots = _matrix(r.orderBy(hash_hex(17, F.col("rid")), "rid").limit(n_pivots).toPandas()["v"])
+    placed_refs = materialise(_with_cell(r, pivots), "knn-refs")
+    placed = materialise(_with_cell(q, pivots), "knn-queries")
+    n_refs, lo, hi = _rows_per_cell(placed_refs, len(pivots))
+    blocks = _Pieces(n_refs, block_rows)
+    chunks = _Pieces(_rows_per_cell(placed, len(pivots))[0], chunk_rows)
+    first, n_blocks = blocks.first, blocks.n
+    blocked = materialise(placed_refs.withColumn("block", blocks.of("cell", "rid")).drop("cell", "dist"), "knn-blocks")
+    base = [*q.columns, "chunk"]
+    asking = placed.withColumn("chunk", chunks.of("cell", "qid"))
+    schema = _found_schema(q, r)
 
-    gaps = np.sqrt(((pivots[:, None, :] - pivots[None, :, :]) ** 2).sum(axis=2))
+    def match(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _pairs(left, _matrix(right["v"]), _ids(right["rid"]), _skip_codes(right, -2), k, left["bound"].to_numpy())
 
-    @F.pandas_udf("array<int>")
-    def to_visit(dists: pd.Series, cell: pd.Series, bound: pd.Series) -> pd.Series:
-        rows = _matrix(dists)
-        own = cell.to_numpy()
-        radius = np.sqrt(bound.to_numpy()) * (1.0 + 1e-9) + 1e-9
-        near = rows[np.arange(len(rows)), own]
-        ring = np.maximum(rows - hi[None, :], lo[None, :] - rows)
+    def meet(asked: DataFrame) -> DataFrame:
+        """``asked`` has the list ``blocks`` of every query. A reference block is sent only to the chunks that ask for it."""
+        asked = materialise(asked, "knn-asked").select(*base, "bound", F.explode("blocks").alias("block"))
+        wanted = asked.select(F.col("block").alias("block"), F.col("chunk").alias("to_chunk")).distinct()
+        sent = blocked.join(wanted, "block").withColumnRenamed("block", "to_block")
+        return asked.groupBy("block", "chunk").cogroup(sent.groupBy("to_block", "to_chunk")).applyInPandas(match, schema)
+
+    def nearest_cells(gaps: np.ndarray, count: int) -> np.ndarray:
+        """Which cells are the nearest ``count`` that hold references."""
+        gaps = np.where(n_blocks[None, :] > 0, gaps, np.inf)
+        if count >= gaps.shape[1]:
+            return np.isfinite(gaps)
+        return (gaps <= np.partition(gaps, count - 1, axis=1)[:, count - 1 : count]) & np.isfinite(gaps)
+
+    def all_blocks(visit: np.ndarray) -> list[list[int]]:
+        return [[b for c in np.flatnonzero(row) for b in range(first[c], first[c] + n_blocks[c])] for row in visit]
+
+    def sliced(work, v: pd.Series, *others: pd.Series) -> pd.Series:
+        out = []
+        for start in range(0, len(v), SLICE):
+            rows = _matrix(v[start : start + SLICE])
+            out += work(rows, _pivot_gaps(rows, pivots), *[o[start : start + SLICE].to_numpy() for o in others])
+        return pd.Series(out, dtype=object)
+
+    no_bound = F.lit(float("inf")).alias("bound")
+    if probes:
+        probes = max(1, round(probes * len(pivots))) if probes < 1 else int(probes)
+        probed = F.pandas_udf(lambda v: sliced(lambda rows, gaps: all_blocks(nearest_cells(gaps, probes)), v), "array<bigint>")
+        return meet(asking.select(*base, no_bound, probed("v").alias("blocks")))
+
+    def one_block_each(rows, gaps, key):
+        near = nearest_cells(gaps, FIRST_CELLS)
+        return [[int(first[c] + h % n_blocks[c]) for c in np.flatnonzero(row)] for row, h in zip(near, key, strict=True)]
+
+    begin = F.pandas_udf(lambda v, h: sliced(one_block_each, v, h), "array<bigint>")
+    started = meet(asking.select(*base, no_bound, begin("v", F.xxhash64("qid")).alias("blocks")))
+    # the k-th of at most FIRST_CELLS * k distances; unknown when fewer were found
+    kth = F.get(F.sort_array(F.collect_list("d2")), F.lit(k - 1))
+    bounds = started.groupBy("qid").agg(kth.alias("bound"))
+    bounded = asking.join(bounds, "qid", "left").withColumn("bound", F.coalesce("bound", F.lit(float("inf"))))
+
+    def within(rows, gaps, cell, bound):
+        radius = np.sqrt(bound) * (1.0 + 1e-9) + 1e-9
+        near = gaps[np.arange(len(rows)), cell]
+        ring = np.maximum(gaps - hi[None, :], lo[None, :] - gaps)
+        apart = _pivot_gaps(pivots[cell], pivots)
         with np.errstate(divide="ignore", invalid="ignore"):
-            plane = (rows**2 - near[:, None] ** 2) / (2.0 * gaps[own])
-        plane = np.where(gaps[own] > 0, plane, 0.0)
-        visit = (np.maximum(ring, plane) <= radius[:, None]) & (n_blocks[None, :] > 0)
-        return pd.Series([[int(b) for c in np.flatnonzero(v) for b in range(first_block[c], first_block[c] + n_blocks[c])] for v in visit])
+            plane = np.where(apart > 0, (gaps**2 - near[:, None] ** 2) / (2.0 * apart), 0.0)
+        return all_blocks((np.maximum(ring, plane) <= radius[:, None]) & (n_blocks[None, :] > 0))
 
-    asked = bounded.select(*base, "bound", F.explode(to_visit("all", "cell", "bound")).alias("block"))
-    return meet(asked)
+    to_visit = F.pandas_udf(lambda v, cell, bound: sliced(within, v, cell, bound), "array<bigint>")
+    return meet(bounded.select(*base, "bound", to_visit("v", "cell", "bound").alias("blocks")))
 
 
-def knn_regress(neighbours: DataFrame, targets: DataFrame, query_id: str = "query_id", ref_id: str = "ref_id", y: str = "y") -> DataFrame:
-    """Distance-weighted mean; when some distance is 0, the mean over the rows at distance 0."""
+def knn_regress(
+    neighbours: DataFrame, targets: DataFrame, query_id: str = "query_id", ref_id: str = "ref_id", y: str = "y", weights: str = "distance"
+) -> DataFrame:
+    """Distance-weighted mean; when some distance is 0, the mean over the rows at distance 0. ``weights='uniform'``
+    is the plain mean."""
     joined = neighbours.join(targets.select(F.col("row_id").alias(ref_id), y), ref_id)
+    if weights == "uniform":
+        return joined.groupBy(query_id).agg(F.avg(y).alias("pred"))
     exact = F.col("distance") == 0
     return joined.groupBy(query_id).agg(
         F.coalesce(
@@ -226,9 +282,14 @@ def knn_regress(neighbours: DataFrame, targets: DataFrame, query_id: str = "quer
     )
 
 
-def knn_classify(neighbours: DataFrame, targets: DataFrame, query_id: str = "query_id", ref_id: str = "ref_id", y: str = "y") -> DataFrame:
-    """Class with the largest distance-weighted vote; equal votes go to the smaller class."""
+def knn_classify(
+    neighbours: DataFrame, targets: DataFrame, query_id: str = "query_id", ref_id: str = "ref_id", y: str = "y", weights: str = "distance"
+) -> DataFrame:
+    """Class with the largest distance-weighted vote (``weights='uniform'``: the most votes); equal votes go to the
+    smaller class."""
     joined = neighbours.join(targets.select(F.col("row_id").alias(ref_id), y), ref_id)
+    if weights == "uniform":
+        joined = joined.withColumn("distance", F.lit(1.0))
     votes = joined.groupBy(query_id, y).agg(
         F.count_if(F.col("distance") == 0).alias("_exact"),
         F.sum(F.when(F.col("distance") > 0, F.lit(1.0) / F.col("distance")).otherwise(F.lit(0.0))).alias("_vote"),

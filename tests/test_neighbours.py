@@ -84,3 +84,33 @@ def test_smote_counts_and_modes(df, points, mode, minority_only):
         assert 0 <= u < 1 and np.allclose(step, u * direction)
     if minority_only:
         assert out.filter("synthetic = 1 and neighbour_id % 6 <> 0").count() == 0
+
+
+def test_text_keys_and_ties(spark, points):
+    """Equal distances are ordered by the text key, in both forms."""
+    rows = [(f"doc-{i}", [float(v) for v in p]) for i, p in enumerate(points[-300:])]
+    df = spark.createDataFrame(rows, "row_id string, vector array<double>")
+    q, r = df.withColumnRenamed("row_id", "query_id"), df.withColumnRenamed("row_id", "ref_id")
+    sent = sorted(N.knn_join(q, r, 3).collect())
+    assert sorted(N.knn_join(q, r, 3, block_rows=40, chunk_rows=70).collect()) == sent
+    copies = sorted(name for name, p in rows if p == rows[-1][1])
+    assert [row["ref_id"] for row in sent if row["query_id"] == copies[0]] == copies[:3]
+
+
+def test_structure_is_pruned(spark):
+    """Far clusters are not compared: few blocks are visited, and the result is the exact one."""
+    rng = np.random.default_rng(4)
+    points = rng.normal(0, 1, (2000, 8)) + np.repeat(np.arange(20), 100)[:, None] * 40
+    df = spark.createDataFrame([(i, [float(v) for v in p]) for i, p in enumerate(points)], "id bigint, vector array<double>")
+    q, r = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "ref_id")
+    exact = sorted(N.knn_join(q, r, 5).collect())
+    assert sorted(N.knn_join(q, r, 5, block_rows=50, chunk_rows=100).collect()) == exact
+    some = set(N.knn_join(q, r, 5, block_rows=50, chunk_rows=100, probes=4).select("query_id", "ref_id").collect())
+    assert len(some & {(row["query_id"], row["ref_id"]) for row in exact}) >= 0.9 * len(exact)
+
+
+def test_weights_uniform(spark):
+    near = spark.createDataFrame([(1, 10, 1.0, 1), (1, 11, 2.0, 2), (1, 12, 9.0, 3)], "query_id bigint, ref_id bigint, distance double, neighbour_rank bigint")
+    targets = spark.createDataFrame([(10, 4.0), (11, 8.0), (12, 8.0)], "row_id bigint, y double")
+    assert N.knn_regress(near, targets, weights="uniform").first()["pred"] == pytest.approx(20 / 3)
+    assert N.knn_classify(near, targets, weights="uniform").first()["pred"] == 8.0
