@@ -12,13 +12,15 @@ from dataclasses import dataclass
 from itertools import count
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foldwright.functions.metrics import METRICS
 from foldwright.functions.scalar import inverse_square_weight
-from foldwright.operators.library import score, to_long
+from foldwright.operators.library import score, to_long, to_wide
 from foldwright.operators.ranking import ranked_by_value
 
 # Fixed values of the selection: weights 0, 0.01, ..., 1 and the smallest gain worth a step.
@@ -61,7 +63,8 @@ def gram_by_expressions(wide: DataFrame, models: Sequence[str], metric: str = "r
 
 
 def gram_by_blocks(wide: DataFrame, models: Sequence[str], metric: str = "rmspe", y: str = "y") -> DataFrame:
-    """The same for a library of hundreds: each task adds up E'WE per (iter, fold) and emits only that."""
+    """The same for a library of hundreds: each task adds up the upper triangle of E'WE per (iter, fold) and emits
+    it as one vector. Vectors are added in two rounds, so that no task receives one from every other."""
     names = list(models)
     rows = wide.select(
         "iter",
@@ -70,6 +73,7 @@ def gram_by_blocks(wide: DataFrame, models: Sequence[str], metric: str = "rmspe"
         *[(F.col(y) - F.col(m)).cast("double").alias(f"e{i}") for i, m in enumerate(names)],
     )
     columns = [f"e{i}" for i in range(len(names))]
+    upper = np.triu_indices(len(names))
 
     def add_up(batches):
         sums: dict[tuple[int, int], list] = {}
@@ -83,21 +87,25 @@ def gram_by_blocks(wide: DataFrame, models: Sequence[str], metric: str = "rmspe"
         import pandas as pd
 
         for (iteration, fold), (gram, n) in sums.items():
-            yield pd.DataFrame({"iter": [iteration], "fold": [fold], "n": [n], "gram": [gram.ravel().tolist()]})
+            yield pd.DataFrame({"iter": [iteration], "fold": [fold], "n": [n], "gram": [gram[upper].tolist()]})
+
+    def added(parts: DataFrame, *keys: str) -> DataFrame:
+        return parts.groupBy("iter", "fold", *keys).agg(F.sum("n").alias("n"), Summarizer.sum(F.col("gram")).alias("gram"))
 
     partial = rows.mapInPandas(add_up, "iter int, fold int, n long, gram array<double>")
-    # One row per task and fold. Cells are summed by position, so the sum is a plain aggregation.
-    cells = partial.select("iter", "fold", "n", F.posexplode("gram").alias("pos", "cell"))
-    summed = cells.groupBy("iter", "fold", "pos").agg((F.sum("cell") / F.sum("n")).alias("g"))
+    partial = partial.select("iter", "fold", "n", array_to_vector("gram").alias("gram"))
+    slots = int(wide.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    summed = added(added(partial.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(slots))), "slot"))
+    # from here on one row per fold
+    cells = summed.select("iter", "fold", "n", F.posexplode(vector_to_array("gram")).alias("pos", "cell"))
     table = F.array(*[F.lit(n) for n in names])
-    size = len(names)
-    return summed.select(
-        "iter",
-        "fold",
-        F.get(table, (F.col("pos") / size).cast("int")).alias("i"),
-        F.get(table, F.col("pos") % size).alias("j"),
-        "g",
-    )
+    ends = F.expr("array(" + ", ".join(map(str, np.cumsum(np.arange(len(names), 0, -1)))) + ")")
+    row = F.size(F.filter(ends, lambda e: e <= F.col("pos")))
+    cells = cells.withColumn("_i", row).withColumn("_j", F.col("pos") - F.get(ends, F.col("_i")) + F.lit(len(names)))
+    one = F.struct(F.get(table, F.col("_i")).alias("i"), F.get(table, F.col("_j")).alias("j"))
+    other = F.struct(F.get(table, F.col("_j")).alias("i"), F.get(table, F.col("_i")).alias("j"))
+    both = F.when(F.col("_i") == F.col("_j"), F.array(one)).otherwise(F.array(one, other))
+    return cells.select("iter", "fold", F.explode(both).alias("_c"), (F.col("cell") / F.col("n")).alias("g")).select("iter", "fold", "_c.*", "g")
 
 
 def weight_grid(gram: DataFrame, first: str, second: str, steps: int = WEIGHT_STEPS) -> DataFrame:
@@ -293,6 +301,13 @@ def prefix_average(wide: DataFrame, ranked_models: Sequence[str], kind: str = "a
     )
 
 
+def prefix_rank_average(predictions: DataFrame, ranked_models: Sequence[str]) -> DataFrame:
+    """The same on ranks within model and fold: mean rank share of the best 1, 2, ... models."""
+    keys = ["iter", "fold", "row_id", "y"]
+    ranks = rank_normalise(predictions).select("model", *keys, F.col("rank_pred").alias("pred"))
+    return prefix_average(to_wide(ranks, ranked_models, keys), ranked_models)
+
+
 def prefix_scores(averages: DataFrame, metric: str) -> DataFrame:
     """CV score per prefix length, with the best length flagged (ties: the shorter one)."""
     scored = score(averages, metric, groups=["n_models", "iter", "fold"])

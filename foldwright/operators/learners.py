@@ -489,13 +489,13 @@ def refit(train: DataFrame, test: DataFrame, learner: str, features: Sequence[st
     return LEARNERS[learner](train, features, dict(params or {}))(test)
 
 
-def isotonic_calibration(scores: DataFrame, resolution: float = 1e-4) -> DataFrame:
+def isotonic_calibration(scores: DataFrame) -> DataFrame:
     """Calibrated probabilities: each fold is calibrated on the out-of-fold scores of the others.
 
-    Scores in 0..1 are first averaged per step of ``resolution``; the fit then sees at most
-    1 / resolution + 1 weighted points, whatever the number of rows.
+    Equal scores become one weighted point. Spark's fit pools adjacent violators inside ranges of the
+    score on the executors; only the pooled blocks meet on the driver.
     """
-    binned = scores.withColumn("_p", F.round(F.col("pred") / resolution) * resolution)
+    binned = scores.withColumn("_p", F.col("pred") + F.lit(0.0))
     points = materialise(binned.groupBy("iter", "fold", "_p").agg(F.sum("y").alias("_y"), F.count(F.lit(1)).alias("_n")), "points")
     pieces = []
     for part in points.select("iter", "fold").distinct().orderBy("iter", "fold").collect():  # one row per fold

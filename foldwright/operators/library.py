@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foldwright.functions.metrics import METRICS
+from foldwright.functions.scalar import model_key
 from foldwright.operators.ordered_metrics import normalised_gini, roc_auc
 from foldwright.session import small_side
 
@@ -102,6 +103,14 @@ def completeness(index: DataFrame, k: int, iters: int) -> DataFrame:
     return counted.withColumn("complete", (F.col("n_parts") == k * iters).cast("int"))
 
 
+def library_listing(index: DataFrame, k: int, iters: int) -> DataFrame:
+    """Keys of the complete members over feature set, model and trial (null: the model's own parameters)."""
+    member = ["feat", "model", "trial"]
+    parts = index.select(*member, "iter", "fold").distinct().groupBy(*member).agg(F.count(F.lit(1)).alias("n_parts"))
+    complete = parts.filter(F.col("n_parts") == k * iters)
+    return complete.select(*member, model_key(F.col("feat"), F.col("model"), F.col("trial")).alias("key"))
+
+
 def missing_work(wanted: DataFrame, existing: DataFrame, forced: Sequence[str] = ()) -> DataFrame:
     """(model, iter, fold) still to train: not there yet, or asked for again."""
     keys = ["model", "iter", "fold"]

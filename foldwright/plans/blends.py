@@ -275,6 +275,20 @@ def rank_average(spark, folder):
     return tidy(ranked.groupBy("iter", "fold", "row_id").agg(F.avg("rank_pred").alias("pred")))
 
 
+@query(
+    "prefix_rank_average",
+    f"""WITH {Q.SCORES}, r AS (SELECT p.iter, p.fold, p.row_id, model_rank AS n_models, row_number() OVER (PARTITION BY model, iter, fold ORDER BY pred, row_id) / CAST(count(*) OVER (PARTITION BY model, iter, fold) AS DOUBLE) AS rp
+    FROM preds p JOIN ranking USING (model)) SELECT {IF}, row_id, n_models, round(avg(rp) OVER (PARTITION BY iter, fold, row_id ORDER BY n_models ROWS UNBOUNDED PRECEDING), 6) AS pred FROM r""",
+)
+def prefix_rank_average(spark, folder):
+    """Mean rank of the best 1, 2, ... models, best by score."""
+    wide = library(spark, folder)
+    long = L.to_long(wide, Q.MODELS)
+    order = L.ranking(L.cv_summary(L.score(long, "rmspe")), "rmspe").orderBy("model_rank").collect()  # one row per model
+    averaged = E.prefix_rank_average(long, [r["model"] for r in order])
+    return tidy(averaged.select("iter", "fold", "row_id", "n_models", "pred"))
+
+
 # Known scores of eight stored submissions.
 KNOWN = {1: 0.391206, 2: 0.391175, 3: 0.391161, 4: 0.391131, 5: 0.391122, 6: 0.383670, 7: 0.381138, 8: 0.328270}
 _NOISE = Q.uniform(17, "s", "row_id")

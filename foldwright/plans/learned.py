@@ -15,6 +15,7 @@ from foldwright.operators import stacking as ST
 from foldwright.plans import sql as Q
 from foldwright.plans.common import library, predictions, tidy
 from foldwright.plans.ingest import merged
+from foldwright.plans.metric import BINARY, binary_scores
 from foldwright.plans.registry import query
 from foldwright.sources import tables
 
@@ -101,6 +102,25 @@ def isotonic_calibration(spark, folder):
     return tidy(calibrated.select("iter", "fold", "row_id", "y", "pred", "calibrated"))
 
 
+@query(
+    "isotonic_of_score",
+    f"""WITH {BINARY}, s AS (SELECT iter, fold, row_id, y, pred FROM scored WHERE model = 'length'), f AS (SELECT DISTINCT iter, fold FROM s),
+    pts AS (SELECT f.iter, f.fold, s.pred AS p, sum(s.y) AS sy, count(*) AS n FROM f JOIN s ON s.iter = f.iter AND s.fold <> f.fold GROUP BY ALL),
+    c AS (SELECT *, row_number() OVER w AS i, sum(sy) OVER w AS cs, sum(n) OVER w AS cn FROM pts WINDOW w AS (PARTITION BY iter, fold ORDER BY p)),
+    m AS (SELECT a.iter, a.fold, a.i AS j, b.i AS i, (b.cs - a.cs + a.sy) / (b.cn - a.cn + a.n) AS mean FROM c a JOIN c b ON a.iter = b.iter AND a.fold = b.fold AND a.i <= b.i),
+    low AS (SELECT iter, fold, j, i, min(mean) OVER (PARTITION BY iter, fold, j ORDER BY i DESC ROWS UNBOUNDED PRECEDING) AS low FROM m),
+    g AS (SELECT c.iter, c.fold, c.p, max(low) AS v FROM low JOIN c USING (iter, fold, i) GROUP BY ALL),
+    near AS (SELECT s.iter, s.fold, s.row_id, s.y, s.pred, max(g.p) FILTER (g.p <= s.pred) AS pl, max_by(g.v, g.p) FILTER (g.p <= s.pred) AS vl,
+      min(g.p) FILTER (g.p >= s.pred) AS ph, min_by(g.v, g.p) FILTER (g.p >= s.pred) AS vh FROM s JOIN g ON s.iter = g.iter AND s.fold = g.fold GROUP BY ALL)
+    SELECT CAST(iter AS BIGINT) AS iter, CAST(fold AS BIGINT) AS fold, row_id, y, round(pred, 6) AS pred,
+      round(CASE WHEN pl IS NULL THEN vh WHEN ph IS NULL OR ph = pl THEN vl ELSE vl + (vh - vl) * (pred - pl) / (ph - pl) END, 6) AS calibrated FROM near""",
+)
+def isotonic_of_score(spark, folder):
+    """A given score calibrated: the fit is the largest of the smallest block means, between points it is linear."""
+    scores = binary_scores(spark, folder).filter("model = 'length'")
+    return tidy(LE.isotonic_calibration(scores).select("iter", "fold", "row_id", "y", "pred", "calibrated"))
+
+
 @query("auc_of_learner")
 def auc_of_learner(spark, folder):
     return _scored(LE.out_of_fold(doc_features(spark, folder), "logistic", DOC_FEATURES, K, 1, {"C": 1.0}), "auc")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foldwright.functions.metrics import METRICS, rmspe, rmspe_of_logs
+from foldwright.functions.scalar import model_key, model_key_feat, model_key_model, model_key_trial
 from foldwright.operators import folds as FO
 from foldwright.operators import library as L
 from foldwright.operators import ordered_metrics as O
@@ -226,6 +227,30 @@ def metric_dispatch(spark, folder):
     return tidy(reduce(DataFrame.unionByName, pieces), 4)
 
 
+@query(
+    "metric_direction",
+    f"""WITH {BINARY}, s AS (SELECT model, iter, fold, row_id, y, round(pred, 9) AS pred, least(greatest(pred, 1e-15::DOUBLE), 1 - 1e-15::DOUBLE) AS p FROM scored),
+    r AS (SELECT *, rank() OVER (PARTITION BY model, iter, fold ORDER BY pred) + (count(*) OVER (PARTITION BY model, iter, fold, pred) - 1) / 2.0::DOUBLE AS rk,
+      row_number() OVER (PARTITION BY model, iter, fold ORDER BY pred DESC, row_id) AS rp, row_number() OVER (PARTITION BY model, iter, fold ORDER BY y DESC, row_id) AS rt,
+      count(*) OVER (PARTITION BY model, iter, fold) AS n FROM s),
+    m AS (SELECT 'auc' AS metric, 1 AS higher_is_better, model, iter, fold, (sum(CASE WHEN y = 1 THEN rk ELSE 0 END) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y))) AS score FROM r GROUP BY ALL
+      UNION ALL SELECT 'logloss', 0, model, iter, fold, avg(-(y * ln(p) + (1 - y) * ln(1 - p))) FROM s GROUP BY ALL
+      UNION ALL SELECT 'gini', 1, model, iter, fold, (max(n) / 2.0::DOUBLE - sum(y * (n - rp + 1)) / sum(y)) / (max(n) / 2.0::DOUBLE - sum(y * (n - rt + 1)) / sum(y)) FROM r GROUP BY ALL),
+    c AS (SELECT metric, higher_is_better, model, avg(score) AS cv_mean FROM m GROUP BY ALL)
+    SELECT metric, CAST(higher_is_better AS BIGINT) AS higher_is_better, model, round(cv_mean, 6) AS cv_mean,
+      row_number() OVER (PARTITION BY metric ORDER BY CASE higher_is_better WHEN 1 THEN -cv_mean ELSE cv_mean END, model) AS model_rank FROM c""",
+)
+def metric_direction(spark, folder):
+    """Models ranked by every metric of a binary target, each in its own direction."""
+    exact = binary_scores(spark, folder)
+    rounded = exact.withColumn("pred", F.round("pred", 9))
+    pieces = []
+    for name, scored in (("auc", rounded), ("logloss", exact), ("gini", rounded)):
+        ranked = L.ranking(L.cv_summary(L.score(scored, name)), name)
+        pieces.append(ranked.withColumn("higher_is_better", F.lit(int(METRICS[name].higher_is_better))))
+    return tidy(reduce(DataFrame.unionByName, pieces).select("metric", "higher_is_better", "model", "cv_mean", "model_rank"))
+
+
 @query("cv_mean_std", f"WITH {Q.SCORES} SELECT model, round(cv_mean, 6) AS cv_mean, round(cv_std, 6) AS cv_std, n_folds FROM summary")
 def cv_mean_std(spark, folder):
     return tidy(L.cv_summary(L.score(predictions(spark, folder), "rmspe")).drop("metric"))
@@ -283,6 +308,27 @@ def model_library(spark, folder):
     return complete.select(F.lit("stand").alias("feat"), "model", F.concat_ws("_", F.lit("stand"), "model").alias("key"))
 
 
+@query(
+    "library_listing",
+    f"""WITH {Q.LIBRARY}, v(feat, trial) AS (VALUES ('stand', NULL), ('raw', 1), ('raw', 2)),
+    parts AS (SELECT DISTINCT feat, model, trial, iter, fold FROM preds, v WHERE NOT (coalesce(trial, 0) = 2 AND model IN ('ols', 'ridge') AND iter = 1 AND fold = 2))
+    SELECT feat, model, CAST(trial AS BIGINT) AS trial, feat || '_' || model || coalesce('@' || trial, '') AS key FROM parts GROUP BY feat, model, trial HAVING count(*) = {Q.K * Q.ITERS}""",
+)
+def library_listing(spark, folder):
+    """Two feature sets, one with two trials of every model, the second of which is unfinished for two models."""
+    member = [F.struct(F.lit(f).alias("feat"), F.lit(t).cast("int").alias("trial")) for f, t in (("stand", None), ("raw", 1), ("raw", 2))]
+    rows = predictions(spark, folder).withColumn("_m", F.explode(F.array(*member)))
+    unfinished = F.col("trial").eqNullSafe(2) & F.col("model").isin("ols", "ridge") & (F.col("iter") == 1) & (F.col("fold") == 2)
+    keyed = rows.select("_m.*", "model", "iter", "fold", "row_id", "pred").filter(~unfinished)
+    path = scratch_path(spark, "predictions")
+    files.append_predictions(keyed.withColumn("model", model_key(F.col("feat"), F.col("model"), F.col("trial"))), path)
+    key = F.col("model")
+    index = files.read_predictions(spark, path).select(
+        model_key_feat(key).alias("feat"), model_key_model(key).alias("model"), model_key_trial(key).alias("trial"), "iter", "fold"
+    )
+    return tidy(L.library_listing(index, Q.K, Q.ITERS))
+
+
 @query(
     "missing_work",
     f"""WITH {PARTIAL}, wanted AS (SELECT DISTINCT model, iter, fold FROM preds), have AS (SELECT DISTINCT model, iter, fold FROM done WHERE model <> 'mean')
