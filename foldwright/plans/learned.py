@@ -63,23 +63,23 @@ def doc_query(name: str, learner: str, params: dict | None = None):
 
 SMALL_TREES = {"num_rounds": 5, "max_depth": 3, "eta": 0.1, "subsample": 0.7, "colsample_bytree": 0.7, "min_child_weight": 3}
 
-sales_query("oof_forest", "rf", {"n_estimators": 10, "max_features": 0.7, "max_depth": 5})
+sales_query("oof_forest", "rf", {"n_estimators": 300, "max_features": 0.7, "max_depth": 5})
 sales_query("oof_deep_forest", "extratree", {"n_estimators": 5, "max_features": 0.7, "max_depth": 10})
 sales_query("oof_gbt", "gbf", {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.7})
 sales_query("oof_gbt_early_stop", "xgb_tree", SMALL_TREES)
 sales_query("oof_gbt_log_target", "xgb_log_target", SMALL_TREES)
 sales_query("oof_gbt_weighted", "gbf", {"n_estimators": 5, "max_depth": 3, "weighted": True})
 sales_query("oof_boosted_linear", "xgb_linear", {"alpha": 0.22, "lambda": 3.15})
-sales_query("oof_huber", "svr", {"epsilon": 0.35, "max_iter": 10})
+sales_query("oof_huber", "svr", {"epsilon": 0.35, "max_iter": 100})
 sales_query("oof_poisson", "xgb_count")
 sales_query("oof_pairwise", "xgb_rank", {"max_iter": 10})
 sales_query("oof_two_direction", "xgb_art", SMALL_TREES)
-sales_query("oof_fm", "fm", {"rank": 8, "max_iter": 10})
+sales_query("oof_fm", "fm", {"rank": 8, "max_iter": 100})
 sales_query("oof_adaboost", "adaboost", {"n_estimators": 3, "max_depth": 4})
 doc_query("oof_logistic", "logistic", {"C": 1.0})
 doc_query("oof_logistic_elastic", "xgb_binary", {"alpha": 0.22, "lambda": 3.15})
-doc_query("oof_forest_class", "rfC", {"n_estimators": 10, "max_features": 0.7, "max_depth": 4})
-doc_query("oof_deep_forest_class", "extratreeC", {"n_estimators": 5, "max_features": 0.7, "max_depth": 8})
+doc_query("oof_forest_class", "rfC", {"n_estimators": 300, "max_features": 0.7, "max_depth": 4})
+doc_query("oof_deep_forest_class", "extratreeC", {"n_estimators": 300, "max_features": 0.7, "max_depth": 20})
 doc_query("oof_gbt_class", "gbfC", {"n_estimators": 5, "max_depth": 3, "subsample": 0.8})
 doc_query("oof_gbt_class_early_stop", "xgb_fix", {**SMALL_TREES, "colsample_bytree": 1.0})
 doc_query("oof_svc", "svc", {"C": 1.0, "max_iter": 10})
