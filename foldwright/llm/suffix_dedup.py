@@ -8,7 +8,8 @@ a bucket gets runs of neighbouring suffixes as one piece of text rather than eve
 1. Anchors are counted (partial sums first). An anchor at one place only has no ties: its pieces never move. Frequent
    anchors go into a Bloom filter of bounded size; what exceeds it is dealt with in further rounds.
 2. Pieces with frequent anchors go to their bucket. An anchor with very many pieces is spread over several
-   buckets by a salt of the text; its strings' 128-bit fingerprints are then counted across them.
+   buckets by a salt of the piece (row, place and which copy of the row), so copies and a passage that one text repeats
+   are spread too; its strings' 128-bit fingerprints are then counted across them.
 3. A task sorts one bucket at a time, so its memory is bounded by the bucket. Suffixes are ordered by fingerprint;
    neighbours that tie are resolved without reading their whole strings: all places in a difference cover modulo
    ``COVER`` are ranked beforehand (equal ranks at depth 32 and, by doubling, 128 mean equal bytes), any two
@@ -24,11 +25,13 @@ copies and lose the same. Empty tables give no rows. Other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -169,6 +172,7 @@ def pieces(docs: DataFrame, sent, rounds: int, now: int, buckets: int, length: i
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hot, salts = sent.value
         bits = 64 * len(words)
+        partition, copies = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for held in segments_of(batch, length, segment):
                 runs = Runs([h[3] for h in held], length, kmer)
@@ -180,14 +184,21 @@ def pieces(docs: DataFrame, sent, rounds: int, now: int, buckets: int, length: i
                 place = np.searchsorted(hot, anchor)
                 is_hot = np.zeros(len(anchor), bool) if not len(hot) else hot[np.minimum(place, len(hot) - 1)] == anchor
                 key = np.array([h[1] for h in held], np.int64)[own]
-                salt = np.where(is_hot, key.view(np.uint64) % salts[np.minimum(place, len(hot) - 1)], 0) if len(hot) else np.zeros(len(anchor), np.uint64)
-                bucket = mixed(anchor + salt.astype(np.uint64) * _BASE[0]) % np.uint64(buckets)
+                at = np.array([h[2] for h in held], np.int64)[own] + first - runs.begin[own]
+                salt = np.zeros(len(anchor), np.uint64)
+                if is_hot.any():
+                    copy = np.zeros(len(held), np.int64)
+                    for i in np.unique(own[is_hot]).tolist():  # rows that agree are told by their number in the task
+                        copy[i] = copies[held[i][:3]]
+                        copies[held[i][:3]] += 1
+                    doc = np.array([h[0] or 0 for h in held], np.int64)[own]
+                    salt[is_hot] = (salt_of(partition, doc, key, at, copy[own]) % salts[np.minimum(place, len(hot) - 1)])[is_hot]
+                bucket = mixed(anchor + salt * _BASE[0]) % np.uint64(buckets)
                 data = runs.data.tobytes()
                 yield pa.RecordBatch.from_pydict(
                     {
                         "bucket": bucket.astype(np.int64), "hot": is_hot, "doc_id": [held[i][0] for i in own.tolist()], "text_key": key,
-                        "at": np.array([h[2] for h in held], np.int64)[own] + first - runs.begin[own],
-                        "piece": [data[a : b + length - 1] for a, b in zip(first.tolist(), last.tolist(), strict=True)],
+                        "at": at, "piece": [data[a : b + length - 1] for a, b in zip(first.tolist(), last.tolist(), strict=True)],
                     },
                     schema=schema,
                 )
@@ -195,6 +206,14 @@ def pieces(docs: DataFrame, sent, rounds: int, now: int, buckets: int, length: i
     return docs.mapInArrow(work, PIECE)
 
 
+def salt_of(partition: int, *columns: np.ndarray) -> np.ndarray:
+    """Hashes of rows of numbers; a task that runs again on the same rows, in any order, deals the same pieces alike."""
+    h = np.full(len(columns[0]), partition, np.uint64)
+    for c in columns:
+        h = mixed(h * _BASE[0] + c.view(np.uint64) + _BASE[1])
+    return h
+
+
 def round_of(anchor: np.ndarray, rounds: int) -> np.ndarray:
     return (mixed(anchor + _BASE[0]) % np.uint64(rounds)).astype(np.int64)
 
@@ -353,7 +372,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, kmer: int = KMER, segm
         marks = found.where("n > 0")
         twice = marks.groupBy("f1", "f2").agg(F.sum("n").alias("all")).where("all > 1").drop("all")
         spans = spans.union(marks.where("n = 1").join(twice, ["f1", "f2"]).select("doc_id", "text_key", "start", "end"))
-    return spans.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    return spans.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
 
 
 def united(spans: list[dict]) -> list[tuple[int, int]]:

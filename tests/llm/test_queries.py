@@ -17,7 +17,7 @@ import xxhash
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from foldwright.llm import bpe, language, line_dedup, mixing, quality, secrets, simhash
+from foldwright.llm import bpe, language, line_dedup, mixing, quality, secrets, simhash, suffix_dedup
 from foldwright.llm.queries import QUERIES
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -179,6 +179,26 @@ def test_suffixes(spark, folder, rows):
     assert told(got(spark, folder, "op3"), "doc_id n_bytes n_removed n_spans kept_sha256") == want
 
 
+def test_hot_anchors_of_copies_are_spread(spark, monkeypatch):
+    draw = random.Random(7)
+    noise = lambda n: "".join(draw.choice("abcdefghijklmnop") for _ in range(n))
+    copy, passage, alone = noise(700), noise(300), noise(900)
+    rows = [(k, copy) for k in range(150)] + [(7, copy)] * 100 + [(None, copy)] * 50
+    rows += [(1000, "".join(noise(230) + passage for _ in range(80))), (1001, alone)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept, dealt = suffix_dedup.pieces, []
+    monkeypatch.setattr(suffix_dedup, "pieces", lambda *a: dealt.append(kept(*a)) or dealt[-1])
+    made = suffix_dedup.remove_repeats(docs, hot_places=8, bucket_bytes=4096).collect()
+    hot = [(r.doc_id, r.text_key, r.bucket) for r in dealt[0].where("hot").collect()]
+    for own in ([h for h in hot if h[0] != 1000 and h[0] is not None], [h for h in hot if h[0] is None], [h for h in hot if h[0] == 7], [h for h in hot if h[0] == 1000]):
+        most = Counter(h[2] for h in own).most_common(1)[0][1]
+        assert most < len(own) / 8
+    assert len(made) == len(rows)
+    for r in made:
+        gone = sum(e - s for s, e in r.removed)
+        assert gone == (0 if r.doc_id == 1001 else 80 * 300 if r.doc_id == 1000 else 700) or (r.doc_id == 1000 and 0 <= gone - 80 * 300 < 200)
+
+
 def brute_quality(text: str) -> tuple:
     words = WORD.findall(text)
     windows = Counter(tuple(words[i : i + 8]) for i in range(len(words) - 7))
