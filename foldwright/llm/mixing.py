@@ -3,13 +3,14 @@
 1. Every document's size in words is summed per source; weights share the corpus, no source beyond
    ``max_repeat`` times its size (the excess is shared again by weight; solved in closed form by ordering
    sources by the level at which they hit their cap).
-2. Equal blocks of words are given to sources by Sainte-Lague: seat k of a source has the quotient
-   target / (2k - 1), the highest quotients win. A source's blocks are then given to its shards in the same
+2. The words of the mix are given to sources by Sainte-Lague: seat k of a source has the quotient
+   target / (2k - 1), the highest quotients win. A source's words are then given to its shards in the same
    way, by the words they hold, so every shard gets an integer quota.
-3. A shard orders its documents by a seeded hash and cuts that stream of words into blocks. A quota of q
-   among n blocks takes all blocks q div n times and q mod n of them once more, at even distances from a
-   seeded start. How many words of a document fall into taken blocks follows from its place in the stream,
-   so no row is made per block.
+3. A shard orders its documents by a seeded hash, which makes them one stream of words. A quota of q
+   among n words takes all words q div n times and q mod n of them once more, in blocks of consecutive words at
+   even distances from a seeded start. Blocks are as few as ``BLOCK`` words each allow and equal but for one word: 129
+   to 256 words, or all of them if fewer. The length depends on that shard only, not on the table or on other sources.
+   How many words of a document fall into blocks follows from its place in the stream, so no row is made per block.
 
 A source has about the square root of its documents in shards: shards and their content grow alike, and a
 hot source is many shards. Seats are settled without listing them all: quotients above a bound are counted
@@ -29,7 +30,8 @@ from foldwright.session import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
-MAX_BLOCK, BLOCKS_PER_SOURCE = 256, 256
+#: A block has at most so many words.
+BLOCK = 256
 SEED = 17
 
 
@@ -82,17 +84,33 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, group: list[str]
     return seat.groupBy(*keep, "_sure").agg(F.count_if("_won").alias("_more")).withColumn("won", F.col("_sure") + F.col("_more")).drop("_sure", "_more")
 
 
-def _block(x: Column) -> Column:
-    """The last block of a shard also has the words that fill no block: it is half to one and a half as long."""
-    return F.least(F.floor(x / F.col("block")), F.col("n_blocks") - 1)
+def _share(j: Column, p: Column | None = None) -> Column:
+    """Words of the shard's first ``j`` blocks."""
+    col = F.col if p is None else p.getField
+    return F.floor(F.least(j, col("n_blocks")) * col("extra") / F.greatest(col("n_blocks"), F.lit(1)))
+
+
+def _begin(j: Column, p: Column | None = None) -> Column:
+    """Where block ``j`` begins in the stream: after the words of the earlier blocks, and even gaps."""
+    col = F.col if p is None else p.getField
+    return _share(j, p) + F.floor((j * (col("shard_size") - col("extra")) + col("start")) / F.greatest(col("n_blocks"), F.lit(1)))
+
+
+def _near(x: Column, p: Column | None = None) -> Column:
+    """A block that begins at or before word ``x`` (else the first), of which at most the next does so too."""
+    col = F.col if p is None else p.getField
+    j = F.floor((x * col("n_blocks") - col("start")) / F.greatest(col("shard_size"), F.lit(1)))
+    return F.greatest(F.least(j, col("n_blocks") - 1), F.lit(0))
 
 
 def _taken_before(x: Column) -> Column:
-    """Words of the shard's stream before word ``x`` that lie in blocks taken once more."""
-    block = _block(x)
-    before = F.floor((block * F.col("extra") + F.col("start")) / F.col("n_blocks"))
-    after = F.floor(((block + 1) * F.col("extra") + F.col("start")) / F.col("n_blocks"))
-    return before * F.col("block") + (after - before) * (x - block * F.col("block"))
+    """Words of the shard's stream before word ``x`` that lie in blocks, which are taken once more."""
+
+    def part(j: Column) -> Column:
+        return F.greatest(F.least(x - _begin(j), _share(j + 1) - _share(j)), F.lit(0))
+
+    j = _near(x)
+    return _share(j) + part(j) + part(j + 1)
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -105,23 +123,22 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     targets = source_targets(sources.select("source", "source_size"), weights, max_repeat)
     targets = targets.join(sources.select(F.col("source").alias("_s"), F.ceil(F.sqrt("_docs")).alias("shards")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    total, smallest = F.sum("target").over(Window.partitionBy()), F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
-    targets = targets.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(MAX_BLOCK), F.floor(smallest / BLOCKS_PER_SOURCE))), F.lit(1)).cast("long"))
-    targets = targets.withColumn("_all", F.round(total / F.col("block")).cast("long"))
-    targets = sainte_lague(targets, "target", F.col("_all"), ["_all"], ["source"]).withColumnRenamed("won", "source_blocks").drop("_all")
+    targets = targets.withColumn("_all", F.round(F.sum("target").over(Window.partitionBy())).cast("long"))
+    targets = sainte_lague(targets, "target", F.col("_all"), ["_all"], ["source"]).withColumnRenamed("won", "source_words").drop("_all")
     targets = materialise(targets, "mix-sources")
 
     # a row of ``targets`` per source is as small as the list of sources; joined by hash if that is large
     placed = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("shard", F.pmod(_draw(F.lit("shard"), F.col("doc_id").cast("string"), F.col("text_key").cast("string")), F.col("shards")))
-    shards = placed.groupBy("source", "source_size", "target", "block", "source_blocks", "shard").agg(F.sum("size").alias("shard_size"))
-    shards = shards.withColumn("n_blocks", F.greatest(F.lit(1), F.round(F.col("shard_size") / F.col("block"))).cast("long"))
-    quota = sainte_lague(shards, "shard_size", F.col("source_blocks"), ["source"], ["shard"])
-    quota = quota.withColumn("quota", F.when(F.col("shard_size") > 0, F.least(F.col("won"), max_repeat * F.col("n_blocks"))).otherwise(0))
-    start = F.pmod(_draw(F.lit("start"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), F.col("n_blocks"))
+    shards = placed.groupBy("source", "source_words", "shard").agg(F.sum("size").alias("shard_size"))
+    quota = sainte_lague(shards, "shard_size", F.col("source_words"), ["source"], ["shard"])
+    size = F.col("shard_size")
+    quota = quota.withColumn("quota", F.when(size > 0, F.least(F.col("won"), max_repeat * size)).otherwise(0))
+    quota = quota.withColumn("extra", F.when(size > 0, F.pmod("quota", size)).otherwise(0)).withColumn("repeats", F.when(size > 0, F.floor(F.col("quota") / size)).otherwise(0))
+    start = F.pmod(_draw(F.lit("start"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), size - F.col("extra") + 1)
     quota = quota.select(
-        F.col("source").alias("_s"), F.col("shard").alias("_h"), "n_blocks", start.alias("start"), "quota",
-        F.floor(F.col("quota") / F.col("n_blocks")).alias("repeats"), F.pmod("quota", "n_blocks").alias("extra"),
+        F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "quota", "repeats", "extra",
+        F.ceil(F.col("extra") / BLOCK).alias("n_blocks"), start.alias("start"),
     )
     order = _draw(F.lit("order"), F.col("doc_id").cast("string"), F.col("text_key").cast("string"))
     stream = Window.partitionBy("source", "shard").orderBy(order, F.col("doc_id"), F.col("text_key"))
@@ -143,7 +160,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replaced.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("size", "taken", "repeats", "first", "block", "extra", "start", "n_blocks").alias("_plan"))
+    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("size", "taken", "repeats", "first", "last", "shard_size", "extra", "start", "n_blocks").alias("_plan"))
     # rows that agree in identifier and text are interchangeable: each takes one of their plans
     plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_plan")))
     own = docs.withColumn("_id", docs[id_col].cast("long")).withColumn("_key", F.xxhash64(empty_if_null(docs[text_col])))
@@ -154,11 +171,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = F.col("_plan.taken") - F.col("_plan.repeats") * F.col("_plan.size")
     words = F.regexp_extract_all(found[text_col], F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
 
-    def taken(_: Column, i: Column) -> Column:
-        block = F.least(F.floor((p["first"] + i) / p["block"]), p["n_blocks"] - 1)
-        return F.floor(((block + 1) * p["extra"] + p["start"]) / p["n_blocks"]) > F.floor((block * p["extra"] + p["start"]) / p["n_blocks"])
+    def block(j: Column) -> Column:
+        begin = _begin(j, p) - p["first"]
+        end = F.least(begin + _share(j + 1, p) - _share(j, p), p["size"])
+        begin = F.greatest(begin, F.lit(0))
+        return F.slice(words, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
 
-    part = F.when(rest == p["size"], found[text_col]).when(rest > 0, F.array_join(F.filter(words, taken), ""))
+    blocks = F.sequence(_near(p["first"], p), F.least(_near(p["last"], p) + 1, p["n_blocks"] - 1))
+    part = F.when(rest == p["size"], found[text_col]).when(rest > 0, F.array_join(F.flatten(F.transform(blocks, block)), ""))
     texts = F.concat(F.array_repeat(found[text_col], p["repeats"].cast("int")), F.array_compact(F.array(part)))
     out = found.withColumn("_copy", F.explode(texts))
     return out.select(*[F.col("_copy").alias(c) if c == text_col else F.col(c) for c in docs.columns])

@@ -142,6 +142,29 @@ def test_mixture_holds_the_words_taken(spark, folder):
     assert +plan == made
 
 
+def test_a_tiny_source_leaves_blocks_long(spark):
+    """Words taken once more are runs of ``BLOCK`` words or so, whatever other sources there are."""
+    docs = [(i, " ".join(f"w{k}" for k in range(1500)), "b") for i in range(20)] + [(100, "only five words in here", "a")]
+    docs += [(200 + i, " ".join(f"v{k}" for k in range(1500)), "c") for i in range(20)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    plan = {r.doc_id: r for r in mixing.mix(frame).collect()}
+    cut = 0
+    for r in mixing.mixed_documents(frame).collect():
+        words = r.text.split()
+        if r.doc_id == 100 or len(words) == 1500:
+            continue
+        cut += 1
+        at = [int(w[1:]) for w in words]
+        breaks = sum(b != a + 1 for a, b in zip(at, at[1:], strict=False))
+        assert breaks <= len(words) / 128 + 1, (r.doc_id, breaks, len(words))
+    assert cut > 5
+    by = Counter()
+    for r in plan.values():
+        by[r.source] += r.taken
+    for r in plan.values():
+        assert abs(by[r.source] - r.target) <= 1
+
+
 def test_seats_go_to_the_highest_quotients(spark):
     draw = random.Random(2)
     votes = [draw.randint(0, 500) for _ in range(9)]
