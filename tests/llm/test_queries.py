@@ -438,6 +438,25 @@ def test_net_learns_and_keeps_its_recall():
     assert (net.score(codes[part & ~labels]) >= net.threshold).mean() < 0.05
 
 
+def test_net_reads_whole_candidates():
+    draw = random.Random(3)
+    key = "".join(draw.choice("0123456789abcdef") for _ in range(40))
+    path = lambda: "/".join("".join(draw.choice("ghijklmnop") for _ in range(6)) for _ in range(draw.randint(8, 30)))
+    bad = [f"see {path()}/{draw.randint(1, 9)}/{path()} here" for _ in range(150)]
+    good = [f"see {path()}/{key[k % 40:] + key[: k % 40]}/{path()} here" for k in range(150)]
+    codes = secrets.ragged([secrets.window(t, *secrets.candidates(t, [])[0][:2]) for t in good + bad])
+    labels = np.arange(300) < 150
+    part = np.arange(300) % 3 == 0
+    net = secrets.CharNet().fit(codes[~part], labels[~part]).calibrate(codes[part], labels[part])
+    assert (net.score(codes[part & labels]) >= net.threshold).mean() >= secrets.RECALL
+    assert (net.score(codes[part & ~labels]) >= net.threshold).mean() < 0.05
+    for c in codes[::50]:  # windows together give the convolution over all codes
+        x = net.p["embed"][c]
+        conv = np.array([x[k : k + secrets.WIDTH].ravel() @ net.p["conv"] for k in range(len(c) - secrets.WIDTH + 1)]) + net.p["cb"]
+        logit = np.maximum(conv.max(0), 0) @ net.p["out"] + net.p["ob"][0]
+        assert np.allclose(net._forward([c])[4], logit)
+
+
 def test_pipeline(spark, folder, rows):
     """Each stage on what its predecessor kept, against what the operators' rules say of that very input."""
     docs = spark.read.parquet(f"{folder}/documents.parquet")
