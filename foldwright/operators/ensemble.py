@@ -26,6 +26,8 @@ from foldwright.operators.ranking import ranked_by_value
 # Fixed values of the selection: weights 0, 0.01, ..., 1 and the smallest gain worth a step.
 WEIGHT_STEPS = 100
 MIN_GAIN = 1e-6
+#: Weights that one scoring job tries: a row travels once per model and weight.
+WEIGHTS_PER_JOB = 11
 MAX_EXPRESSION_MODELS = 16
 
 GRAM_SCHEMA = "iter int, fold int, i string, j string, g double"
@@ -187,11 +189,11 @@ def greedy_select(gram: DataFrame, models: Sequence[str], steps: int = WEIGHT_ST
 
 
 def greedy_by_scoring(
-    wide: DataFrame, models: Sequence[str], metric: str, steps: int = 10
+    wide: DataFrame, models: Sequence[str], metric: str, steps: int = WEIGHT_STEPS
 ) -> list[Step]:
     """Forward selection for a metric that is not a mean of squares (Gini, AUC, log loss).
 
-    Every step scores all candidates and weights in one job. The current blend is kept as one
+    Every step scores all candidates and weights, ``WEIGHTS_PER_JOB`` weights in a job. The current blend is kept as one
     coefficient per model, so the plan does not grow from step to step.
     """
     direction = METRICS[metric]
@@ -210,17 +212,19 @@ def greedy_by_scoring(
     recipe = [Step(0, order[0], 1.0, best)]
     for number in count(1):  # every step gains at least MIN_GAIN, so this ends
         current = sum((F.lit(c) * F.col(m) for m, c in blend.items() if c), F.lit(0.0))
-        cells = [
-            F.struct(
-                F.lit(m).alias("model"),
-                F.lit(s).alias("at"),
-                (F.lit(s / steps) * current + F.lit(1 - s / steps) * F.col(m)).alias("pred"),
-            )
-            for m in models
-            for s in range(steps + 1)
-        ]
-        tried = wide.select("iter", "fold", "row_id", "y", F.explode(F.array(*cells)).alias("_c"))
-        found = cv(tried.select("iter", "fold", "row_id", "y", "_c.*"), ["model", "at"])
+        found = []
+        for low in range(0, steps + 1, WEIGHTS_PER_JOB):
+            cells = [
+                F.struct(
+                    F.lit(m).alias("model"),
+                    F.lit(s).alias("at"),
+                    (F.lit(s / steps) * current + F.lit(1 - s / steps) * F.col(m)).alias("pred"),
+                )
+                for m in models
+                for s in range(low, min(low + WEIGHTS_PER_JOB, steps + 1))
+            ]
+            tried = wide.select("iter", "fold", "row_id", "y", F.explode(F.array(*cells)).alias("_c"))
+            found += cv(tried.select("iter", "fold", "row_id", "y", "_c.*"), ["model", "at"])
         per_model: dict[str, tuple[float, int]] = {}
         for r in sorted(found, key=lambda r: (-sign * round(r["score"], 9), r["at"])):
             per_model.setdefault(r["model"], (r["score"], r["at"]))

@@ -99,6 +99,13 @@ def test_greedy_by_scoring_maximises_gini(wide):
     assert all(b.score - a.score >= E.MIN_GAIN for a, b in zip(recipe, recipe[1:]))
 
 
+def test_greedy_by_scoring_tries_hundredths(wide):
+    direct = E.greedy_by_scoring(wide, MODELS[:2], "rmspe")
+    gram = E.greedy_select(E.gram_matrix(wide, MODELS[:2]), MODELS[:2])
+    assert [(s.model, s.weight) for s in direct] == [(s.model, s.weight) for s in gram]
+    assert any(round(100 * s.weight) % 10 for s in direct)
+
+
 def test_long_and_wide_round_trip(wide):
     back = L.to_wide(L.to_long(wide, MODELS), MODELS)
     assert back.exceptAll(wide.select("iter", "fold", "row_id", *MODELS)).count() == 0
