@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foldwright.llm import bpe, chat, exact_dedup, language, line_dedup, mixing, quality, secrets, simhash, suffix_dedup
+from foldwright.llm import bpe, chat, clustering, divergence, exact_dedup, language, line_dedup, mixing, personal, quality, secrets, simhash, suffix_dedup
 from foldwright.llm.common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,82 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_secret_scan")
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(documents(spark, sf_dir))
+
+
+@query("op11_personal_data")
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(documents(spark, sf_dir))
+
+
+DIVERGENCE_SQL = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+words AS (
+  SELECT id, lang, source, translate(unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')),
+                                     'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM docs),
+terms AS (SELECT lang, term, count(*) AS c FROM words GROUP BY lang, term HAVING count(DISTINCT id) >= 30),
+langs AS (
+  SELECT l.lang, count(t.term)::HUGEINT AS v, coalesce(sum(t.c), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang FROM docs) l LEFT JOIN terms t ON l.lang = t.lang GROUP BY l.lang),
+counts AS (SELECT w.lang, w.source, w.term, count(*) AS c FROM words w JOIN terms t ON w.lang = t.lang AND w.term = t.term GROUP BY ALL),
+sources AS (
+  SELECT s.lang, s.source, coalesce(sum(c.c), 0)::HUGEINT AS n
+  FROM (SELECT DISTINCT lang, source FROM docs) s LEFT JOIN counts c ON s.lang = c.lang AND s.source = c.source GROUP BY ALL),
+p AS (
+  SELECT s.lang, s.source, t.term, coalesce(c.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(c.c, 0) + 5)) // (s.n + 5 * l.v) AS p,
+         1 + (1000000000::HUGEINT * (t.c + 5)) // (l.n + 5 * l.v) AS q
+  FROM sources s JOIN langs l ON s.lang = l.lang JOIN terms t ON t.lang = s.lang
+  LEFT JOIN counts c ON c.lang = s.lang AND c.source = s.source AND c.term = t.term),
+pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(d.value, 0)::BIGINT AS value
+  FROM sources a JOIN sources b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS other, sum(abs(x.p - y.p)) AS value
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term GROUP BY ALL) d
+    ON d.lang = a.lang AND d.source = a.source AND d.other = b.source),
+listed AS (
+  SELECT * FROM pairs
+  UNION ALL SELECT lang, source, 'term', term, (p - q)::BIGINT FROM p WHERE c > 0 AND p > q)
+SELECT lang, source, part, item, value, rank::INTEGER AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM listed)
+WHERE part = 'pair' OR rank <= 50
+"""
+
+
+@query("op12_source_divergence", DIVERGENCE_SQL)
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf_dir))
+
+
+CLUSTERS, COMPONENTS = 16, 64
+
+
+def _cluster_sql() -> str:
+    """Three rounds and the last assignment, unrolled."""
+    nearest = """{out} AS (
+  SELECT r, vec_id, v, arg_min(c, (d, c)) AS cluster, min(d) AS distance FROM (
+    SELECT x.r, x.vec_id, x.v, m.c, list_sum(list_transform(list_zip(x.v, m.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d
+    FROM kept x CROSS JOIN {centres} m) GROUP BY ALL)"""
+    moved = """{out} AS (
+  SELECT c, CASE WHEN count(s) = 0 THEN any_value(old) ELSE list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) END AS v
+  FROM (SELECT m.c, m.v AS old, t.i, t.s, t.n FROM {centres} m LEFT JOIN (
+    SELECT cluster, i, sum(x) AS s, count(*) AS n FROM (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM {near})
+    GROUP BY cluster, i) t ON t.cluster = m.c) GROUP BY c)"""
+    parts = [
+        f"""kept AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {COMPONENTS} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x::DOUBLE))) = {COMPONENTS})""",
+        f"c0 AS (SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM (SELECT sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h, v FROM kept) QUALIFY c < {CLUSTERS})",
+    ]
+    for n in range(3):
+        parts += [nearest.format(out=f"n{n}", centres=f"c{n}"), moved.format(out=f"c{n + 1}", centres=f"c{n}", near=f"n{n}")]
+    parts += [nearest.format(out="found", centres="c3")]
+    return "WITH " + ",\n".join(parts) + """
+SELECT f.vec_id, f.cluster::INTEGER AS cluster, f.distance, (sum(f.distance) OVER (PARTITION BY f.cluster))::BIGINT AS cluster_inertia,
+       (sum(f.distance) OVER ())::BIGINT AS inertia, sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM found f JOIN c3 m ON m.c = f.cluster"""
+
+
+@query("op13_centroid_clustering", _cluster_sql())
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.report(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
