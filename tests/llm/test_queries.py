@@ -28,6 +28,8 @@ DOCS = pa.schema(
 )
 TURNS = pa.schema([("conv_id", pa.int64()), ("turn", pa.int64()), ("role", pa.string()), ("text", pa.string()), ("part", pa.int64())])
 
+VECTORS = pa.schema([("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32())), ("cluster", pa.string()), ("v", pa.int64())])
+
 
 def sha(raw) -> str:
     return hashlib.sha256(raw.encode() if isinstance(raw, str) else raw).hexdigest()
@@ -81,6 +83,7 @@ def empty(tmp_path_factory) -> str:
     path = tmp_path_factory.mktemp("empty")
     pq.write_table(DOCS.empty_table(), path / "documents.parquet")
     pq.write_table(TURNS.empty_table(), path / "conversations.parquet")
+    pq.write_table(VECTORS.empty_table(), path / "embeddings.parquet")
     return str(path)
 
 
