@@ -1,11 +1,11 @@
 """How far the sources of a language differ in their words, with strings joined back late.
 
 1. Tasks count the terms of each (lang, source) and the documents that hold them, and write these partial counts once,
-   with a 64-bit digest of the term beside it.
+   by a 64-bit digest of the term, with each string beside its digest once for all sources of the language.
 2. Only digests are shuffled and summed: per (lang, source, digest) occurrences and documents, then per (lang, digest).
    Digests of at least ``MIN_DOCS`` documents of the language are kept.
 3. For kept digests alone the smallest and the largest string are found. Where they differ, terms share a digest:
-   these are counted again by digest and string, and each is kept or not by its own documents.
+   these are counted again from the texts by digest and string, and each is kept or not by its own documents.
 4. A group's share of a term is a whole number of billionths, floor by long division, so all that follows is exact.
    The most over-represented terms are ranked by digest, equals of the last rank included; the strings of these
    join back to settle order and cut. Differences of all pairs of sources are summed in blocks of terms: a block is a
@@ -33,7 +33,7 @@ from foldwright.session import materialise, small_side
 
 MIN_DOCS, TOP, ADDED, SCALE = 30, 50, 5, 1_000_000_000
 #: Counts that a task holds before it writes them.
-HELD = 400_000
+HELD = 800_000
 PIECE = 1 << 20
 #: Cells of a block of terms by sources, and sources compared with all others in one task.
 CELLS, STRIP = 1 << 17, 256
@@ -58,15 +58,18 @@ def pieces(text: bytes) -> Iterator[list[bytes]]:
 
 
 def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """Partial counts: lang, source, term, n, docs. Every group has a row with a null term besides."""
+    """Partial counts: lang, source, term, n, docs, and ``first``: whether the term is new to what a task holds of the
+    language. Every group has a row with a null term besides."""
     plain = docs.select(*[empty_if_null(docs[c]).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"))], empty_if_null(docs[text_col]).cast("binary").alias("text"))
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64())])
+    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("term", pa.binary()), ("n", pa.int64()), ("docs", pa.int64()), ("first", pa.bool_())])
 
     def told(counts: dict, holders: dict) -> Iterator[pa.RecordBatch]:
+        known = defaultdict(set)
         for (lang, source), terms in counts.items():
             names = [None, *terms]
-            n, held = [0, *terms.values()], holders[lang, source]
-            columns = [[lang] * len(names), [source] * len(names), names, n, [0, *map(held.__getitem__, terms)]]
+            n, held, old = [0, *terms.values()], holders[lang, source], known[lang]
+            columns = [[lang] * len(names), [source] * len(names), names, n, [0, *map(held.__getitem__, terms)], [False, *(t not in old for t in terms)]]
+            old.update(terms)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -87,7 +90,7 @@ def term_counts(docs: DataFrame, lang_col: str = "lang", source_col: str = "sour
                     held = 0
         yield from told(counts, holders)
 
-    return plain.mapInArrow(work, "lang string, source string, term binary, n long, docs long").withColumn("term", F.col("term").cast("string"))
+    return plain.mapInArrow(work, "lang string, source string, term binary, n long, docs long, first boolean").withColumn("term", F.col("term").cast("string"))
 
 
 def share(count: Column, whole: Column) -> Column:
@@ -99,15 +102,16 @@ def share(count: Column, whole: Column) -> Column:
     return out + 1
 
 
-def kept_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
+def kept_terms(counts: DataFrame, min_docs: int, whole: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lang, digest, split, term, lang_n) of the kept terms and (lang, source, digest, split, n) of their counts.
 
-    ``split`` is empty, or the string itself where terms share a digest.
+    ``split`` is empty, or the string itself where terms share a digest: these are counted again from ``whole``, which
+    has the string in every row.
     """
     cells = materialise(counts.where("digest IS NOT NULL").groupBy("lang", "source", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "digest-counts")
     heads = cells.groupBy("lang", "digest").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
     heads = materialise(heads.drop("docs"), "kept-digests")
-    strings = counts.select("lang", "digest", "term").join(small_side(heads, SEND_ROWS), ["lang", "digest"])
+    strings = counts.where("term IS NOT NULL").select("lang", "digest", "term").join(small_side(heads, SEND_ROWS), ["lang", "digest"])
     named = strings.groupBy("lang", "digest").agg(F.min("term").alias("term"), F.max("term").alias("last"), F.first("lang_n").alias("lang_n"))
     named = materialise(named, "kept-strings")
     plain = named.where(F.col("term") == F.col("last"))
@@ -116,7 +120,7 @@ def kept_terms(counts: DataFrame, min_docs: int) -> tuple[DataFrame, DataFrame]:
     of_terms = cells.join(small_side(plain.select("lang", "digest"), SEND_ROWS), ["lang", "digest"])
     of_terms = of_terms.select("lang", "source", "digest", F.lit("").alias("split"), "n")
     if not shared.isEmpty():
-        own = counts.join(small_side(shared, SEND_ROWS), ["lang", "digest"])
+        own = whole.join(small_side(shared, SEND_ROWS), ["lang", "digest"])
         own = own.groupBy("lang", "source", "digest", F.col("term").alias("split")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
         own = materialise(own, "split-counts")
         apart = own.groupBy("lang", "digest", "split").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).where(F.col("docs") >= min_docs)
@@ -130,11 +134,13 @@ def shares(docs: DataFrame, min_docs: int = MIN_DOCS, digest_bits: int = 64, **c
     digest = F.xxhash64("term")
     if digest_bits < 64:
         digest = digest.bitwiseAND(F.lit((1 << digest_bits) - 1))
-    counts = materialise(term_counts(docs, **columns).withColumn("digest", F.when(F.col("term").isNotNull(), digest)), "term-counts")
-    terms, of_terms = kept_terms(counts, min_docs)
+    whole = term_counts(docs, **columns).withColumn("digest", F.when(F.col("term").isNotNull(), digest))
+    # a string is written once for all sources that a task holds of a language
+    counts = materialise(whole.withColumn("term", F.when(F.col("first"), F.col("term"))).drop("first"), "term-counts")
+    terms, of_terms = kept_terms(counts, min_docs, whole)
     sizes = of_terms.groupBy("lang", "source").agg(F.sum("n").alias("own"))
     langs = terms.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("lang_n").alias("all"))
-    groups = counts.where("term IS NULL").select("lang", "source").distinct()
+    groups = counts.where("digest IS NULL").select("lang", "source").distinct()
     groups = groups.join(sizes, ["lang", "source"], "left").join(langs, ["lang"], "left").fillna(0)
     by_lang = groups.groupBy("lang").agg(F.count(F.lit(1)).alias("n_sources"))
     groups = materialise(groups.join(by_lang, "lang"), "groups")
