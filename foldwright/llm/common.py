@@ -27,6 +27,28 @@ def empty_if_null(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """``wanted``, each with as many underscores before it as it takes to be no column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_key() -> Column:
+    """The identifier, or a hash of the text where that is null: such rows are not all drawn alike."""
+    return F.coalesce(F.col("doc_id"), F.xxhash64("text"))
+
+
+def drawn(key: Column, share: Column | float) -> Column:
+    """Whether a 64-bit hash falls into a share of all hashes, down to one in 2^62."""
+    whole = float(1 << 62)
+    return key.bitwiseAND(F.lit((1 << 62) - 1)).cast("double") < F.least(F.lit(share) if isinstance(share, float) else share, F.lit(1.0)) * F.lit(whole)
+
+
 def map_text(df: DataFrame, work: Callable[[list, list], dict], schema: str, chars: int = 2_000_000) -> DataFrame:
     """``work(ids, texts)`` over slices of at most ``chars`` bytes of text, or of one document.
 

@@ -7,8 +7,8 @@ pieces. Words are independent, so a text's score is the sum of its words' log sc
 word is computed once.
 
 Piece probabilities are learned per language by expectation-maximisation (forward and backward sums), from
-about ``SAMPLE_DOCS`` labelled documents per language chosen by a hash of their identifier. Prediction sees the
-text alone. ``score`` is the posterior of the predicted language under equal priors.
+about ``SAMPLE_DOCS`` labelled documents per language chosen by a hash of their identifier (of the text, if that is null);
+runs of more than ``RUN`` letters are learned from in pieces. Prediction sees the text alone. ``score`` is the posterior of the predicted language under equal priors.
 
 Null text or text without letters gives ``und`` with score 0, and so does a model without languages. Rows
 without a label train nothing. Ties go to the first language in code point order. Repeated rows are judged alike.
@@ -28,13 +28,15 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import empty_if_null, map_text
+from foldwright.llm.common import drawn, empty_if_null, map_text, row_key
 from foldwright.session import materialise
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 SAMPLE_DOCS, ROUNDS = 1_000, 2
 #: Words whose scores a worker remembers.
 REMEMBER = 600_000
+#: Letters of a run that are learned from as one.
+RUN = 16
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _MARK = "▁"
 
@@ -62,6 +64,11 @@ def words(text: str) -> list[str]:
     return _LETTERS.findall(text.lower())
 
 
+def parts(word: str) -> list[str]:
+    """A run as pieces of at most ``RUN`` letters, for learning: some scripts put no spaces between words."""
+    return [word[k : k + RUN] for k in range(0, len(word), RUN)]
+
+
 def lattice(batch: list[str], path: str) -> tuple[np.ndarray, np.ndarray]:
     """Piece numbers [word, end, length] (0 where there is none) and the words' lengths in places.
 
@@ -164,21 +171,21 @@ def train(docs: DataFrame, path: str = PIECES, rounds: int = ROUNDS) -> tuple[li
     _, _, size = vocabulary(path)
     if not langs:
         return [], np.zeros((size, 0))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(int(min(1.0, SAMPLE_DOCS / counts[lang]) * (1 << 20))))])
-    some = own.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(1 << 20)) < F.element_at(share, F.col("lang")))
+    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(SAMPLE_DOCS / counts[lang]))])
+    some = own.where(drawn(F.xxhash64(row_key(), F.lit(6)), F.element_at(share, F.col("lang"))))
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seen: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen.update((lang, w) for w in words(text.as_py() or ""))
+                seen.update((lang, part) for w in words(text.as_py() or "") for part in parts(w))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([k[0] for k in seen], pa.string()), pa.array([k[1] for k in seen], pa.string()), pa.array(list(seen.values()), pa.int64())],
                 names=["lang", "word", "n"],
             )
 
     table = some.select("lang", "text").mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    table = materialise(table.where(F.octet_length("word") <= 64), "language-words")  # longer runs are no words to learn from
+    table = materialise(table, "language-words")
     pieces, _, _ = vocabulary(path)
     usable = np.zeros(size)
     usable[[i for i in pieces.values() if i]] = 1
