@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foldwright.llm.common import SPACE_BYTES, empty_if_null
-from foldwright.session import scratch_path
+from foldwright.session import materialise, scratch_path
 
 MEMBER = "doc_id long, file string, row long, n_chars long, sha binary, digest binary"
 #: Digests whose hits are picked out by a broadcast of 8 bytes each; more are picked by a shuffle.
@@ -100,8 +100,8 @@ def exact_dedup(spark: SparkSession, path: str, folder: str | None = None, id_co
     # as a pattern, the path may name a folder or a single file
     pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
     stream = spark.readStream.schema(docs.schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
-    seen(stream, folder, **options).write.parquet(f"{folder}/groups")
-    groups = spark.read.parquet(f"{folder}/groups")
+    # the state stays under its folder; what is read off it belongs to this call
+    groups = materialise(seen(stream, folder, **options), "exact-groups")
     rows = members(docs, **options)
 
     hit = groups.where("n > 1").select("digest")
@@ -110,9 +110,7 @@ def exact_dedup(spark: SparkSession, path: str, folder: str | None = None, id_co
     texts = texts.join(F.broadcast(hit) if some else hit, "digest", "left_semi")
     # copies meet as two equal strings per task, not as rows of a group
     spans = texts.groupBy("digest").agg(F.min("plain").alias("a"), F.max("plain").alias("b"))
-    clash = spans.where("a <> b").select("digest")
-    clash.write.parquet(f"{folder}/clash")
-    clash = spark.read.parquet(f"{folder}/clash")
+    clash = materialise(spans.where("a <> b").select("digest"), "exact-clash")
 
     out = rows.join(groups, "digest")
     if not clash.isEmpty():  # different texts of one digest: the bytes decide
