@@ -4,6 +4,8 @@ State, in a shared folder, grows by whole batches and never changes in place:
 
 * ``refs``: the exact reference table, one row per (key, document row) with sign +1 for an inserted and -1
   for a deleted document; sums over it are reference counts, so every insertion can be undone;
+* ``manifest``: a row per update, written last: the batch of references, the common keys and filters that it left, whether
+  anything was deleted so far. A state opened again goes on from the latest row; what a broken update wrote is not read.
 * ``filters``: per shard of the key space a cuckoo filter of the keys that are common now. An update
   inserts keys that became common and deletes keys that ceased to be; a full filter is rebuilt from the
   exact table.
@@ -27,11 +29,12 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foldwright.llm.common import SPACE_BYTES, empty_if_null, map_text, text_of
+from foldwright.llm.common import SPACE_BYTES, empty_if_null, free_names, map_text, text_of
 from foldwright.llm.cuckoo import CuckooFilter, Full
 from foldwright.session import scratch_path
 
@@ -41,6 +44,7 @@ SHARD_KEYS = 1 << 15
 SEND_BYTES = 32 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 REFS = "k1 long, k2 long, doc_id long, sign int"
+MANIFEST = "step long, batch string, shards long, reversed boolean"
 
 
 def line_key(line: bytes, min_chars: int) -> bytes | None:
@@ -73,20 +77,37 @@ class LineDedup:
     def __init__(self, spark: SparkSession, folder: str | None = None, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS):
         self.spark, self.folder = spark, folder or scratch_path(spark, "line-dedup")
         self.min_chars, self.min_docs = min_chars, min_docs
+        self.batches: list[str] = []
+        self.shards = 0
         self.reversed = False  # whether any batch deletes
         self.filters: DataFrame | None = None
         self.common: DataFrame | None = None
+        try:
+            steps = spark.read.schema(MANIFEST).parquet(f"{self.folder}/manifest").orderBy("step").collect()  # a row per update
+        except AnalysisException:  # nothing was written here yet
+            steps = []
+        for step in steps:
+            self.batches.append(step["batch"])
+            self.shards, self.reversed = step["shards"], step["reversed"]
+        if steps:
+            self._read(self.batches[-1])
+
+    def _read(self, batch: str) -> None:
+        self.common, self.filters = (self.spark.read.parquet(f"{self.folder}/{kind}/{batch}") for kind in ("common", "filters"))
+
+    @property
+    def shard(self) -> Column:
+        return F.pmod(F.xxhash64("k2"), F.lit(self.shards)).alias("shard")
 
     def insert(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineDedup:
         return self._add(text_of(docs, id_col, text_col), 1)
 
     def delete(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> LineDedup:
         """Take back documents that were inserted, given with the same identifier and text."""
-        self.reversed = True
         return self._add(text_of(docs, id_col, text_col), -1)
 
     def refs(self) -> DataFrame:
-        return self.spark.read.schema(REFS).parquet(f"{self.folder}/refs/*")
+        return self.spark.read.schema(REFS).parquet(*[f"{self.folder}/refs/{b}" for b in self.batches])
 
     def counts(self) -> DataFrame:
         """Per key the number of documents holding it and the largest of them."""
@@ -96,13 +117,14 @@ class LineDedup:
         return refs.groupBy("k1", "k2").agg(F.sum("sign").alias("n"), F.max("doc_id").alias("last"))
 
     def _add(self, docs: DataFrame, sign: int) -> LineDedup:
-        references(docs, self.min_chars, sign).write.parquet(f"{self.folder}/refs/{uuid.uuid4().hex}")
-        path = f"{self.folder}/common/{uuid.uuid4().hex}"
+        batch = uuid.uuid4().hex
+        references(docs, self.min_chars, sign).write.parquet(f"{self.folder}/refs/{batch}")
+        self.batches, self.reversed = [*self.batches, batch], self.reversed or sign < 0
+        path = f"{self.folder}/common/{batch}"
         self.counts().where(F.col("n") >= self.min_docs).drop("n").write.parquet(path)
         before, self.common = self.common, self.spark.read.parquet(path)
         if self.filters is None:
-            shards = 1 + self.common.count() // SHARD_KEYS
-            self.shard = F.pmod(F.xxhash64("k2"), F.lit(shards)).alias("shard")
+            self.shards = 1 + self.common.count() // SHARD_KEYS
             made = self.common.select(self.shard, "k1").groupBy("shard").applyInPandas(_build, "shard long, filter binary")
         else:
             keys = ["k1", "k2"]
@@ -111,9 +133,10 @@ class LineDedup:
             now = self.common.select(self.shard, "k1", F.lit(0).alias("sign"))
             change = risen.union(fallen).union(now)
             made = change.groupBy("shard").cogroup(self.filters.groupBy("shard")).applyInPandas(_update, "shard long, filter binary")
-        path = f"{self.folder}/filters/{uuid.uuid4().hex}"
-        made.write.parquet(path)
-        self.filters = self.spark.read.parquet(path)
+        made.write.parquet(f"{self.folder}/filters/{batch}")
+        told = self.spark.createDataFrame([(len(self.batches), batch, self.shards, self.reversed)], MANIFEST)
+        told.coalesce(1).write.mode("append").parquet(f"{self.folder}/manifest")
+        self._read(batch)
         return self
 
     def _candidates(self) -> DataFrame:
@@ -144,14 +167,17 @@ class LineDedup:
         return gone.groupBy("doc_id").agg(F.collect_set(F.struct("k1", "k2")).alias("gone"))
 
     def clean(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counts: bool = True) -> DataFrame:
-        """``docs`` with ``text_col`` rewritten and, with ``counts``, the columns n_lines and n_dropped added.
+        """``docs`` with ``text_col`` rewritten and, with ``counts``, the columns n_lines and n_dropped added (or replaced).
 
         Rows without a dropped line keep their text as it is.
         """
-        gone = self.dropped().toDF("_gone_id", "_gone")
-        joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_gone_id"]), "left").drop("_gone_id")
+        if counts:
+            docs = docs.drop("n_lines", "n_dropped")
+        gone_id, gone_keys = free_names(docs, "_gone_id", "_gone")
+        gone = self.dropped().toDF(gone_id, gone_keys)
+        joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone[gone_id]), "left").drop(gone_id)
         names = joined.columns
-        at_text, at_gone, min_chars = names.index(text_col), names.index("_gone"), self.min_chars
+        at_text, at_gone, min_chars = names.index(text_col), names.index(gone_keys), self.min_chars
         schema = StructType([*docs.schema.fields, *([StructField(c, LongType()) for c in ("n_lines", "n_dropped")] if counts else [])])
 
         def rewrite(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
