@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foldwright.llm.common import empty_if_null
+from foldwright.llm.common import empty_if_null, free_names
 from foldwright.session import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -160,15 +160,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replaced.
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options).where("taken > 0")
-    plan = plan.select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.struct("size", "taken", "repeats", "first", "last", "shard_size", "extra", "start", "n_blocks").alias("_plan"))
+    id_, key, nth, planned, copy = free_names(docs, "_id", "_key", "_nth", "_plan", "_copy")
+    plan = plan.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.struct("size", "taken", "repeats", "first", "last", "shard_size", "extra", "start", "n_blocks").alias(planned))
     # rows that agree in identifier and text are interchangeable: each takes one of their plans
-    plan = plan.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy("_plan")))
-    own = docs.withColumn("_id", docs[id_col].cast("long")).withColumn("_key", F.xxhash64(empty_if_null(docs[text_col])))
-    own = own.withColumn("_nth", F.row_number().over(Window.partitionBy("_id", "_key").orderBy(F.lit(0))))
-    on = own["_id"].eqNullSafe(plan["_id"]) & (own["_key"] == plan["_key"]) & (own["_nth"] == plan["_nth"])
-    found = own.join(plan, on).select(*[own[c] for c in docs.columns], plan["_plan"].alias("_plan"))
-    p = found["_plan"]
-    rest = F.col("_plan.taken") - F.col("_plan.repeats") * F.col("_plan.size")
+    plan = plan.withColumn(nth, F.row_number().over(Window.partitionBy(id_, key).orderBy(planned)))
+    own = docs.withColumn(id_, docs[id_col].cast("long")).withColumn(key, F.xxhash64(empty_if_null(docs[text_col])))
+    own = own.withColumn(nth, F.row_number().over(Window.partitionBy(id_, key).orderBy(F.lit(0))))
+    on = own[id_].eqNullSafe(plan[id_]) & (own[key] == plan[key]) & (own[nth] == plan[nth])
+    found = own.join(plan, on).select(*[own[c] for c in docs.columns], plan[planned])
+    p = found[planned]
+    rest = p["taken"] - p["repeats"] * p["size"]
     words = F.regexp_extract_all(found[text_col], F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
 
     def block(j: Column) -> Column:
@@ -180,5 +181,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     blocks = F.sequence(_near(p["first"], p), F.least(_near(p["last"], p) + 1, p["n_blocks"] - 1))
     part = F.when(rest == p["size"], found[text_col]).when(rest > 0, F.array_join(F.flatten(F.transform(blocks, block)), ""))
     texts = F.concat(F.array_repeat(found[text_col], p["repeats"].cast("int")), F.array_compact(F.array(part)))
-    out = found.withColumn("_copy", F.explode(texts))
-    return out.select(*[F.col("_copy").alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    out = found.withColumn(copy, F.explode(texts))
+    return out.select(*[F.col(copy).alias(c) if c == text_col else F.col(c) for c in docs.columns])

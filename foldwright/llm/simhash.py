@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from foldwright.llm.common import map_text, text_of
+from foldwright.llm.common import free_names, map_text, text_of
 from foldwright.session import materialise
 
 SHINGLE, MAX_BITS = 3, 2
@@ -217,18 +217,18 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``docs`` with one row of each component, the one of the smallest doc_id; repeated rows count as one."""
     found = near_duplicates(docs, id_col, text_col, **options)
     stay = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("s"))
-    stay = stay.select(F.coalesce("s.doc_id", F.lit(0)).alias("_id"), F.col("s.none").alias("_none"), F.col("s.text_key").alias("_key"))
+    on = free_names(docs, "_id", "_none", "_key")
+    stay = stay.select(F.coalesce("s.doc_id", F.lit(0)).alias(on[0]), F.col("s.none").alias(on[1]), F.col("s.text_key").alias(on[2]))
 
     def key(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at)
             keys = [xxhash.xxh64_intdigest(t.as_buffer().to_pybytes() if t.is_valid else b"", 0) - (1 << 63) for t in texts]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, "_key"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.int64())], names=[*batch.schema.names, on[2]])
 
     at = docs.columns.index(text_col)
-    keyed = docs.mapInArrow(key, StructType([*docs.schema.fields, StructField("_key", LongType())]))
-    keyed = keyed.withColumn("_id", F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn("_none", F.col(id_col).isNull())
-    on = ["_id", "_none", "_key"]
+    keyed = docs.mapInArrow(key, StructType([*docs.schema.fields, StructField(on[2], LongType())]))
+    keyed = keyed.withColumn(on[0], F.coalesce(F.col(id_col).cast("long"), F.lit(0))).withColumn(on[1], F.col(id_col).isNull())
     return keyed.join(stay, on, "left_semi").dropDuplicates(on).select(*docs.columns)
 
 
