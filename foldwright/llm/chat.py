@@ -19,22 +19,22 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from foldwright.llm.bpe import RANKS, ranks
+from foldwright.llm.bpe import RANKS, encoder, ranks
 
 MARKS = ("<s>", "[INST]", "[/INST]", "</s>")
 PART = 1 << 20
 _ESCAPE = re.compile(r"([<\[])(\\*)(?=/?(?:s>|INST\]))")
 _UNESCAPE = re.compile(r"([<\[])\\(\\*)(?=/?(?:s>|INST\]))")
+_MARK = re.compile("(" + "|".join(map(re.escape, MARKS)) + ")")
 _TURN = re.compile(r"<s>(.*?)\[INST\](.*?)\[/INST\]</s>", re.DOTALL)
 PARTS = "conv_id long, part int, n_turns int, formatted string, ids array<int>, loss array<struct<start:int,end:int>>"
 
@@ -62,8 +62,8 @@ def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
 
 
 @lru_cache(maxsize=2)
-def tokenizer(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The public ranks with the marks as further tokens, and every token's length in bytes."""
+def tokenizer(path: str) -> tuple[dict[str, int], np.ndarray]:
+    """The marks' tokens, which follow the public ranks, and every token's length in bytes."""
     by_rank = ranks(path)
     first = max(by_rank.values()) + 1
     marks = {m: first + i for i, m in enumerate(MARKS)}
@@ -72,7 +72,7 @@ def tokenizer(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
         sizes[i] = len(token)
     for mark, i in marks.items():
         sizes[i] = len(mark)
-    return tiktoken.Encoding("chat", pat_str=public_tokenizers.PATTERN, mergeable_ranks=by_rank, special_tokens=marks), sizes
+    return marks, sizes
 
 
 def loss_mask(ids: np.ndarray, spans: list[tuple[int, int]], sizes: np.ndarray) -> np.ndarray:
@@ -103,9 +103,10 @@ def format_conversations(rows: DataFrame, path: str = RANKS) -> DataFrame:
     schema = to_arrow_schema(StructType.fromDDL(PARTS))
 
     def part(conv, number: int, turns: list[tuple[str, str]]) -> tuple:
-        library, sizes = tokenizer(path)
+        mark_ids, sizes = tokenizer(path)
         text, spans = render(turns)
-        ids = np.array(library.encode(text, allowed_special="all"), np.int64)
+        # marks part the text; what lies between is split by our own matcher, which no run of white space overflows
+        ids = np.fromiter(chain.from_iterable([mark_ids[s]] if s in mark_ids else encoder(path).text(s) for s in _MARK.split(text) if s), np.int64)
         loss = masked_spans(ids, loss_mask(ids, spans, sizes), sizes)
         return conv, number, len(turns), text, ids.astype(np.int32), [{"start": a, "end": b} for a, b in loss]
 
