@@ -87,18 +87,23 @@ def stitch(chunks: list[dict], path: str) -> list[int]:
     """Tokens of a text from its chunks in order: {start, text, last, ends, sizes, ids} each."""
     out: list[np.ndarray] = []
     now, true = chunks[0], 0  # true: the place up to which all is joined, where a piece begins
-    for after in chunks[1:]:
-        while True:
-            begins, others = now["start"] + np.r_[0, now["ends"]], after["start"] + np.r_[0, after["ends"]]
-            common = np.intersect1d(begins[begins >= true], others)
-            if len(common):
-                out.append(_between(now, true, common[0]))
-                now, true = after, int(common[0])
-                break
-            # one run covers the overlap: split both as one text, from the last place that is certain
-            text = now["text"][true - now["start"] :] + after["text"][now["start"] + len(now["text"]) - after["start"] :]
-            now = split_and_encode(true, text, after["last"], path)
-            after = now
+    at = 1
+    while at < len(chunks):
+        begins, others = now["start"] + np.r_[0, now["ends"]], chunks[at]["start"] + np.r_[0, chunks[at]["ends"]]
+        common = np.intersect1d(begins[begins >= true], others)
+        if len(common):
+            out.append(_between(now, true, common[0]))
+            now, true = chunks[at], int(common[0])
+            at += 1
+            continue
+        # one run covers the overlap: split on as one text, from the last place that is certain. The text at
+        # least doubles each time, so a run of many chunks is split few times
+        texts, end = [now["text"][true - now["start"] :]], now["start"] + len(now["text"])
+        aim = end + (end - true)
+        while at < len(chunks) and (end < aim or len(texts) < 2):
+            texts.append(chunks[at]["text"][end - chunks[at]["start"] :])
+            end, at = chunks[at]["start"] + len(chunks[at]["text"]), at + 1
+        now = split_and_encode(true, "".join(texts), chunks[at - 1]["last"], path)
     out.append(_between(now, true, None))
     return np.concatenate(out).tolist()
 
