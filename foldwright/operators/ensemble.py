@@ -20,14 +20,15 @@ from pyspark.sql import types as T
 
 from foldwright.functions.metrics import METRICS
 from foldwright.functions.scalar import inverse_square_weight
+from foldwright.operators.bounds import BINS, RankBounds, prune
 from foldwright.operators.library import score, to_long, to_wide
 from foldwright.operators.ranking import ranked_by_value
 
 # Fixed values of the selection: weights 0, 0.01, ..., 1 and the smallest gain worth a step.
 WEIGHT_STEPS = 100
 MIN_GAIN = 1e-6
-#: Weights that one scoring job tries: a row travels once per model and weight.
-WEIGHTS_PER_JOB = 11
+#: Blends that one scoring job tries, as a row travels once per blend; and so few that bounds don't pay.
+BLENDS_PER_JOB, FEW = 128, 16
 MAX_EXPRESSION_MODELS = 16
 
 GRAM_SCHEMA = "iter int, fold int, i string, j string, g double"
@@ -193,17 +194,22 @@ def greedy_by_scoring(
 ) -> list[Step]:
     """Forward selection for a metric that is not a mean of squares (Gini, AUC, log loss).
 
-    Every step scores all candidates and weights, ``WEIGHTS_PER_JOB`` weights in a job. The current blend is kept as one
-    coefficient per model, so the plan does not grow from step to step.
+    Every step tries all candidates and weights. For Gini and AUC, bounds from counts in ever finer bins leave the few
+    that can win (``bounds``), and only these are ranked; for other metrics all are scored. The current blend is kept as
+    one coefficient per model, so the plan does not grow from step to step.
     """
     direction = METRICS[metric]
     labels = wide.select("iter", "fold", "row_id", "y")
     sign = 1.0 if direction.higher_is_better else -1.0
 
     def cv(long: DataFrame, by: Sequence[str]):
-        scored = score(long, metric, groups=[*by, "iter", "fold"], labels=labels, label_groups=["iter", "fold"])
+        if metric == "gini" and bounds:  # the ordering by truth is known by now
+            scored = bounds.exact_gini(long, by)
+        else:
+            scored = score(long, metric, groups=[*by, "iter", "fold"], labels=labels, label_groups=["iter", "fold"])
         return scored.groupBy(*by).agg(F.avg("score").alias("score")).collect()
 
+    bounds = RankBounds(wide, models, metric) if metric in ("gini", "auc") else None
     singles = {r["model"]: r["score"] for r in cv(to_long(wide, models), ["model"])}
     order = sorted(models, key=lambda m: (-sign * round(singles[m], 9), m))
     best = singles[order[0]]
@@ -211,26 +217,28 @@ def greedy_by_scoring(
     blend[order[0]] = 1.0
     recipe = [Step(0, order[0], 1.0, best)]
     for number in count(1):  # every step gains at least MIN_GAIN, so this ends
+        # all of the current blend is no step, nor is any blend with a model that orders no row anew
+        flat = bounds.flat if bounds else set()
+        tries = [(m, s) for m in models if m not in flat for s in range(steps)]
+        for bins in BINS if bounds else ():
+            if len(tries) <= FEW:
+                break
+            ends = sign * bounds.bounds(blend, [(m, s / steps) for m, s in tries], bins)
+            tries = prune(tries, ends.min(axis=1), ends.max(axis=1), sign * best + MIN_GAIN, MIN_GAIN)
         current = sum((F.lit(c) * F.col(m) for m, c in blend.items() if c), F.lit(0.0))
         found = []
-        for low in range(0, steps + 1, WEIGHTS_PER_JOB):
-            cells = [
-                F.struct(
-                    F.lit(m).alias("model"),
-                    F.lit(s).alias("at"),
-                    (F.lit(s / steps) * current + F.lit(1 - s / steps) * F.col(m)).alias("pred"),
-                )
-                for m in models
-                for s in range(low, min(low + WEIGHTS_PER_JOB, steps + 1))
-            ]
-            tried = wide.select("iter", "fold", "row_id", "y", F.explode(F.array(*cells)).alias("_c"))
-            found += cv(tried.select("iter", "fold", "row_id", "y", "_c.*"), ["model", "at"])
+        for low in range(0, len(tries), BLENDS_PER_JOB):
+            # a constant list per row, so that the plan does not grow with the blends
+            cells = [F.struct(F.lit(m).alias("model"), F.lit(s).alias("at"), F.lit(s / steps).alias("w"), F.lit(1 - s / steps).alias("v"), F.lit(models.index(m)).alias("n")) for m, s in tries[low : low + BLENDS_PER_JOB]]
+            tried = wide.select("iter", "fold", "row_id", "y", current.alias("_now"), F.array(*[F.col(m).cast("double") for m in models]).alias("_all"), F.explode(F.array(*cells)).alias("_c"))
+            pred = F.col("_c.w") * F.col("_now") + F.col("_c.v") * F.get("_all", F.col("_c.n"))
+            found += cv(tried.select("iter", "fold", "row_id", "y", "_c.model", "_c.at", pred.alias("pred")), ["model", "at"])
         per_model: dict[str, tuple[float, int]] = {}
         for r in sorted(found, key=lambda r: (-sign * round(r["score"], 9), r["at"])):
             per_model.setdefault(r["model"], (r["score"], r["at"]))
         chosen = None
         for m in order:
-            value, at = per_model[m]
+            value, at = per_model.get(m, (best, 0))
             if sign * (value - best) >= MIN_GAIN:
                 best, chosen = value, (m, at / steps)
         if chosen is None:

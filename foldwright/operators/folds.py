@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foldwright.functions.hashing import hash_order
 from foldwright.operators.ranking import is_within_first, ranked_by_hash, ranked_by_value
@@ -69,10 +70,16 @@ def tail_holdout(df: DataFrame, by: str, size: int, row_id: str = "row_id", out:
     return df.withColumn(out, is_within_first(df, by, False, row_id, size).cast("int"))
 
 
-def head_fraction(df: DataFrame, by: str, fraction: float, row_id: str = "row_id", out: str = "is_valid") -> DataFrame:
-    """Flag the first int(fraction * n) + 1 rows along ``by`` as validation rows."""
-    size = int(fraction * df.count()) + 1
-    return df.withColumn(out, is_within_first(df, by, True, row_id, size).cast("int"))
+def head_fraction(df: DataFrame, by: str, fraction: float, row_id: str = "row_id", out: str = "is_valid", ascending: bool = True) -> DataFrame:
+    """Flag the first int(fraction * n) + 1 rows along ``by`` (numbers or text) as validation rows."""
+    n = df.count()
+    size = int(fraction * n) + 1
+    if not isinstance(df.schema[by].dataType, T.StringType):
+        return df.withColumn(out, is_within_first(df, by, ascending, row_id, size).cast("int"))
+    # text orders ties: with one value throughout it alone decides, and the last rows are those not among the first
+    even = df.withColumn("_even", F.lit(0.0))
+    first = is_within_first(even, "_even", True, by, size if ascending else n - size)
+    return even.withColumn(out, (first if ascending else ~first).cast("int")).drop("_even")
 
 
 def in_training(df: DataFrame, fold: int, iteration: int = 0) -> DataFrame:

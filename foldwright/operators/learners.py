@@ -8,7 +8,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Sequence
-from functools import reduce
+from dataclasses import dataclass
+from functools import partial, reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
@@ -17,14 +18,14 @@ from pyspark.ml import classification as C
 from pyspark.ml import regression as R
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foldwright.functions.scalar import inverse_square_weight
+from foldwright.operators import boosting, coordinates
 from foldwright.operators.folds import head_fraction
 from foldwright.operators.library import missing_work
 from foldwright.operators.neighbours import knn_classify, knn_join, knn_regress
-from foldwright.operators.pairs import preference_pairs
+from foldwright.operators.pairs import linear_ranker
 from foldwright.session import materialise
 from foldwright.sources import files
 
@@ -83,8 +84,10 @@ def lasso(train, features, params):
 
 
 def boosted_linear(train, features, params):
-    """Linear booster: penalties ``alpha`` on absolute values and ``lambda`` on half the squares, beside half the
-    sum of squared errors. Only the L2 part is converted to Spark's scaled label, as in ``ridge``."""
+    """Linear booster: with ``num_rounds``, that many rounds of coordinate updates; else their limit. Penalties ``alpha`` on absolute values and ``lambda`` on half the squares, beside half the
+    sum of squared errors. In the limit only the L2 part is converted to Spark's scaled label, as in ``ridge``."""
+    if "num_rounds" in params:
+        return coordinates.fit_rows(train, features, params)
     stats = train.agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("y").alias("s")).first()
     l1, l2 = params.get("alpha", 0.0), params.get("lambda", 0.0) * (stats["s"] or 0.0)
     mix = l1 / (l1 + l2) if l1 + l2 else 0.0
@@ -158,78 +161,65 @@ def forest_deep_class(train, features, params):
     return _fit_probability(_forest(C.RandomForestClassifier, params, 20), train, features)
 
 
-def _boosting(cls, params, **extra):
-    if int(params.get("max_depth", 3)) > 30:
-        raise ValueError("max_depth is 30 at most")
-    return cls(
-        **COMMON,
-        maxIter=int(params.get("num_rounds", params.get("n_estimators", 100))),
-        maxDepth=int(params.get("max_depth", 3)),
-        stepSize=float(params.get("eta", params.get("learning_rate", 0.1))),
-        subsamplingRate=float(params.get("subsample", 1.0)),
-        featureSubsetStrategy=str(params.get("colsample_bytree", params.get("max_features", "all"))),
-        minInstancesPerNode=max(int(params.get("min_child_weight", 1)), 1),
-        seed=SEED,
-        **extra,
-    )
+@dataclass(frozen=True)
+class Boosting:
+    """How a family of boosted trees reads its parameters: loss, watched metric, default penalty and depth, label scale."""
+
+    objective: str = "squared"
+    metric: str = "rmse"
+    lam: float = 1.0
+    max_depth: int = 6
+    log_target: bool = False
+
+    def settings(self, params: dict) -> boosting.Settings:
+        objective = "rmspe" if params.get("weighted") else self.objective
+        return boosting.Settings(
+            num_rounds=int(params.get("num_rounds", params.get("n_estimators", 100))),
+            max_depth=int(params.get("max_depth", self.max_depth)),
+            eta=float(params.get("eta", params.get("learning_rate", 0.1))),
+            lam=float(params.get("lambda", self.lam)),
+            alpha=float(params.get("alpha", 0.0)),
+            gamma=float(params.get("gamma", 0.0)),
+            min_child_weight=float(params.get("min_child_weight", 1.0)),
+            subsample=float(params.get("subsample", 1.0)),
+            colsample=float(params.get("colsample_bytree", params.get("max_features", 1.0))),
+            max_bin=int(params.get("max_bin", 64)),
+            objective=objective,
+            metric=params.get("eval_metric", "rmspe" if params.get("weighted") else self.metric),
+            patience=int(params.get("early_stopping_rounds", 0)),
+            seed=int(params.get("seed", SEED)),
+        )
+
+    def label(self) -> Column:
+        return F.log1p("y") if self.log_target else F.col("y").cast("double")
+
+    def back(self, pred: Column) -> Column:
+        """On the scale of the label; predictions of logs are clipped at 0 before going back."""
+        return F.expm1(F.greatest(pred, F.lit(0.0))) if self.log_target else pred
+
+
+# The families of boosted trees; ``gbf`` and ``gbfC`` have no penalty of their own and depth 3 unless told.
+BOOSTED = {
+    "gbf": Boosting(lam=0.0, max_depth=3),
+    "gbfC": Boosting("logistic", "logloss", lam=0.0, max_depth=3),
+    "xgb_tree": Boosting(),
+    "xgb_log_target": Boosting(metric="rmspe_log", log_target=True),
+    "xgb_linear_fix": Boosting(),
+    "xgb_linear_fix_log": Boosting(),
+    "xgb_fix": Boosting("logistic", "logloss"),
+    "xgb_fix_log": Boosting("logistic", "logloss"),
+    "xgb_tree_auc": Boosting("logistic", "auc"),
+    "xgb_tree_log": Boosting("logistic", "logloss"),
+}
 
 
-def kept_rounds(losses: Sequence[float], patience: int) -> int:
-    """Rounds up to the best loss, looking until ``patience`` rounds in a row bring none better."""
-    best = 0
-    for at, loss in enumerate(losses):
-        if loss < losses[best]:
-            best = at
-        elif at - best >= patience:
-            break
-    return best + 1
-
-
-def _patient(estimator, train: DataFrame, features: Sequence[str], patience: int, loss: tuple[str, ...]):
-    """``estimator`` with as many rounds as the watch set (``is_valid``) asks for. All rounds are fitted on the other
-    rows and scored round by round; the rounds of a shorter fit are the first of a longer one."""
-    rows = train.filter(~F.col("is_valid"))
-    watch = assemble(train.filter("is_valid"), features)
-    losses = estimator.fit(assemble(rows, features)).evaluateEachIteration(watch, *loss)
-    return estimator.copy({estimator.maxIter: kept_rounds(losses, patience)}), rows
-
-
-def boosted(train, features, params):
-    """Boosted trees. A 0/1 column ``is_valid`` in the training frame is the watch set for early stopping: with
-    ``early_stopping_rounds`` after so many rounds without gain, else at the first flat round."""
-    extra = {}
-    if "is_valid" in train.columns and params.get("early_stopping_rounds"):
-        train = train.withColumn("is_valid", F.col("is_valid") == 1)
-        if params.get("weighted"):
-            train = train.withColumn("_w", inverse_square_weight(F.col("y")))
-            extra["weightCol"] = "_w"
-        made = _boosting(R.GBTRegressor, params, **extra)
-        return _fit_plain(*_patient(made, train, features, int(params["early_stopping_rounds"]), ("squared",)), features)
-    if "is_valid" in train.columns:
-        train = train.withColumn("is_valid", F.col("is_valid") == 1)
-        extra = {"validationIndicatorCol": "is_valid", "validationTol": float(params.get("tol", 0.0))}
-    if params.get("weighted"):
-        train = train.withColumn("_w", inverse_square_weight(F.col("y")))
-        extra["weightCol"] = "_w"
-    return _fit_plain(_boosting(R.GBTRegressor, params, **extra), train, features)
-
-
-def boosted_class(train, features, params):
-    extra = {}
-    if "is_valid" in train.columns and params.get("early_stopping_rounds"):
-        train = train.withColumn("is_valid", F.col("is_valid") == 1)
-        made = _boosting(C.GBTClassifier, params)
-        return _fit_probability(*_patient(made, train, features, int(params["early_stopping_rounds"]), ()), features)
-    if "is_valid" in train.columns:
-        train = train.withColumn("is_valid", F.col("is_valid") == 1)
-        extra = {"validationIndicatorCol": "is_valid", "validationTol": float(params.get("tol", 0.0))}
-    return _fit_probability(_boosting(C.GBTClassifier, params, **extra), train, features)
-
-
-def boosted_log(train, features, params):
-    """Boosted trees on ln(y + 1); predictions are clipped at 0 before going back."""
-    predict = boosted(train.withColumn("y", F.log1p("y")), features, params)
-    return lambda df: predict(df).withColumn("pred", F.expm1(F.greatest("pred", F.lit(0.0))))
+def boosted(train, features, params, family: Boosting = BOOSTED["xgb_tree"]):
+    """Boosted trees. A 0/1 column ``is_valid`` in the training frame marks the watch set: its rows teach nothing, and
+    with ``early_stopping_rounds`` the rounds up to its best loss are kept."""
+    watched = F.when(F.col("is_valid") == 1, 0).otherwise(-1) if "is_valid" in train.columns else F.lit(-1)
+    rows = train.select(watched.alias("part"), family.label().alias("y"), F.xxhash64("row_id").alias("key"), *features)
+    made = boosting.boost(rows, features, family.settings(params))
+    return lambda df: made.predict(df).withColumn("pred", family.back(F.col("pred")))
 
 
 def two_direction(train, features, params):
@@ -239,8 +229,7 @@ def two_direction(train, features, params):
     """
     fraction = params.get("valid_size", 0.07843291)
     ahead = boosted(head_fraction(train, "row_id", fraction), features, params)
-    backwards = train.withColumns({"_back": -F.col("row_id"), "y": F.log("y")})
-    behind = boosted(head_fraction(backwards, "_back", fraction), features, params)
+    behind = boosted(head_fraction(train.withColumn("y", F.log("y")), "row_id", fraction, ascending=False), features, params)
 
     def predict(df: DataFrame) -> DataFrame:
         both = behind(ahead(df).withColumnRenamed("pred", "_first"))
@@ -282,18 +271,12 @@ def factorisation(train, features, params):
 
 
 def pairwise(train, features, params):
-    """Pairwise ranking: a logistic fit without intercept on the feature differences of preference
-    pairs. ``pred`` is the linear score."""
-    pairs = preference_pairs(train, "y", per_row=int(params.get("pairs_per_row", 1)), carry=tuple(features))
-    # the pair and its mirror image, so that both classes are present
-    diffs = pairs.select(*[(F.col(f) - F.col(f"partner_{f}")).alias(f) for f in features], F.col("sign").alias("_s"))
-    both = diffs.withColumn("_m", F.explode(F.array(F.lit(1), F.lit(-1))))
-    both = both.select(*[(F.col(f) * F.col("_m")).alias(f) for f in features], (F.col("_s") * F.col("_m") > 0).cast("double").alias("y"))
-    fitted = C.LogisticRegression(**COMMON, fitIntercept=False, maxIter=params.get("max_iter", 30)).fit(assemble(both, features))
-    coefs = [float(c) for c in fitted.coefficients]
+    """Pairwise ranking: the linear score with the least exponential loss over all preference pairs, inside ``groups`` if
+    these columns are named. ``pred`` is the score."""
+    weights = linear_ranker(train, features, "y", tuple(params.get("groups", ())), int(params.get("max_iter", 30)), float(params.get("l2", 1e-3)))
 
     def predict(df: DataFrame) -> DataFrame:
-        return df.withColumn("pred", sum((F.lit(c) * F.col(f) for c, f in zip(coefs, features)), F.lit(0.0)))
+        return df.withColumn("pred", sum((F.lit(c) * F.col(f) for f, c in weights.items()), F.lit(0.0)))
 
     return predict
 
@@ -379,16 +362,7 @@ LEARNERS: dict[str, Fit] = {
     "rfC": forest_class,
     "extratree": forest_deep,
     "extratreeC": forest_deep_class,
-    "gbf": boosted,
-    "gbfC": boosted_class,
-    "xgb_tree": boosted,
-    "xgb_log_target": boosted_log,
-    "xgb_linear_fix": boosted,
-    "xgb_linear_fix_log": boosted,
-    "xgb_fix": boosted_class,
-    "xgb_fix_log": boosted_class,
-    "xgb_tree_auc": boosted_class,
-    "xgb_tree_log": boosted_class,
+    **{name: partial(boosted, family=family) for name, family in BOOSTED.items()},
     "xgb_linear": boosted_linear,
     "xgb_binary": logistic,
     "xgb_log": logistic,
@@ -431,11 +405,18 @@ def out_of_fold(
     ``parts`` names the (iter, fold) to do, all by default. The learners in ``WATCHED`` choose their number of
     trees on the very fold that they predict.
 
-    Folds are independent Spark jobs, submitted a few at a time. With ``fail_to_zero`` a fold whose
-    fit raises gets 0 and ``failed`` = 1 instead of ending the run.
+    Folds are independent Spark jobs, submitted a few at a time; boosted trees of all folds grow in the same passes. With
+    ``fail_to_zero`` a fold whose fit raises gets 0 and ``failed`` = 1 instead of ending the run.
     """
     fit = LEARNERS[learner]
     params = dict(params or {})
+    if learner in BOOSTED and parts is None and not fail_to_zero:
+        family = BOOSTED[learner]
+        out, _ = boosting.out_of_fold_boosting(table, features, k, family.settings(params), iters, model or learner, family.label())
+        return out.withColumn("pred", family.back(F.col("pred")))
+    if learner == "xgb_linear" and "num_rounds" in params and parts is None and not fail_to_zero:
+        wanted = table.filter(F.col("iter") < iters)
+        return coordinates.out_of_fold_linear(wanted, features, params, model or learner)
 
     def one(part: tuple[int, int]) -> DataFrame:
         iteration, fold = part

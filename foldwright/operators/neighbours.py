@@ -3,6 +3,9 @@ classification, mean-target features and oversampling.
 
 Small reference side (rows and bytes checked): it is sent to the tasks and queries are scanned once.
 
+Few queries (``SCANNED_QUERIES``): blocks of them are sent to the tasks, which scan the references where they lie and
+keep k per query. No reference moves, whatever the structure of the vectors.
+
 Otherwise both sides are cut into cells around pivot vectors, whose number grows with the square root of
 the references. A first pass compares each query with one block of each of its nearest cells, which bounds
 its k-th distance; the triangle inequality then rules out cells that cannot hold anything closer. What is
@@ -32,6 +35,10 @@ BLOCK_ROWS = 4096
 BLOCK_BYTES = 1 << 26
 CHUNK_ROWS = 16_384
 SLICE = 512
+#: Queries sent to the tasks at once, and up to which references are scanned rather than cut into cells.
+QUERY_ROWS, SCANNED_QUERIES = 8192, 65_536
+#: Distances from rows to pivots that a task holds at once.
+GAPS = 1 << 22
 MARGIN = 16
 FIRST_CELLS = 3
 RELATIVE_SLACK = 1e-9
@@ -97,6 +104,8 @@ def knn_join(
     block_rows: int = BLOCK_ROWS,
     chunk_rows: int = CHUNK_ROWS,
     probes: int | float | None = None,
+    scanned: int = SCANNED_QUERIES,
+    query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """The ``k`` nearest references of every query: (query_id, ref_id, distance, neighbour_rank).
 
@@ -112,6 +121,8 @@ def knn_join(
     size = start.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("v") * 8).alias("bytes")).first()
     if size["rows"] <= block_rows and (size["bytes"] or 0) <= BLOCK_BYTES:
         found = _join_with_sent_block(q, start.toPandas(), k)
+    elif not probes and q.limit(scanned + 1).count() <= scanned:
+        found = _join_by_scan(q, r, k, query_rows)
     else:
         found = _join_by_blocks(q, r, k, block_rows, chunk_rows, probes)
     order = Window.partitionBy("qid").orderBy("d2", "rid")  # k rows per visited block
@@ -143,6 +154,46 @@ def _join_with_sent_block(q: DataFrame, refs: pd.DataFrame, k: int) -> DataFrame
     return q.mapInPandas(scan, f"qid {q.schema['qid'].dataType.simpleString()}, rid {rid}, d2 double")
 
 
+def query_blocks(q: DataFrame, rows: int) -> Iterator[pd.DataFrame]:
+    """The queries in blocks of about ``rows``, by a hash of the identifier."""
+    q = materialise(q, "knn-queries")
+    n = max(1, -(-q.count() // rows))
+    for block in range(n):
+        some = q if n == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n)) == block)
+        yield some.toPandas()
+
+
+def _join_by_scan(q: DataFrame, r: DataFrame, k: int, query_rows: int) -> DataFrame:
+    """Queries go to the references: a task scans its references and emits k rows per query."""
+    schema, found = _found_schema(q, r), None
+    for block in query_blocks(q, query_rows):
+        vectors, qid, q_skip = _matrix(block["v"]), _ids(block["qid"]), _skip_codes(block, -1)
+
+        def scan(batches, vectors=vectors, qid=qid, q_skip=q_skip):
+            limit = np.full(len(vectors), np.inf)
+            at, ids, d2 = np.zeros(0, int), None, np.zeros(0)
+            for pdf in batches:
+                if not len(pdf):
+                    continue
+                own = _ids(pdf["rid"])
+                met = list(_nearest(vectors, q_skip, _matrix(pdf["v"]), _skip_codes(pdf, -2), own, k, limit))
+                rows, near, far = (np.concatenate(parts) for parts in zip(*met, strict=True))
+                at, d2 = np.concatenate([at, rows]), np.concatenate([d2, far])
+                ids = own[near] if ids is None else np.concatenate([ids, own[near]])
+                order = np.lexsort((ids, d2, at))
+                at, ids, d2 = at[order], ids[order], d2[order]
+                place = np.arange(len(at)) - np.searchsorted(at, at)
+                at, ids, d2, place = (x[place < k] for x in (at, ids, d2, place))
+                limit[at[place == k - 1]] = d2[place == k - 1]
+            if ids is not None:
+                told = lambda x: x.astype(object) if x.dtype.kind == "U" else x
+                yield pd.DataFrame({"qid": told(qid[at]), "rid": told(ids), "d2": d2})
+
+        made = materialise(r.mapInPandas(scan, schema), "knn-scanned") if len(block) else None
+        found = made if found is None else found.unionByName(made) if made is not None else found
+    return found if found is not None else q.sparkSession.createDataFrame([], schema)
+
+
 def _pairs(pdf, block, block_id, block_skip, k, limit) -> pd.DataFrame:
     rows, near, d2 = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
     if len(pdf) and len(block):
@@ -157,15 +208,20 @@ def _pivot_gaps(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.stack([np.sqrt(((rows - p) ** 2).sum(axis=1)) for p in pivots], axis=1)
 
 
+def _rows_at_once(pivots: np.ndarray) -> int:
+    return max(1, min(SLICE, GAPS // len(pivots)))
+
+
 def _with_cell(df: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot and the distance to it."""
 
     @F.pandas_udf("struct<cell:int,dist:double>")
     def place(v: pd.Series) -> pd.DataFrame:
         cells, dists = np.zeros(len(v), "int32"), np.zeros(len(v))
-        for start in range(0, len(v), SLICE):
-            gaps = _pivot_gaps(_matrix(v[start : start + SLICE]), pivots)
-            cells[start : start + SLICE], dists[start : start + SLICE] = gaps.argmin(axis=1), gaps.min(axis=1)
+        step = _rows_at_once(pivots)
+        for start in range(0, len(v), step):
+            gaps = _pivot_gaps(_matrix(v[start : start + step]), pivots)
+            cells[start : start + step], dists[start : start + step] = gaps.argmin(axis=1), gaps.min(axis=1)
         return pd.DataFrame({"cell": cells, "dist": dists})
 
     return df.withColumn("_p", place("v")).select(*df.columns, "_p.*")
@@ -230,9 +286,10 @@ def _join_by_blocks(q: DataFrame, r: DataFrame, k: int, block_rows: int, chunk_r
 
     def sliced(work, v: pd.Series, *others: pd.Series) -> pd.Series:
         out = []
-        for start in range(0, len(v), SLICE):
-            rows = _matrix(v[start : start + SLICE])
-            out += work(rows, _pivot_gaps(rows, pivots), *[o[start : start + SLICE].to_numpy() for o in others])
+        step = _rows_at_once(pivots)
+        for start in range(0, len(v), step):
+            rows = _matrix(v[start : start + step])
+            out += work(rows, _pivot_gaps(rows, pivots), *[o[start : start + step].to_numpy() for o in others])
         return pd.Series(out, dtype=object)
 
     no_bound = F.lit(float("inf")).alias("bound")

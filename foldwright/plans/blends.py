@@ -19,7 +19,7 @@ from foldwright.operators.pairs import pair_count, preference_pairs
 from foldwright.plans import sql as Q
 from foldwright.plans.common import folded_sales, library, predictions, tidy
 from foldwright.plans.registry import query
-from foldwright.session import materialise, small_side
+from foldwright.session import materialise, scratch_path, small_side
 from foldwright.sources import files, tables
 
 IF = "CAST(iter AS BIGINT) AS iter, CAST(fold AS BIGINT) AS fold"
@@ -165,8 +165,8 @@ def noisy_library(spark, folder) -> DataFrame:
     return rows.withColumns({m: F.col("y") * (F.lit(1.0) + F.lit(a) * draw[m]) for m, a in NOISE.items()})
 
 
-def _greedy_sql() -> str:
-    """Greedy selection written out step by step on the Gram matrix, over the whole noisy library."""
+def _greedy_parts() -> list[str]:
+    """CTEs of greedy selection, step by step on the Gram matrix, over the whole noisy library."""
     noisy = " UNION ALL ".join(
         f"SELECT '{m}' AS model, iter, fold, row_id, y, y * (1 + {a!r}::DOUBLE * (2 * {Q.uniform(i, 'row_id')} - 1)) AS pred FROM wide"
         for i, (m, a) in enumerate(NOISE.items())
@@ -191,8 +191,12 @@ def _greedy_sql() -> str:
             f"""best{s} AS MATERIALIZED (SELECT {s} AS step, t.model, t.weight, t.score FROM top{s} t, best{p} b WHERE b.score - t.score >= 0.000001::DOUBLE ORDER BY t.score, t.model LIMIT 1)""",
             f"c{s} AS MATERIALIZED (SELECT c.model, c.c * b.weight + CASE WHEN c.model = b.model THEN 1 - b.weight ELSE 0 END AS c FROM c{p} c, best{s} b)",
         ]
+    return parts
+
+
+def _greedy_sql() -> str:
     picks = " UNION ALL ".join(f"SELECT * FROM best{s}" for s in range(SQL_STEPS + 1))
-    return f"WITH {', '.join(parts)} SELECT CAST(step AS BIGINT) AS step, model, weight, round(score, 6) AS score FROM ({picks})"
+    return f"WITH {', '.join(_greedy_parts())} SELECT CAST(step AS BIGINT) AS step, model, weight, round(score, 6) AS score FROM ({picks})"
 
 
 @query("greedy_full", _greedy_sql())
@@ -210,6 +214,48 @@ def recipe_round_trip(spark, folder):
     return tidy(files.round_trip(table, "recipe"))
 
 
+def _test_matrix(spark, folder) -> DataFrame:
+    """Every model of the noisy library, fitted on all rows, on the test rows: one column per model."""
+    rows = tables.sales(spark, folder)
+    lines = {n: (F.col("my") + F.col("sp") / (F.col("ss") + F.lit(penalty)) * (F.col("x") - F.col("mx"))) for n, penalty in (("ols", 0.0), ("ridge", Q.RIDGE))}
+    whole = rows.agg(
+        F.avg("y").alias("mean"), F.expm1(F.avg(F.log1p("y"))).alias("log_mean"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        (F.covar_pop("x", "y") * F.count(F.lit(1))).alias("sp"), (F.var_pop("x") * F.count(F.lit(1))).alias("ss"),
+    )
+    out = rows.crossJoin(F.broadcast(whole))  # one row
+    for model, group in (("by_kind", "kind"), ("by_stratum", "stratum")):
+        out = out.join(small_side(rows.groupBy(group).agg(F.avg("y").alias(model))), group)
+    draw = {m: F.lit(2.0) * hash_uniform(100 + i, F.col("row_id")) - F.lit(1.0) for i, m in enumerate(NOISE)}
+    noisy = {m: F.col("y") * (F.lit(1.0) + F.lit(a) * draw[m]) for m, a in NOISE.items()}
+    return out.withColumns({**lines, **noisy}).select("row_id", *GREEDY_MODELS)
+
+
+def _selected_sql() -> str:
+    cells = {m: f"y * (1 + {a!r}::DOUBLE * (2 * {Q.uniform(100 + i, 'row_id')} - 1))" for i, (m, a) in enumerate(NOISE.items())}
+    cells |= {"mean": "my", "log_mean": "log_mean", "by_kind": "avg(y) OVER (PARTITION BY kind)", "by_stratum": "avg(y) OVER (PARTITION BY stratum)"}
+    cells |= {n: f"my + sp / (ss + {penalty}::DOUBLE) * (x - mx)" for n, penalty in (("ols", 0.0), ("ridge", Q.RIDGE))}
+    steps = " UNION ALL ".join(f"SELECT {s} AS step, * FROM c{s}" for s in range(SQL_STEPS + 1))
+    long = " UNION ALL ".join(f"SELECT row_id, '{m}' AS model, {m} AS pred FROM tested" for m in ('"mean"' if m == "mean" else m for m in GREEDY_MODELS))
+    long = long.replace("""'"mean"'""", "'mean'")
+    return f"""WITH {', '.join(_greedy_parts())}, steps AS ({steps}), coefs AS (SELECT model, c FROM steps WHERE step = (SELECT max(step) FROM steps)),
+    fitted AS (SELECT avg(y) AS my, exp(avg(ln(y + 1))) - 1 AS log_mean, avg(x) AS mx, covar_pop(x, y) * count(*) AS sp, var_pop(x) * count(*) AS ss FROM sales),
+    tested AS (SELECT row_id, {", ".join(f'{e} AS "{m}"' for m, e in cells.items())} FROM sales, fitted),
+    blended AS (SELECT row_id, sum(c * pred) AS p FROM ({long}) JOIN coefs USING (model) GROUP BY row_id)
+    SELECT row_id AS "Id", round(CASE WHEN (SELECT min(p) FROM blended) < 0 THEN (p - (SELECT min(p) FROM blended)) / (SELECT max(p) - min(p) FROM blended) ELSE p END, 3) AS "Sales" FROM blended"""
+
+
+@query("selected_submission", _selected_sql())
+def selected_submission(spark, folder):
+    """The whole chain: select over the out-of-fold library, store the recipe, replay it on test predictions, submit."""
+    gram = E.gram_matrix(noisy_library(spark, folder), GREEDY_MODELS, "rmspe")
+    recipe = E.recipe_steps(files.round_trip(E.recipe_table(spark, E.greedy_select(gram, GREEDY_MODELS)), "recipe"))
+    tested = L.to_long(_test_matrix(spark, folder), GREEDY_MODELS, keep=("row_id",))
+    blended = materialise(E.replay(tested, recipe).withColumn("model", F.lit("ensemble")), "ensemble")
+    root = scratch_path(spark, "submissions")
+    version = files.write_submission(L.rescale(blended, S.minmax_if_negative), root)
+    return tidy(files.read_submission(spark, root, "model_library", version), 3)
+
+
 RECIPE = [E.Step(0, "log_mean", 1.0, 0.0), E.Step(1, "by_kind", 0.6, 0.0), E.Step(2, "ridge", 0.75, 0.0), E.Step(3, "log_mean", 0.9, 0.0)]
 
 
@@ -417,13 +463,13 @@ def best_params_upsert(spark, folder):
     return tidy(long.select("model", "version", "param", F.log("value").alias("log_value")))
 
 
-@query("scatter_oof", f"""WITH {Q.LIBRARY} SELECT row_id, CAST(iter AS BIGINT) AS iter, round(ols, 3) AS ols, round(by_stratum, 3) AS by_stratum FROM wide""")
+@query(
+    "scatter_oof",
+    f"WITH {Q.LIBRARY} SELECT row_id, CAST(iter AS BIGINT) AS iter, " + ", ".join(f'round("{m}", 3) AS "{m}"' for m in Q.MODELS) + " FROM wide",
+)
 def scatter_oof(spark, folder):
-    """Fold-wise predictions back in row order: the folds of a repeat together cover every row once."""
-    long = predictions(spark, folder)
-    pieces = [long.filter(F.col("fold") == f) for f in range(Q.K)]
-    whole = reduce(DataFrame.unionByName, pieces)
-    return tidy(ST.stack_matrix(whole, ["ols", "by_stratum"]), 3)
+    """Out-of-fold predictions of all models back in row order: by key, whatever fold a row was predicted in."""
+    return tidy(ST.stack_matrix(predictions(spark, folder), Q.MODELS), 3)
 
 
 THRESHOLD = 20.0
@@ -453,8 +499,51 @@ def raw_plus_meta(spark, folder):
     return tidy(ST.with_raw_features(meta, tables.sales(spark, folder), ["x", "kind"]), 3)
 
 
-@query("greedy_by_gini")
+# The SQL twin writes so many steps out, one more than the selection takes at any of the given sizes.
+GINI_STEPS = 7
+
+
+def _gini_sql() -> str:
+    """Selection by Gini, step by step: every model and weight, every row ranked."""
+    quoted = {m: f'"{m}"' for m in GREEDY_MODELS}
+    noisy = ", ".join(f"y * (1 + {a!r}::DOUBLE * (2 * {Q.uniform(i, 'row_id')} - 1)) AS {m}" for i, (m, a) in enumerate(NOISE.items()))
+    area = "(max(n) / 2.0::DOUBLE - sum(y * a) / sum(y))"
+    parts = [
+        Q.LIBRARY,
+        f"rows AS MATERIALIZED (SELECT iter, fold, row_id, y, {', '.join(quoted[m] for m in Q.MODELS)}, {noisy} FROM wide)",
+        f"""truth AS MATERIALIZED (SELECT iter, fold, {area} AS g FROM (SELECT *, count(*) OVER (PARTITION BY iter, fold) AS n,
+            row_number() OVER (PARTITION BY iter, fold ORDER BY y, row_id DESC) AS a FROM rows) GROUP BY ALL)""",
+    ]
+
+    def scored(name: str, blends: str) -> str:
+        return f"""{name} AS MATERIALIZED (SELECT model, wt, avg(s) AS score FROM (
+            SELECT model, wt, r.iter, r.fold, {area} / max(g) AS s FROM (
+              SELECT *, count(*) OVER k AS n, row_number() OVER (k ORDER BY p, row_id DESC) AS a FROM ({blends}) WINDOW k AS (PARTITION BY model, wt, iter, fold)) r
+            JOIN truth t ON t.iter = r.iter AND t.fold = r.fold GROUP BY ALL) GROUP BY ALL)"""
+
+    models = " UNION ALL ".join(f"SELECT '{m}' AS model, iter, fold, row_id, y, {c} AS q, cur FROM now{{s}}" for m, c in quoted.items())
+    single = " UNION ALL ".join(f"SELECT '{m}' AS model, 100 AS wt, iter, fold, row_id, y, {c} AS p FROM rows" for m, c in quoted.items())
+    parts += [
+        scored("single", single),
+        "best0 AS MATERIALIZED (SELECT 0 AS step, model, 1.0::DOUBLE AS weight, score FROM single ORDER BY round(score, 9) DESC, model LIMIT 1)",
+        "c0 AS MATERIALIZED (SELECT " + ", ".join(f"CASE WHEN model = '{m}' THEN 1.0::DOUBLE ELSE 0 END AS c{n}" for n, m in enumerate(GREEDY_MODELS)) + " FROM best0)",
+    ]
+    for s in range(1, GINI_STEPS + 1):
+        now = " + ".join(f"c{n} * {c}" for n, c in enumerate(quoted.values()))
+        parts += [
+            f"now{s} AS MATERIALIZED (SELECT rows.*, {now} AS cur FROM rows, c{s - 1})",
+            scored(f"try{s}", f"SELECT model, wt, iter, fold, row_id, y, wt / 100.0::DOUBLE * cur + (1 - wt / 100.0::DOUBLE) * q AS p FROM ({models.format(s=s)}), range(101) w(wt)"),
+            f"top{s} AS (SELECT model, arg_max(wt, (round(score, 9), -wt)) AS wt, arg_max(score, (round(score, 9), -wt)) AS score FROM try{s} GROUP BY model)",
+            f"""best{s} AS MATERIALIZED (SELECT {s} AS step, t.model, t.wt / 100.0::DOUBLE AS weight, t.score FROM top{s} t, best{s - 1} b
+            WHERE t.score - b.score >= 0.000001::DOUBLE ORDER BY t.score DESC, t.model LIMIT 1)""",
+            f"c{s} AS MATERIALIZED (SELECT " + ", ".join(f"c{n} * weight + CASE WHEN model = '{m}' THEN 1 - weight ELSE 0 END AS c{n}" for n, m in enumerate(GREEDY_MODELS)) + f" FROM c{s - 1}, best{s})",
+        ]
+    picks = " UNION ALL ".join(f"SELECT * FROM best{s}" for s in range(GINI_STEPS + 1))
+    return f"WITH {', '.join(parts)} SELECT CAST(step AS BIGINT) AS step, model, weight, round(score, 6) AS score FROM ({picks})"
+
+
+@query("greedy_by_gini", _gini_sql())
 def greedy_by_gini(spark, folder):
-    """Selection under a metric that is no mean of squares."""
+    """Selection under a metric that is no mean of squares: bounds leave few of all models and weights to be ranked."""
     wide = materialise(noisy_library(spark, folder).select("iter", "fold", "row_id", "y", *GREEDY_MODELS), "wide")
     return tidy(E.recipe_table(spark, E.greedy_by_scoring(wide, GREEDY_MODELS, "gini")))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from foldwright.functions import scalar as S
 from foldwright.operators import features as X
 from foldwright.operators import folds as FO
+from foldwright.operators import heavy as H
 from foldwright.operators import library as L
 from foldwright.operators.ranking import ranked_by_value
 from foldwright.plans import sql as Q
@@ -396,6 +397,15 @@ def feature_drop_list(spark, folder):
     return tidy(X.feature_drop_list(merged(spark, folder), DROP_COLUMNS, max_same=MAX_SAME), 4)
 
 
+@query(
+    "feature_drop_summary",
+    f"""SELECT column_name, CASE WHEN n_distinct <= 2 THEN n_distinct END AS n_distinct, CASE WHEN max_count > {MAX_SAME} THEN max_count END AS max_count, std, "drop" FROM ({_drop_sql()})""",
+)
+def feature_drop_summary(spark, folder):
+    """The same decisions from summaries of few counters, fewer than some columns have values."""
+    return tidy(H.drop_summary(merged(spark, folder), DROP_COLUMNS, max_same=MAX_SAME, counters=64), 4)
+
+
 @query("removed_columns_sink", f'SELECT column_name FROM ({_drop_sql()}) WHERE "drop" = 1')
 def removed_columns_sink(spark, folder):
     listed = X.feature_drop_list(merged(spark, folder), DROP_COLUMNS, max_same=MAX_SAME)

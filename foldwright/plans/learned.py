@@ -61,28 +61,30 @@ def doc_query(name: str, learner: str, params: dict | None = None):
     return build
 
 
-SMALL_TREES = {"num_rounds": 5, "max_depth": 3, "eta": 0.1, "subsample": 0.7, "colsample_bytree": 0.7, "min_child_weight": 3}
+#: 100 rounds at least, as in the parameter space; those that watch a fold end 20 rounds after their best.
+TREES = {"num_rounds": 100, "max_depth": 3, "eta": 0.1, "subsample": 0.7, "colsample_bytree": 0.7, "min_child_weight": 3, "gamma": 0.1, "lambda": 1.0}
+WATCHED_TREES = {**TREES, "early_stopping_rounds": 20}
 
 sales_query("oof_forest", "rf", {"n_estimators": 300, "max_features": 0.7, "max_depth": 5})
 sales_query("oof_deep_forest", "extratree", {"n_estimators": 5, "max_features": 0.7, "max_depth": 10})
-sales_query("oof_gbt", "gbf", {"n_estimators": 5, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.7})
-sales_query("oof_gbt_early_stop", "xgb_tree", SMALL_TREES)
-sales_query("oof_gbt_log_target", "xgb_log_target", SMALL_TREES)
-sales_query("oof_gbt_weighted", "gbf", {"n_estimators": 5, "max_depth": 3, "weighted": True})
+sales_query("oof_gbt", "gbf", {"n_estimators": 100, "max_depth": 3, "learning_rate": 0.1, "subsample": 0.7})
+sales_query("oof_gbt_early_stop", "xgb_tree", WATCHED_TREES)
+sales_query("oof_gbt_log_target", "xgb_log_target", WATCHED_TREES)
+sales_query("oof_gbt_weighted", "gbf", {"n_estimators": 100, "max_depth": 3, "weighted": True})
 sales_query("oof_boosted_linear", "xgb_linear", {"alpha": 0.22, "lambda": 3.15})
 sales_query("oof_huber", "svr", {"epsilon": 0.35, "max_iter": 100})
 sales_query("oof_poisson", "xgb_count")
-sales_query("oof_pairwise", "xgb_rank", {"max_iter": 10})
-sales_query("oof_two_direction", "xgb_art", SMALL_TREES)
+sales_query("oof_pairwise", "xgb_rank", {"max_iter": 30, "groups": ["store_type"]})
+sales_query("oof_two_direction", "xgb_art", WATCHED_TREES)
 sales_query("oof_fm", "fm", {"rank": 8, "max_iter": 100})
-sales_query("oof_adaboost", "adaboost", {"n_estimators": 3, "max_depth": 4})
+sales_query("oof_adaboost", "adaboost", {"n_estimators": 20, "max_depth": 8})
 doc_query("oof_logistic", "logistic", {"C": 1.0})
 doc_query("oof_logistic_elastic", "xgb_binary", {"alpha": 0.22, "lambda": 3.15})
 doc_query("oof_forest_class", "rfC", {"n_estimators": 300, "max_features": 0.7, "max_depth": 4})
 doc_query("oof_deep_forest_class", "extratreeC", {"n_estimators": 300, "max_features": 0.7, "max_depth": 20})
-doc_query("oof_gbt_class", "gbfC", {"n_estimators": 5, "max_depth": 3, "subsample": 0.8})
-doc_query("oof_gbt_class_early_stop", "xgb_fix", {**SMALL_TREES, "colsample_bytree": 1.0})
-doc_query("oof_svc", "svc", {"C": 1.0, "max_iter": 10})
+doc_query("oof_gbt_class", "gbfC", {"n_estimators": 100, "max_depth": 3, "subsample": 0.8})
+doc_query("oof_gbt_class_early_stop", "xgb_fix", {**WATCHED_TREES, "colsample_bytree": 1.0})
+doc_query("oof_svc", "svc", {"C": 1.0, "max_iter": 100})
 
 
 @query("oof_multinomial")
@@ -92,7 +94,7 @@ def oof_multinomial(spark, folder):
     names = [f"v{i}" for i in range(64)]
     rows = rows.select("row_id", "y", "stratum", *[F.col("vector")[i].cast("double").alias(n) for i, n in enumerate(names)])
     table = LE.fold_table(FO.stratified_folds(rows, "stratum", K, 1), names)
-    return _rows(LE.out_of_fold(table, "xgb_multi", names, K, 1, {"max_iter": 10, "lambda": 0.01}))
+    return _rows(LE.out_of_fold(table, "xgb_multi", names, K, 1, {"max_iter": 100, "lambda": 0.01}))
 
 
 @query("isotonic_calibration")
@@ -198,7 +200,7 @@ def stack_cv(spark, folder):
 
 @query("stack_raw_meta")
 def stack_raw_meta(spark, folder):
-    out = ST.stack_cv(stack_table(spark, folder, raw=True), [*STACKED, "x"], "gbf", K, 1, {"n_estimators": 3, "max_depth": 3})
+    out = ST.stack_cv(stack_table(spark, folder, raw=True), [*STACKED, "x"], "gbf", K, 1, {"n_estimators": 100, "max_depth": 3})
     return _scored(out)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foldwright.operators import ensemble as E
 from foldwright.operators import learners as LE
+from foldwright.operators.boosting import Watch
 from foldwright.operators.features import feature_drop_list
 from foldwright.operators.ranking import CODE, ordering_buckets, ranked_by_value
 from foldwright.sources import files
@@ -89,12 +90,21 @@ def test_text_ties_over_many_tasks(spark, keys):
     assert most < 8000
 
 
+def kept_rounds(losses, patience):
+    watch = Watch(patience)
+    for rounds, loss in enumerate(losses, 1):
+        if not watch.goes_on(rounds, loss):
+            break
+    return watch.rounds
+
+
 def test_patience():
     losses = [5, 4, 4.5, 4.2, 3, 3.5, 3.6, 3.7, 2]
-    assert LE.kept_rounds(losses, 2) == 2  # the third and fourth bring nothing
-    assert LE.kept_rounds(losses, 3) == 5  # the fifth does, the three after it do not
-    assert LE.kept_rounds(losses, 4) == 9
-    assert LE.kept_rounds([5, 4, 3], 10) == 3
+    assert kept_rounds(losses, 2) == 2  # the third and fourth bring nothing
+    assert kept_rounds(losses, 3) == 5  # the fifth does, the three after it do not
+    assert kept_rounds(losses, 4) == 9
+    assert kept_rounds([5, 4, 3], 10) == 3
+    assert kept_rounds(losses, 0) == 9  # no patience asked for: nothing ends
 
 
 @pytest.mark.parametrize("learner", ["xgb_tree", "xgb_fix"])
@@ -106,6 +116,6 @@ def test_boosting_keeps_the_best_rounds(spark, points, learner):
     watch = rows.filter("is_valid = 1").select("row_id", "x", "y")
     made = {r.row_id: r.pred for r in patient(watch).collect()}
     # the same as the best of all shorter fits on the rows that are not watched
-    plain = {n: LE.LEARNERS[learner](rows.filter("is_valid = 0").drop("is_valid"), ["x"], params | {"num_rounds": n}) for n in range(1, 9)}
+    plain = {n: LE.LEARNERS[learner](rows.filter("is_valid = 0").drop("is_valid"), ["x"], params | {"num_rounds": n}) for n in range(9)}
     same = [n for n, fit in plain.items() if {r.row_id: r.pred for r in fit(watch).collect()} == pytest.approx(made)]
     assert same
