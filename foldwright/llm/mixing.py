@@ -3,18 +3,19 @@
 1. Every document's size in words is summed per source; weights share the corpus, no source beyond
    ``max_repeat`` times its size (the excess is shared again by weight; solved in closed form by ordering
    sources by the level at which they hit their cap).
-2. The words of the mix are given to sources by Sainte-Lague: seat k of a source has the quotient
-   target / (2k - 1), the highest quotients win. A source's words are then given to its shards in the same
-   way, by the words they hold, so every shard gets an integer quota.
-3. A shard orders its documents by a seeded hash, which makes them one stream of words. A quota of q
-   among n words takes all words q div n times and q mod n of them once more, in blocks of consecutive words at
-   even distances from a seeded start. Blocks are as few as ``BLOCK`` words each allow and equal but for one word: 129
-   to 256 words, or all of them if fewer. The length depends on that shard only, not on the table or on other sources.
-   How many words of a document fall into blocks follows from its place in the stream, so no row is made per block.
-
-A source has about the square root of its documents in shards: shards and their content grow alike, and a
-hot source is many shards. Seats are settled without listing them all: quotients above a bound are counted
-in closed form and about two candidates per party are ranked.
+2. A source's documents are dealt into shards by a seeded hash. A shard orders its documents by another hash, which makes
+   them one stream of words, and cuts it into blocks of ``BLOCK`` words; its last block may be short.
+3. Seats are blocks. A source votes with its target in blocks of its own mean length, and Sainte-Lague gives out the
+   blocks of the whole mix: seat k of a source has the quotient votes / (2k - 1), the highest quotients win. A
+   source's blocks are then given to its shards in the same way, by the blocks they hold: every quota is a whole number.
+4. A shard with a quota of q among n blocks takes all of them q div n times and q mod n of them once more, chosen
+   systematically along the stream from a seeded start. Which words of a document lie in chosen blocks follows from its
+   place in the stream, so no row is made per block.
+
+A shard holds about ``SHARD_BLOCKS`` blocks, whatever its source: shards grow in number, and a hot source is many
+shards. Seats are settled without listing them all: quotients above a bound are counted in closed form and about two
+candidates per party are ranked. A source's words come within about a block of its target, and a block per shard where
+last blocks are short.
 
 Null text has size 0, a null source is a source (last in order), a null or repeated doc_id is an ordinary
 row. Documents of no words are taken 0 times. Empty tables give no rows.
@@ -22,6 +23,8 @@ row. Documents of no words are taken 0 times. Empty tables give no rows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +33,8 @@ from foldwright.session import materialise
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEAT = 3
-#: A block has at most so many words.
-BLOCK = 256
+#: Words of a block, and blocks of a shard.
+BLOCK, SHARD_BLOCKS = 128, 256
 SEED = 17
 
 
@@ -84,33 +87,16 @@ def sainte_lague(parties: DataFrame, votes: str, seats: Column, group: list[str]
     return seat.groupBy(*keep, "_sure").agg(F.count_if("_won").alias("_more")).withColumn("won", F.col("_sure") + F.col("_more")).drop("_sure", "_more")
 
 
-def _share(j: Column, p: Column | None = None) -> Column:
-    """Words of the shard's first ``j`` blocks."""
-    col = F.col if p is None else p.getField
-    return F.floor(F.least(j, col("n_blocks")) * col("extra") / F.greatest(col("n_blocks"), F.lit(1)))
-
-
-def _begin(j: Column, p: Column | None = None) -> Column:
-    """Where block ``j`` begins in the stream: after the words of the earlier blocks, and even gaps."""
-    col = F.col if p is None else p.getField
-    return _share(j, p) + F.floor((j * (col("shard_size") - col("extra")) + col("start")) / F.greatest(col("n_blocks"), F.lit(1)))
-
+def _chosen_before(j: Column, of: Callable[[str], Column]) -> Column:
+    """Blocks chosen once more among the shard's first ``j``."""
+    return F.floor((j * of("extra") + of("start")) / F.greatest(of("n_blocks"), F.lit(1)))
 
-def _near(x: Column, p: Column | None = None) -> Column:
-    """A block that begins at or before word ``x`` (else the first), of which at most the next does so too."""
-    col = F.col if p is None else p.getField
-    j = F.floor((x * col("n_blocks") - col("start")) / F.greatest(col("shard_size"), F.lit(1)))
-    return F.greatest(F.least(j, col("n_blocks") - 1), F.lit(0))
 
-
-def _taken_before(x: Column) -> Column:
-    """Words of the shard's stream before word ``x`` that lie in blocks, which are taken once more."""
-
-    def part(j: Column) -> Column:
-        return F.greatest(F.least(x - _begin(j), _share(j + 1) - _share(j)), F.lit(0))
-
-    j = _near(x)
-    return _share(j) + part(j) + part(j + 1)
+def _taken_before(x: Column, of: Callable[[str], Column] = F.col) -> Column:
+    """Words of the shard's stream before word ``x`` that lie in blocks chosen once more."""
+    j = F.floor(x / BLOCK)
+    before = _chosen_before(j, of)
+    return before * BLOCK + (_chosen_before(j + 1, of) - before) * (x - j * BLOCK)
 
 
 def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -120,26 +106,28 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
         docs.select(docs[id_col].cast("long"), docs[source_col].cast("string"), n_words(docs[text_col]), text_key).toDF("doc_id", "source", "size", "text_key"),
         "mix-sizes",
     )
-    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
-    targets = source_targets(sources.select("source", "source_size"), weights, max_repeat)
-    targets = targets.join(sources.select(F.col("source").alias("_s"), F.ceil(F.sqrt("_docs")).alias("shards")), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    targets = targets.withColumn("_all", F.round(F.sum("target").over(Window.partitionBy())).cast("long"))
-    targets = sainte_lague(targets, "target", F.col("_all"), ["_all"], ["source"]).withColumnRenamed("won", "source_words").drop("_all")
-    targets = materialise(targets, "mix-sources")
+    sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    shards_of = F.greatest(F.round(F.col("source_size") / (BLOCK * SHARD_BLOCKS)), F.lit(1)).cast("long")
+    targets = materialise(source_targets(sources, weights, max_repeat).withColumn("shards", shards_of), "mix-targets")
 
     # a row of ``targets`` per source is as small as the list of sources; joined by hash if that is large
     placed = sizes.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     placed = placed.withColumn("shard", F.pmod(_draw(F.lit("shard"), F.col("doc_id").cast("string"), F.col("text_key").cast("string")), F.col("shards")))
-    shards = placed.groupBy("source", "source_words", "shard").agg(F.sum("size").alias("shard_size"))
-    quota = sainte_lague(shards, "shard_size", F.col("source_words"), ["source"], ["shard"])
-    size = F.col("shard_size")
-    quota = quota.withColumn("quota", F.when(size > 0, F.least(F.col("won"), max_repeat * size)).otherwise(0))
-    quota = quota.withColumn("extra", F.when(size > 0, F.pmod("quota", size)).otherwise(0)).withColumn("repeats", F.when(size > 0, F.floor(F.col("quota") / size)).otherwise(0))
-    start = F.pmod(_draw(F.lit("start"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), size - F.col("extra") + 1)
-    quota = quota.select(
-        F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "quota", "repeats", "extra",
-        F.ceil(F.col("extra") / BLOCK).alias("n_blocks"), start.alias("start"),
-    )
+    shards = placed.groupBy("source", "source_size", "target", "shard").agg(F.sum("size").alias("shard_size"))
+    shards = materialise(shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / BLOCK).cast("long")), "mix-shards")
+
+    held = shards.groupBy("source", "source_size", "target").agg(F.sum("n_blocks").alias("source_blocks"))
+    votes = F.when(F.col("source_size") > 0, F.col("target") * F.col("source_blocks") / F.col("source_size")).otherwise(0.0)
+    held = held.withColumn("votes", votes).withColumn("_all", F.round(F.sum("votes").over(Window.partitionBy())).cast("long"))
+    won = sainte_lague(held, "votes", F.col("_all"), ["_all"], ["source"])
+    won = materialise(won.select("source", F.col("won").alias("source_quota")), "mix-quotas")
+    quota = shards.join(won.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+    quota = sainte_lague(quota, "n_blocks", F.col("source_quota"), ["source"], ["shard"])
+    n = F.col("n_blocks")
+    quota = quota.withColumn("quota", F.when(n > 0, F.least(F.col("won"), max_repeat * n)).otherwise(0))
+    quota = quota.withColumn("extra", F.when(n > 0, F.pmod("quota", n)).otherwise(0)).withColumn("repeats", F.when(n > 0, F.floor(F.col("quota") / n)).otherwise(0))
+    start = F.pmod(_draw(F.lit("start"), F.coalesce("source", F.lit("")), F.col("shard").cast("string")), F.greatest(n, F.lit(1)))
+    quota = quota.select(F.col("source").alias("_s"), F.col("shard").alias("_h"), "shard_size", "n_blocks", "source_quota", "quota", "repeats", "extra", start.alias("start"))
     order = _draw(F.lit("order"), F.col("doc_id").cast("string"), F.col("text_key").cast("string"))
     stream = Window.partitionBy("source", "shard").orderBy(order, F.col("doc_id"), F.col("text_key"))
     placed = placed.withColumn("last", F.sum("size").over(stream.rowsBetween(Window.unboundedPreceding, 0))).withColumn("first", F.col("last") - F.col("size"))
@@ -149,8 +137,8 @@ def mix_plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken and the shard's blocks, one row per document."""
-    return mix_plan(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "source", "shard", "quota", "n_blocks")
+    """doc_id, size, source_size, target, taken, and the shard's blocks and quota of blocks, one row per document."""
+    return mix_plan(docs, **options).select("doc_id", "size", "source_size", "target", "taken", "source", "source_quota", "shard", "n_blocks", "quota")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
@@ -161,7 +149,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     plan = mix_plan(docs, id_col, text_col, source_col, **options).where("taken > 0")
     id_, key, nth, planned, copy = free_names(docs, "_id", "_key", "_nth", "_plan", "_copy")
-    plan = plan.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.struct("size", "taken", "repeats", "first", "last", "shard_size", "extra", "start", "n_blocks").alias(planned))
+    plan = plan.select(F.col("doc_id").alias(id_), F.col("text_key").alias(key), F.struct("size", "taken", "repeats", "first", "last", "extra", "start", "n_blocks").alias(planned))
     # rows that agree in identifier and text are interchangeable: each takes one of their plans
     plan = plan.withColumn(nth, F.row_number().over(Window.partitionBy(id_, key).orderBy(planned)))
     own = docs.withColumn(id_, docs[id_col].cast("long")).withColumn(key, F.xxhash64(empty_if_null(docs[text_col])))
@@ -173,12 +161,14 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     words = F.regexp_extract_all(found[text_col], F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
 
     def block(j: Column) -> Column:
-        begin = _begin(j, p) - p["first"]
-        end = F.least(begin + _share(j + 1, p) - _share(j, p), p["size"])
-        begin = F.greatest(begin, F.lit(0))
+        begin = F.greatest(j * BLOCK, p["first"]) - p["first"]
+        end = F.least((j + 1) * BLOCK, p["last"]) - p["first"]
         return F.slice(words, (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int"))
 
-    blocks = F.sequence(_near(p["first"], p), F.least(_near(p["last"], p) + 1, p["n_blocks"] - 1))
+    def is_chosen(j: Column) -> Column:
+        return _chosen_before(j + 1, p.getField) > _chosen_before(j, p.getField)
+
+    blocks = F.filter(F.sequence(F.floor(p["first"] / BLOCK), F.floor((p["last"] - 1) / BLOCK)), is_chosen)
     part = F.when(rest == p["size"], found[text_col]).when(rest > 0, F.array_join(F.flatten(F.transform(blocks, block)), ""))
     texts = F.concat(F.array_repeat(found[text_col], p["repeats"].cast("int")), F.array_compact(F.array(part)))
     out = found.withColumn(copy, F.explode(texts))

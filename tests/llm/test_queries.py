@@ -165,7 +165,36 @@ def test_a_tiny_source_leaves_blocks_long(spark):
     for r in plan.values():
         by[r.source] += r.taken
     for r in plan.values():
-        assert abs(by[r.source] - r.target) <= 1
+        assert abs(by[r.source] - r.target) <= mixing.BLOCK
+
+
+def test_quotas_are_blocks_by_highest_quotients(spark, folder, monkeypatch):
+    """Seats of sources and of their shards are whole blocks of ``BLOCK`` words, given out by a list of all quotients."""
+    monkeypatch.setattr(mixing, "BLOCK", 16)
+    monkeypatch.setattr(mixing, "SHARD_BLOCKS", 40)
+    found = mixing.mix(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    words, targets, quotas, shards = Counter(), {}, {}, {}
+    for r in found:
+        words[r.source, r.shard] += r.size
+        targets[r.source] = r.target, r.source_size
+        quotas[r.source] = r.source_quota
+        shards[r.source, r.shard] = r.n_blocks, r.quota
+    assert len(shards) > 2 * len(quotas)
+    assert all(n == -(-words[k] // 16) for k, (n, _) in shards.items())
+
+    def highest(votes: dict, seats: int) -> Counter:
+        ranked = sorted(((-v / (2 * k - 1), name is None, name) for name, v in votes.items() for k in range(1, seats + 1) if v), key=lambda x: (x[0], x[1], "" if x[2] is None else x[2]))
+        return Counter(name for *_, name in ranked[:seats])
+
+    held = Counter()
+    for (source, _), (n, _) in shards.items():
+        held[source] += n
+    votes = {s: t * held[s] / size if size else 0 for s, (t, size) in targets.items()}
+    want = highest(votes, round(sum(votes.values())))
+    assert {s: q for s, q in quotas.items() if q} == dict(want)
+    for source in quotas:
+        own = highest({h: n for (s, h), (n, _) in shards.items() if s == source}, quotas[source])
+        assert {h: q for (s, h), (_, q) in shards.items() if s == source and q} == dict(own)
 
 
 def test_seats_go_to_the_highest_quotients(spark):
