@@ -10,13 +10,17 @@ adds up the loss of the rounds before on each model's watch rows: early stopping
 ``lambda`` and ``alpha`` are penalties on leaf values, ``gamma`` is what a split must gain, ``min_child_weight`` the
 curvature a child must have. A null or NaN feature lies below all values. Row and feature draws follow from the row's
 key, the seed and the round, not from partitions. Equal gains go to the first feature, then to the lowest bin.
+
+With ``random_splits`` a node tries one threshold per feature, drawn evenly between the smallest and the largest value that its
+rows have (the largest bin below it is taken), and of the features the share ``split_features``, drawn per node: extremely
+randomised trees. A forest of them is many models of one round that skip the same part.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterable, Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foldwright.functions.hashing import hash_uniform
 from foldwright.functions.metrics import METRICS
 from foldwright.operators.library import score
 from foldwright.session import materialise
@@ -32,6 +37,8 @@ from foldwright.session import materialise
 MAX_CELLS = 1 << 21
 #: Trees that passes evaluate on top of the written running predictions.
 FRESH = 20
+#: Trees of a forest that grow side by side: a row has a running prediction for each.
+MODELS = 64
 #: Quantiles asked of a feature with more values than bins.
 ACCURACY = 10_000
 
@@ -98,6 +105,8 @@ class Settings:
     patience: int = 0  # 0: all rounds are kept
     base_score: float | None = None  # default: the mean of the learning rows
     seed: int = 231
+    random_splits: bool = False
+    split_features: float = 1.0
 
 
 @dataclass
@@ -109,16 +118,18 @@ class Tree:
     left: list[int] = field(default_factory=list)
     right: list[int] = field(default_factory=list)
     value: list[float] = field(default_factory=list)
+    place: list[int] = field(default_factory=list)  # 1 at the root, 2 p and 2 p + 1 below place p
     depth: int = 0
 
-    def add(self, value: float) -> int:
-        for column, blank in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, value)):
+    def add(self, value: float, place: int = 1) -> int:
+        for column, blank in ((self.feature, -1), (self.bin, 0), (self.left, 0), (self.right, 0), (self.value, value), (self.place, place)):
             column.append(blank)
         return len(self.feature) - 1
 
     def split(self, node: int, feature: int, at: int, left: float, right: float) -> tuple[int, int]:
         self.feature[node], self.bin[node] = feature, at
-        self.left[node], self.right[node] = self.add(left), self.add(right)
+        below = 2 * self.place[node]
+        self.left[node], self.right[node] = self.add(left, below), self.add(right, below + 1)
         return self.left[node], self.right[node]
 
     def leaves(self, bins: np.ndarray) -> np.ndarray:
@@ -227,7 +238,7 @@ def leaf_value(g: float, h: float, s: Settings) -> float:
     return -s.eta * t / (h + s.lam) if h + s.lam > 0 else 0.0
 
 
-SUMS = "model int, node int, feature int, bin int, g double, h double"
+SUMS = "model int, node long, feature int, bin int, g double, h double"
 
 
 @dataclass(frozen=True)
@@ -270,7 +281,7 @@ class Model:
 
 
 #: What models that grow together must have in common.
-SHARED = ("objective", "metric", "max_bin", "base_score")
+SHARED = ("objective", "metric", "max_bin", "base_score", "random_splits")
 
 
 class Booster:
@@ -385,10 +396,10 @@ class Booster:
                         watched[m] += loss(shape(margin[rows, m]), y[rows]).sum(), rows.sum()
             for m, nodes in open_nodes.items():
                 c, at = np.nonzero(sums[m][1])
-                told = [np.full(len(c), m), np.array(nodes)[at // width], np.array(columns[m])[c], at % width, sums[m][0, c, at], sums[m][1, c, at]]
+                told = [np.full(len(c), m), np.array(growing[m].place)[nodes][at // width], np.array(columns[m])[c], at % width, sums[m][0, c, at], sums[m][1, c, at]]
                 if watch and loss and watched[m, 1]:
                     told = [np.append(t, x) for t, x in zip(told, (m, -1, -1, 0, *watched[m]), strict=True)]
-                kinds = [pa.int32()] * 4 + [pa.float64()] * 2
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()] + [pa.float64()] * 2
                 yield pa.RecordBatch.from_arrays([pa.array(t.astype(k.to_pandas_dtype()), k) for t, k in zip(told, kinds, strict=True)], names=["model", "node", "feature", "bin", "g", "h"])
 
         return self.rows.mapInArrow(work, SUMS)
@@ -410,11 +421,28 @@ class Booster:
         lam, alpha = self._each("lam"), self._each("alpha")
         gain = (_worth(F.col("gl"), F.col("hl"), lam, alpha) + _worth(gr, hr, lam, alpha) - _worth(F.col("ga"), F.col("ha"), lam, alpha)) / 2 - gamma
         fits = F.col("next").isNotNull() & (F.col("hl") >= least) & (hr >= least)
+        if self.s.random_splits:
+            cells = self._drawn(cells)
+            fits &= F.col("drawn")
         # rounded, so that gains that are equal but for the order of additions are equal
         order = F.struct(F.round(gain / self.unit, 12).alias("gain"), (-F.col("feature")).alias("f"), (-F.col("bin")).alias("b"))
         split = F.struct("feature", "bin", "gl", "hl", gain.alias("gain"))
         return cells.groupBy("model", "node").agg(F.min_by("ga", "feature").alias("g"), F.min_by("ha", "feature").alias("h"), F.max_by(split, F.when(fits, order)).alias("split")).collect()
 
+    def _drawn(self, cells: DataFrame) -> DataFrame:
+        """``cells`` with ``drawn``: whether a split is the drawn one of its node and feature."""
+        seed = [str(m.settings.seed) for m in self.models]
+        seed = F.lit(seed[0]) if len(set(seed)) == 1 else F.get(F.array(*map(F.lit, seed)), F.col("model"))
+        u = lambda what: hash_uniform(self.s.seed, seed, F.col("node"), F.col("feature"), F.lit(what))
+        edges = F.expr("array(" + ", ".join("array(" + ", ".join(f"{float(v)!r}D" for v in e) + ")" if len(e) else "array(0D)" for e in self.edges) + ")")
+        # rows beyond the last edge count as that edge, missing ones as the first
+        value = F.get(F.get(edges, F.col("feature")), F.least(F.greatest(F.col("bin") - 1, F.lit(0)), F.size(F.get(edges, F.col("feature"))) - 1))
+        whole = Window.partitionBy("model", "node", "feature")
+        cells = cells.withColumn("value", value).withColumns({"low": F.min("value").over(whole), "high": F.max("value").over(whole)})
+        under = F.col("value") <= F.col("low") + u("at") * (F.col("high") - F.col("low"))
+        cells = cells.withColumn("below", F.max(F.when(under, F.col("bin"))).over(whole))
+        return cells.withColumn("drawn", (F.col("bin") == F.col("below")) & (u("in") < self._each("split_features")))
+
     def _columns(self, m: int, number: int) -> list[int]:
         n = len(self.features)
         own = self.models[m].settings
@@ -434,12 +462,13 @@ class Booster:
                 some = {m: nodes[low : low + step] for m, nodes in open_nodes.items() if nodes[low : low + step]}
                 found += self._best(self._sums(growing, some, columns, number, level == 0 and low == 0))
             following: dict[int, list[int]] = {}
+            at = {(m, growing[m].place[node]): node for m, nodes in open_nodes.items() for node in nodes}
             for r in sorted(found, key=lambda r: (r["model"], r["node"])):
-                m, node, best = r["model"], r["node"], r["split"]
-                if node < 0:
+                m, best = r["model"], r["split"]
+                if r["node"] < 0:
                     watched[m] = r["g"], r["h"]
                     continue
-                tree, s = growing[m], self.models[m].settings
+                tree, s, node = growing[m], self.models[m].settings, at[m, r["node"]]
                 if level == 0:
                     tree.value[node] = leaf_value(r["g"], r["h"], s)
                 if best is None or best["gain"] <= 1e-12 * self.unit:
@@ -584,3 +613,49 @@ def out_of_fold_boosting(table: DataFrame, features: Sequence[str], k: int, sett
     for p in pieces[1:]:
         out = out.unionByName(p)
     return out, table.sparkSession.createDataFrame(told, "model string, iter int, fold int, rounds int, loss double, kept int")
+
+
+def random_forest(table: DataFrame, features: Sequence[str], k: int, trees: int, settings: Settings, seeds: Sequence[int] | None = None, label: Column | None = None) -> list[Boosted]:
+    """Extremely randomised trees of the folds 0 .. k - 1 (one boosted model of one round each), ``MODELS`` at a time."""
+    rows = table.withColumns({"part": F.col("fold"), "key": F.xxhash64("row_id"), "y": F.col("y") if label is None else label})
+    seeds = list(seeds or range(settings.seed, settings.seed + trees))
+    per_tree = [replace(settings, num_rounds=1, eta=1.0, patience=0, random_splits=True, seed=s) for s in seeds]
+    out = []
+    for low in range(0, trees, max(1, MODELS // k)):
+        some = per_tree[low : low + max(1, MODELS // k)]
+        out.append(Booster(rows, features, [Model(f, s) for s in some for f in range(k)]).fit())
+    return out
+
+
+def out_of_fold_forest(table: DataFrame, features: Sequence[str], k: int, trees: int, settings: Settings, iters: int = 1, model: str = "extratree") -> DataFrame:
+    """(model, iter, fold, row_id, y, pred): the mean over a fold's trees."""
+    pieces = []
+    for i in range(iters):
+        rows = table.filter(F.col("iter") == i)
+        parts = random_forest(rows, features, k, trees, settings)
+        for f in range(k):
+            own = rows.filter(F.col("fold") == f).select("iter", "fold", "row_id", "y", *features)
+            pieces.append(mean_of(own, [(p, m) for p in parts for m in range(f, len(p.trees), k)]).select(F.lit(model).alias("model"), "iter", "fold", "row_id", "y", "pred"))
+    out = pieces[0]
+    for p in pieces[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def mean_of(df: DataFrame, members: Sequence[tuple[Boosted, int]]) -> DataFrame:
+    """``df`` with ``pred``, the mean prediction of models that share bins."""
+    first = members[0][0]
+    features, edges, shape = first.features, first.edges, OBJECTIVES[first.settings.objective][1]
+    small = [(p.base[m], p.trees[m][: p.kept[m]]) for p, m in members]
+    x = F.array(*[F.col(f).cast("double") for f in features])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = cut(batch.column("_x"), edges)
+            pred = np.zeros(len(bins))
+            for base, trees in small:
+                pred += shape(base + sum((t.values(bins) for t in trees), np.zeros(len(bins))))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred / len(small), pa.float64())], names=[*batch.schema.names[:-1], "pred"])
+
+    schema = T.StructType([*df.schema.fields, T.StructField("pred", T.DoubleType())])
+    return df.withColumn("_x", x).mapInArrow(work, schema)

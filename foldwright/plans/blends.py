@@ -388,7 +388,7 @@ def rank_pair_count(spark, folder):
     return pair_count(tables.sales(spark, folder), "stratum")
 
 
-TRIALS = 40
+TRIALS = 100
 SPACE = {"alpha": LogUniform(1e8, 1e13), "rounds": whole(10, 500, 10), "rate": Uniform(0.01, 0.5, 0.01), "weights": Choice(("uniform", "distance"))}
 
 
@@ -431,6 +431,36 @@ def search_best(spark, folder):
     return tidy(best.select("trial", F.round(F.log("alpha"), 6).alias("log_alpha"), F.round("score", 4).alias("score")))
 
 
+STARTED = 20
+
+
+def _proposal_sql() -> str:
+    """The densities written out: 24 candidates of three parameters against the first trials."""
+    high, low = "ln(1e13::DOUBLE)", "ln(1e8::DOUBLE)"
+    names = {
+        "alpha": (f"exp({low} + u * ({high} - {low}))", "ln(value)", "ln(alpha)", f"({high} - {low})"),
+        "rounds": ("round((10 + u * 490) / 10) * 10.0::DOUBLE", "value", "rounds", "490.0::DOUBLE"),
+        "rate": ("round((0.01 + u * 0.49) / 0.01::DOUBLE) * 0.01::DOUBLE", "value", "rate", "0.49::DOUBLE"),
+    }
+    points = " UNION ALL ".join(f"SELECT good, '{n}' AS name, {p} AS p FROM ranked" for n, (_, _, p, _) in names.items())
+    draws = " UNION ALL ".join(
+        f"SELECT '{n}' AS name, id, value, {x} AS x, {span} AS span FROM (SELECT id, {v} AS value FROM (SELECT id, {Q.uniform(711, str(STARTED + 1), 'id', chr(39) + n + chr(39))} AS u FROM range(24) t(id)))"
+        for n, (v, x, _, span) in names.items()
+    )
+    return f"""WITH {SEARCH}, ranked AS (SELECT *, row_number() OVER (ORDER BY score, trial) <= greatest(ceil(0.25 * count(*) OVER ()), 1) AS good FROM cv WHERE trial <= {STARTED}),
+    points AS ({points}), counts AS (SELECT name, good, count(*) AS n FROM points GROUP BY ALL), draws AS ({draws}),
+    near AS (SELECT d.name, d.id, d.value, p.good, exp(-0.5 * pow((x - p) / (span / sqrt(n)), 2)) AS k FROM points p JOIN counts c USING (name, good) JOIN draws d USING (name)),
+    dense AS (SELECT name, id, value, round(avg(k) FILTER (good) / (coalesce(avg(k) FILTER (NOT good), 0) + 1e-9), 9) AS r FROM near GROUP BY ALL)
+    SELECT name, round(ln(arg_max(value, (r, -id))), 6) + 0.0 AS log_value FROM dense GROUP BY name"""
+
+
+@query("search_proposal", _proposal_sql())
+def search_proposal(spark, folder):
+    """What trial 21 tries, given the errors of trials 1 to 20."""
+    scored = _searched(spark, folder).filter(F.col("trial") <= STARTED)
+    return tidy(SE.propose(scored, SPACE, STARTED + 1).select("name", F.log("value").alias("log_value")))
+
+
 # Stored best parameters of seven models.
 STORED_PARAMS = {
     "standard_logistic": {"C": 0.002656192975371555},

@@ -18,6 +18,18 @@ from foldwright.sources import tables
 ITEM_FEATURES = ["l_quantity", "l_discount", "l_tax", "p_size"]
 
 
+def random_cte(t: int, d: int, features: list[str], s: B.Settings) -> list[str]:
+    """The drawn split of every node and feature."""
+    if not s.random_splits:
+        return []
+    draw = lambda what: Q.uniform(s.seed, f"'{s.seed}'", "node", "f", f"'{what}'")
+    return [
+        f"""d{t}_{d} AS (SELECT * FROM (SELECT *, max(v) FILTER (v <= low + {draw("at")} * (high - low)) OVER n AS drawn FROM (
+    SELECT *, min(v) OVER (PARTITION BY m, node, f) AS low, max(v) OVER (PARTITION BY m, node, f) AS high FROM c{t}_{d})
+  WINDOW n AS (PARTITION BY m, node, f)) WHERE v = drawn AND {draw("in")} < {s.split_features}::DOUBLE)"""
+    ]
+
+
 def boosted_sql(rows: str, features: list[str], rounds: int, depth: int, s: B.Settings, weight: str = "1.0::DOUBLE", unit: str = "1.0::DOUBLE") -> str:
     """CTEs up to ``r{rounds}`` (m, fold, row_id, y, w, features, p): margins of every row under each fold's model.
 
@@ -41,8 +53,9 @@ def boosted_sql(rows: str, features: list[str], rounds: int, depth: int, s: B.Se
   FROM a{t}_{d}, range({len(features)}) q(f) WHERE fold <> m AND node >= {2**d} GROUP BY ALL)""",
                 f"""c{t}_{d} AS (SELECT m, node, f, v, sum(g) OVER k AS gl, sum(h) OVER k AS hl, sum(g) OVER n AS ga, sum(h) OVER n AS ha, lead(v) OVER k AS further
   FROM s{t}_{d} WINDOW k AS (PARTITION BY m, node, f ORDER BY v), n AS (PARTITION BY m, node, f))""",
+                *random_cte(t, d, features, s),
                 f"""b{t}_{d} AS (SELECT m AS bm, node AS bn, arg_max(f, (round(gain / unit, 12), -f, -v)) AS bf, arg_max(v, (round(gain / unit, 12), -f, -v)) AS bv FROM (
-  SELECT *, ({worth("gl", "hl")} + {worth("(ga - gl)", "(ha - hl)")} - {worth("ga", "ha")}) / 2 - {s.gamma}::DOUBLE AS gain FROM c{t}_{d}, u)
+  SELECT *, ({worth("gl", "hl")} + {worth("(ga - gl)", "(ha - hl)")} - {worth("ga", "ha")}) / 2 - {s.gamma}::DOUBLE AS gain FROM {"d" if s.random_splits else "c"}{t}_{d}, u)
   WHERE further IS NOT NULL AND hl >= {s.min_child_weight} AND ha - hl >= {s.min_child_weight} AND gain > 1e-12 * unit GROUP BY ALL)""",
                 f"""a{t}_{d + 1} AS (SELECT a.* REPLACE (CASE WHEN bf IS NULL THEN node WHEN CASE bf {value} END <= bv THEN 2 * node ELSE 2 * node + 1 END AS node)
   FROM a{t}_{d} a LEFT JOIN b{t}_{d} ON bm = m AND bn = node)""",
@@ -81,6 +94,20 @@ item_query("boosted_rounds", B.Settings(num_rounds=4, max_depth=2, eta=0.5, lam=
 item_query("boosted_rmspe", B.Settings(num_rounds=2, max_depth=2, eta=0.5, lam=1.0, objective="rmspe"), "CASE WHEN y <> 0 THEN pow(top / y, 2) ELSE 0 END")
 
 
+def _extra_query(name: str, settings: B.Settings):
+    sql = f"""{ITEM_ROWS},
+{boosted_sql("folded", ITEM_FEATURES, 1, settings.max_depth, settings, unit=VARIANCE)}
+SELECT CAST(fold AS BIGINT) AS fold, row_id, round(p, 2) AS pred FROM r1 WHERE m = fold"""
+
+    @query(name, sql)
+    def build(spark, folder):
+        """One tree whose thresholds are drawn, with the draws written out in SQL."""
+        out = B.out_of_fold_forest(_items(spark, folder), ITEM_FEATURES, Q.K, 1, settings)
+        return tidy(out.select("fold", "row_id", "pred"), 2)
+
+
+_extra_query("random_split_tree", B.Settings(num_rounds=1, max_depth=2, eta=1.0, lam=0.0, seed=19, random_splits=True, split_features=0.8))
+
 WATCHED = B.Settings(num_rounds=8, max_depth=1, eta=1.0, lam=1.0, metric="rmse", patience=2)
 
 

@@ -42,12 +42,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.option("header", True).csv(path)
 
 
-def read_external_predictions(spark: SparkSession, path: str, model: str, iteration: int, fold: int) -> DataFrame:
+def read_external_predictions(spark: SparkSession, path: str, model: str, iteration: int, fold: int, key: str = "bigint") -> DataFrame:
     """Predictions of an outside program as rows of the prediction table.
 
     The file holds ``row_id,pred``: lines of a distributed text file have no position to rely on.
     """
-    frame = spark.read.schema("row_id bigint, pred double").csv(path)
+    frame = spark.read.schema(f"row_id {key}, pred double").csv(path)
     return frame.select(
         F.lit(model).alias("model"), F.lit(iteration).alias("iter"), F.lit(fold).alias("fold"), "row_id", "pred"
     )
@@ -144,8 +144,8 @@ def submission_path(root: str, name: str, version: int) -> str:
     return f"{root}/{name}@{version}"
 
 
-def read_submission(spark: SparkSession, root: str, name: str, version: int, id_col: str = "Id", target: str = "Sales") -> DataFrame:
-    schema = T.StructType([T.StructField(id_col, T.LongType()), T.StructField(target, T.DoubleType())])
+def read_submission(spark: SparkSession, root: str, name: str, version: int, id_col: str = "Id", target: str = "Sales", key: str = "bigint") -> DataFrame:
+    schema = T.StructType([T.StructField(id_col, T.StringType() if key == "string" else T.LongType()), T.StructField(target, T.DoubleType())])
     return read_csv(spark, submission_path(root, name, version), schema)
 
 

@@ -16,6 +16,8 @@ from foldwright.operators import heavy as H
 from foldwright.operators import learners as LE
 from foldwright.operators import neighbours as N
 from foldwright.operators import pairs as P
+from foldwright.operators import search as SE
+from foldwright.sources import files
 
 SETTINGS = B.Settings(num_rounds=5, max_depth=3, eta=0.4, lam=0.7, alpha=0.3, gamma=0.05, min_child_weight=2, max_bin=16)
 
@@ -240,3 +242,37 @@ def test_frequent_values(spark, counters):
     assert told["one"] == 1 and told["few"] == 3 and told["many"] == (None if counters == 4 else 4001)
     dropped = {r.column_name: r["drop"] for r in H.drop_summary(frame, frame.columns, max_same=2500, counters=counters).collect()}
     assert dropped == {"many": 0, "few": 0, "mixed": 0, "one": 1}
+
+
+def test_trials_are_halved_and_survivors_stored(spark, data, tmp_path):
+    x, y = data
+    rows = table(spark, x, y).withColumns({"row_id": F.col("key"), "iter": F.lit(0), "fold": (F.col("key") % 3).cast("int")}).drop("part", "key")
+    trials = spark.createDataFrame([(t, 0.02 * t, float(1 + t % 3)) for t in range(1, 9)], "trial long, learning_rate double, max_depth double")
+    told = SE.race_trials(rows, "gbf", ["a", "b", "c"], trials, "rmse", 3, (1, 2), 4, str(tmp_path / "trials")).collect()
+    assert sorted(r.rounds for r in told) == [1] * 4 + [2] * 2 + [4] * 2
+    kept = {r.model for r in told if r.survived}
+    stored = files.read_predictions(spark, str(tmp_path / "trials"))
+    assert {(r.model, r["count"]) for r in stored.groupBy("model").count().collect()} == {(m, 300) for m in kept}
+    for r in told:
+        if r.survived:
+            t = int(r.model.split("@")[1])
+            alone = LE.out_of_fold(rows, "gbf", ["a", "b", "c"], 3, 1, {"n_estimators": 4, "learning_rate": 0.02 * t, "max_depth": 1 + t % 3})
+            both = alone.join(stored.filter(F.col("model") == r.model).withColumnRenamed("pred", "other"), ["fold", "row_id"])
+            assert both.filter(F.abs(F.col("pred") - F.col("other")) > 1e-9).count() == 0
+
+
+def test_random_forest_averages_its_trees(spark, data, monkeypatch):
+    x, y = data
+    rows = table(spark, x, y).withColumns({"row_id": F.col("key"), "iter": F.lit(0), "fold": (F.col("key") % 2).cast("int")}).drop("part", "key")
+    monkeypatch.setattr(B, "MODELS", 4)
+    s = B.Settings(max_depth=4, lam=0.0, split_features=0.7, random_splits=True)
+    parts = B.random_forest(rows, ["a", "b", "c"], 2, 5, s)
+    assert [len(p.trees) for p in parts] == [4, 4, 2]
+    shapes = {tuple(t[0].feature) + tuple(t[0].bin) for p in parts for t in p.trees}
+    assert len(shapes) > 5  # draws differ
+    made = {r.row_id: r.pred for r in B.out_of_fold_forest(rows, ["a", "b", "c"], 2, 5, s).collect()}
+    bins = B.cut(__import__("pyarrow").array(x.tolist()), parts[0].edges)
+    for f in (0, 1):
+        own = np.mean([p.margins(bins, m) for p in parts for m in range(f, len(p.trees), 2)], axis=0)
+        assert all(made[i] == pytest.approx(own[i]) for i in range(f, len(y), 2))
+    assert np.corrcoef([made[i] for i in range(len(y))], y)[0, 1] > 0.6
