@@ -35,6 +35,8 @@ from foldwright.session import materialise
 
 #: Cells (node, feature, bin) of which a task holds sums at once; wider levels take several passes.
 MAX_CELLS = 1 << 21
+#: Levels of a tree: its places are numbered by doubling.
+MAX_DEPTH = 30
 #: Trees that passes evaluate on top of the written running predictions.
 FRESH = 20
 #: Trees of a forest that grow side by side: a row has a running prediction for each.
@@ -297,6 +299,8 @@ class Booster:
             raise ValueError(f"models that grow together share {SHARED}")
         if self.s.max_bin > 254:
             raise ValueError("max_bin is 254 at most")
+        if any(m.settings.max_depth > MAX_DEPTH for m in models):
+            raise ValueError(f"max_depth is {MAX_DEPTH} at most")
         # bins of folds are shared; a single model's come from the rows that it learns from
         self.edges = bin_edges(table.filter("part < 0") if len(models) == 1 else table, features, self.s.max_bin)
         self.width = max((len(e) for e in self.edges), default=0) + 2
