@@ -99,6 +99,39 @@ def test_models_of_folds_grow_alone(spark, data, monkeypatch):
         assert losses[m, 3] == pytest.approx(np.sqrt(np.mean((made.margins(own, m) - y[part == m]) ** 2)))
 
 
+def test_binned_table_is_spread_over_the_cores(spark, data):
+    """A table in one piece is binned into pieces for all cores, in blocks of rows, and read back as it was."""
+    x, y = data
+    made = B.Booster(table(spark, x, y).coalesce(1), ["a", "b", "c"], [B.Model(0, SETTINGS)])
+    assert made.rows.rdd.getNumPartitions() >= min(8, spark.sparkContext.defaultParallelism)
+    blocks = made.rows.toArrow().to_batches()
+    read = [rows for batch in blocks for rows in made._reader()(batch)]
+    assert sum(b.num_rows for b in blocks) < len(y) / 4
+    part, label, w, key, bins, margin = (np.concatenate(c) for c in zip(*read, strict=True))
+    at = np.argsort(key)
+    assert (key[at] == np.arange(len(y))).all() and (part == -1).all() and (w == 1).all()
+    assert (label[at] == y).all() and np.allclose(margin, y.mean())
+    assert (bins[at] == B.cut(__import__("pyarrow").array(x.tolist()), made.edges)).all()
+
+
+@pytest.mark.parametrize("depth", [3, 9])
+def test_trees_of_any_size_place_rows(depth):
+    """Node by node or row by row, a row ends in the leaf that its values lead to."""
+    draw = np.random.default_rng(depth)
+    bins = draw.integers(0, 40, (500, 3)).astype(np.uint8)
+    tree = B.Tree(depth=depth)
+    ends = [tree.add(0.0)]
+    for _ in range(depth):
+        ends = [c for n in ends for c in tree.split(n, int(draw.integers(3)), int(draw.integers(40)), 0.0, 0.0)]
+    want = []
+    for row in bins:
+        n = 0
+        while tree.feature[n] >= 0:
+            n = tree.left[n] if row[tree.feature[n]] <= tree.bin[n] else tree.right[n]
+        want.append(n)
+    assert tree.leaves(bins).tolist() == want
+
+
 def test_awkward_features_and_draws(spark, data):
     x, y = data
     rows = table(spark, x, y).withColumns({"a": F.when(F.col("a") > 3, F.col("a")), "b": F.when(F.col("b") == 2, F.lit(float("nan"))).otherwise(F.col("b")), "c": F.lit(None).cast("double")})
