@@ -114,3 +114,21 @@ def test_weights_uniform(spark):
     targets = spark.createDataFrame([(10, 4.0), (11, 8.0), (12, 8.0)], "row_id bigint, y double")
     assert N.knn_regress(near, targets, weights="uniform").first()["pred"] == pytest.approx(20 / 3)
     assert N.knn_classify(near, targets, weights="uniform").first()["pred"] == 8.0
+
+
+def test_searches_ask_for_every_twentieth_row_against_all(spark, tmp_path):
+    """Registered searches ask for the rows whose id is divisible by 20; their neighbours come from all rows."""
+    from foldwright.plans.registry import QUERIES
+
+    draw = np.random.default_rng(8)
+    rows = [(i, [float(v) for v in draw.normal(0, 1, 64)], i % 3) for i in range(200)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    points = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    for name, k in (("self_knn", 5), ("knn_join", 50)):
+        found = QUERIES[name](spark, str(tmp_path)).collect()
+        assert {r["query_id"] for r in found} == set(range(0, 200, 20)) and len(found) == 10 * k
+        assert len({r["ref_id"] for r in found if r["ref_id"] % 20}) > 10
+    near = {(r["query_id"], r["neighbour_rank"]): r["ref_id"] for r in QUERIES["self_knn"](spark, str(tmp_path)).collect()}
+    for i in range(0, 200, 20):
+        order = np.argsort(((points - points[i]) ** 2).sum(axis=1), kind="stable")[:5]
+        assert [near[i, n] for n in range(1, 6)] == order.tolist()
