@@ -323,7 +323,8 @@ def library_listing(spark, folder):
     path = scratch_path(spark, "predictions")
     files.append_predictions(keyed.withColumn("model", model_key(F.col("feat"), F.col("model"), F.col("trial"))), path)
     key = F.col("model")
-    index = files.read_predictions(spark, path).select(
+    # keys are taken apart once per part, not once per prediction; a plain distinct would be merged with the listing's own
+    index = files.read_predictions(spark, path).groupBy("model", "iter", "fold").count().filter("count > 0").select(
         model_key_feat(key).alias("feat"), model_key_model(key).alias("model"), model_key_trial(key).alias("trial"), "iter", "fold"
     )
     return tidy(L.library_listing(index, Q.K, Q.ITERS))

@@ -3,9 +3,12 @@
 import contextlib
 import io
 
+from pyspark.sql import functions as F
+
 from foldwright.operators import library as L
 from foldwright.operators import ranking
-from foldwright.plans import blends, learned
+from foldwright.plans import baseline, blends, learned, metric
+from foldwright.sources import files
 
 
 def plan_of(df):
@@ -44,3 +47,24 @@ def test_rank_average_deals_rows_before_it_groups(spark, data):
     plan = plan_of(blends.rank_average(spark, data))
     top = plan[: plan.index("Exchange hashpartitioning")]
     assert top.count("Aggregate") == 2 and "REPARTITION_BY_COL" in plan
+
+
+def test_predictions_are_written_where_they_are(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(files, "OPEN_PARTS", 2)  # the other parts are sorted
+    rows = [(f"m{n % 5}", 0, n % 3, n, float(n)) for n in range(60)]
+    first = spark.createDataFrame(rows, files.PREDICTION_SCHEMA)
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None)
+    files.append_predictions(first, f"{tmp_path}/p")
+    files.append_predictions(first.filter("model = 'm1' AND fold = 2").withColumn("pred", -F.col("pred")), f"{tmp_path}/p")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters", None) == before
+    found = {tuple(r) for r in files.read_predictions(spark, f"{tmp_path}/p").select("model", "iter", "fold", "row_id", "pred").collect()}
+    assert found == {(m, i, f, n, -p if (m, f) == ("m1", 2) else p) for m, i, f, n, p in rows}
+
+
+def test_keys_of_a_listing_are_taken_apart_once_per_part(spark, data):
+    plan = plan_of(metric.library_listing(spark, data))
+    assert plan.rindex("regexp_extract") < plan.rindex("HashAggregate")
+
+
+def test_folds_of_items_hold_what_is_fitted(spark, data):
+    assert set(baseline._item_folds(spark, data).columns) == {"row_id", "y", "stratum", "l_quantity", "iter", "fold"}
