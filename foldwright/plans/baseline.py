@@ -60,7 +60,8 @@ def _item_line(slope: str) -> str:
 
 
 def _item_folds(spark, folder):
-    return FO.store_folds(FO.stratified_folds(tables.items(spark, folder), "stratum", Q.K, 1))
+    rows = tables.items(spark, folder).select("row_id", "y", "stratum", "l_quantity")  # what is fitted here; the rest would be moved in vain
+    return FO.store_folds(FO.stratified_folds(rows, "stratum", Q.K, 1))
 
 
 def _fitted(spark, folder, learner: str, params: dict | None = None):
