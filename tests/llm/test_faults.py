@@ -3,6 +3,7 @@
 import hashlib
 import random
 import time
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -124,3 +125,32 @@ def test_candidates_beside_many_findings():
     for short in ("pwd: hunter2x", "pwd: 'correcthorse'", "key = letters", "x=abcdef"):
         assert [short[s:e] for s, e, _ in secrets.candidates(short, [])], short
     assert not secrets.candidates("plain words without any value, 12345 too short", [])
+
+
+@pytest.mark.parametrize("bucket", [256, 1 << 20])
+def test_secrets_are_learned_from_every_candidate(spark, monkeypatch, bucket):
+    """More candidates of either label than the 1,000 that were once sampled; all teach or set the threshold."""
+    draw = random.Random(4)
+    key = lambda: "".join(draw.choice("0123456789abcdef") for _ in range(32))
+    texts = [f"the key {key()} was used" for _ in range(1500)] + [f"order {draw.randint(10**9, 10**10 - 1)} was paid" for _ in range(2500)]
+    docs = spark.createDataFrame([(k % 7 or None, t) for k, t in enumerate(texts + texts[:900])], "doc_id long, text string").repartition(3)
+    seen, learned, settle = Counter(), secrets.learned, secrets.CharNet.settle
+
+    def spy_learned(windows, net, times, counts):
+        seen["taught"] += windows.count()
+        return learned(windows, net, times, counts)
+
+    def spy_settle(net, logit, labels, counts, *more):
+        seen["held"] += counts.sum()
+        return settle(net, logit, labels, counts, *more)
+
+    monkeypatch.setattr(secrets, "BUCKET", bucket)
+    monkeypatch.setattr(secrets, "learned", spy_learned)
+    monkeypatch.setattr(secrets.CharNet, "settle", spy_settle)
+    net = secrets.train(docs)
+    assert seen["taught"] + seen["held"] == 4000 and seen["held"] > 1000
+    codes = [np.array([secrets.window(t, *secrets.candidates(t, [])[0][:2]) for t in part]) for part in (texts[:1500], texts[1500:])]
+    assert (net.score(codes[0]) >= net.threshold).mean() >= secrets.RECALL - 0.01
+    assert (net.score(codes[1]) >= net.threshold).mean() < 0.05
+    again = secrets.train(docs.repartition(5))
+    assert again.threshold == net.threshold and all((again.p[k] == net.p[k]).all() for k in net.p)
