@@ -17,6 +17,7 @@ are not read; very long texts are scanned whole.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left
 from itertools import accumulate
@@ -193,7 +194,7 @@ def _codes(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 
 def learned(windows: DataFrame, net: CharNet, times: int, counts: tuple[int, int]) -> CharNet:
-    """The average, weighted by windows, of what ``net`` becomes in each bucket of ``windows`` (codes, secret, bucket).
+    """The average, weighted by windows, of what ``net`` becomes in each bucket of ``windows`` (codes, secret, draw, bucket).
 
     Parameters are added up as whole numbers, so the result does not depend on the order.
     """
@@ -201,7 +202,7 @@ def learned(windows: DataFrame, net: CharNet, times: int, counts: tuple[int, int
     ends = np.cumsum([net.p[k].size for k in names])[:-1]
 
     def learn(table: pa.Table) -> pa.Table:
-        table = table.sort_by("codes")
+        table = table.sort_by([("secret", "descending"), ("draw", "ascending"), ("codes", "ascending")])
         own = CharNet()
         own.p = {k: v.copy() for k, v in net.p.items()}
         own.fit(_codes(table["codes"]), table["secret"].to_numpy(), times, counts=counts)
@@ -221,11 +222,11 @@ def train(docs: DataFrame) -> CharNet | None:
 
     def label(ids: list, texts: list) -> dict:
         rows = [(text, c) for text in texts for c in candidates(text, base_spans(text))]
-        return {"codes": [window(t, c[0], c[1]).astype(np.uint8).tobytes() for t, c in rows], "secret": [c[2] for _, c in rows]}
+        codes = [window(t, c[0], c[1]).astype(np.uint8).tobytes() for t, c in rows]
+        return {"codes": codes, "secret": [c[2] for _, c in rows], "held": [hashlib.blake2b(c, digest_size=1).digest()[0] % 3 == 0 for c in codes]}
 
-    found = map_text(docs, label, "codes binary, secret boolean").distinct()
-    found = found.withColumn("draw", F.xxhash64("codes")).withColumn("held", F.pmod("draw", F.lit(3)) == 0)
-    found = materialise(found.withColumn("draw", F.expr("draw div 3")), "secret-windows")
+    found = map_text(docs, label, "codes binary, secret boolean, held boolean").distinct()
+    found = materialise(found.withColumn("draw", F.xxhash64("codes")), "secret-windows")
     sizes = {(r["held"], r["secret"]): r["n"] for r in found.groupBy("held", "secret").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 4:
         return None
@@ -236,7 +237,7 @@ def train(docs: DataFrame) -> CharNet | None:
     taught = found.where(~F.col("held")).withColumn("bucket", F.pmod(F.expr(f"draw div {rounds}"), F.lit(buckets)))
     net = CharNet()
     for k in range(rounds):
-        net = learned(taught.where(F.pmod("draw", F.lit(rounds)) == k).select("codes", "secret", "bucket"), net, times, counts)
+        net = learned(taught.where(F.pmod("draw", F.lit(rounds)) == k).select("codes", "secret", "draw", "bucket"), net, times, counts)
 
     def measure(batches):
         for batch in batches:
