@@ -59,8 +59,8 @@ def _item_line(slope: str) -> str:
     FROM folded f JOIN m ON f.iter = m.iter AND f.fold = m.fold"""
 
 
-def _item_folds(spark, folder):
-    rows = tables.items(spark, folder).select("row_id", "y", "stratum", "l_quantity")  # what is fitted here; the rest would be moved in vain
+def _item_folds(spark, folder, features=("l_quantity",)):
+    rows = tables.items(spark, folder).select("row_id", "y", "stratum", *features)  # what is fitted here; the rest would be moved in vain
     return FO.store_folds(FO.stratified_folds(rows, "stratum", Q.K, 1))
 
 

@@ -67,8 +67,8 @@ def boosted_sql(rows: str, features: list[str], rounds: int, depth: int, s: B.Se
     return ",\n".join(parts)
 
 
-def _items(spark, folder):
-    return _item_folds(spark, folder)
+def _items(spark, folder, features=ITEM_FEATURES):
+    return _item_folds(spark, folder, features)
 
 
 ITEM_ROWS = f"WITH {Q.ITEMS}, {Q.stratified('items', iters=1)}"
@@ -181,7 +181,8 @@ SELECT CAST(f.fold AS BIGINT) AS fold, row_id, round(b + {" + ".join(f"w{a} * f.
 @query("linear_booster_rounds", _linear_sql())
 def linear_booster_rounds(spark, folder):
     """Four rounds of coordinate updates on two features, all folds from one aggregation."""
-    out = LE.out_of_fold(_items(spark, folder), "xgb_linear", ["l_quantity", "p_size"], Q.K, 1, LINEAR)
+    names = ["l_quantity", "p_size"]
+    out = LE.out_of_fold(_items(spark, folder, names), "xgb_linear", names, Q.K, 1, LINEAR)
     return tidy(out.select("fold", "row_id", "pred"), 2)
 
 

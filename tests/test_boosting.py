@@ -309,3 +309,15 @@ def test_random_forest_averages_its_trees(spark, data, monkeypatch):
         own = np.mean([p.margins(bins, m) for p in parts for m in range(f, len(p.trees), 2)], axis=0)
         assert all(made[i] == pytest.approx(own[i]) for i in range(f, len(y), 2))
     assert np.corrcoef([made[i] for i in range(len(y))], y)[0, 1] > 0.6
+
+
+def test_folds_of_order_lines_hold_the_features_that_are_fitted(spark, tmp_path):
+    from foldwright.plans import boosted
+    from foldwright.plans.registry import QUERIES
+
+    lines = [(o, o % 4, o % 2, n, 100.0 * o + n, "AN"[o % 2], 1.0 + n, 0.01 * n, 0.02) for o in range(20) for n in range(3)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_extendedprice double, l_returnflag string, l_quantity double, l_discount double, l_tax double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(p, p + 1, 9.5 * p) for p in range(4)], "p_partkey long, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    assert {"row_id", "y", "fold", *boosted.ITEM_FEATURES} <= set(boosted._items(spark, str(tmp_path)).columns)
+    assert QUERIES["boosted_stump"](spark, str(tmp_path)).count() == 60
+    assert QUERIES["linear_booster_rounds"](spark, str(tmp_path)).count() == 60
