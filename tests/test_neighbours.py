@@ -116,19 +116,44 @@ def test_weights_uniform(spark):
     assert N.knn_classify(near, targets, weights="uniform").first()["pred"] == 8.0
 
 
-def test_searches_ask_for_every_twentieth_row_against_all(spark, tmp_path):
-    """Registered searches ask for the rows whose id is divisible by 20; their neighbours come from all rows."""
+def test_searches_ask_for_every_row_against_all(spark, tmp_path):
+    """Registered searches ask for every row; their neighbours come from all rows."""
     from foldwright.plans.registry import QUERIES
 
     draw = np.random.default_rng(8)
     rows = [(i, [float(v) for v in draw.normal(0, 1, 64)], i % 3) for i in range(200)]
     spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     points = np.array([v for _, v, _ in rows], np.float32).astype(float)
-    for name, k in (("self_knn", 5), ("knn_join", 50)):
+    for name, k in (("self_knn", 5), ("knn_join", 50), ("knn_join_scanned", 50), ("knn_join_blocked", 50)):
         found = QUERIES[name](spark, str(tmp_path)).collect()
-        assert {r["query_id"] for r in found} == set(range(0, 200, 20)) and len(found) == 10 * k
+        assert {r["query_id"] for r in found} == set(range(200)) and len(found) == 200 * k
         assert len({r["ref_id"] for r in found if r["ref_id"] % 20}) > 10
     near = {(r["query_id"], r["neighbour_rank"]): r["ref_id"] for r in QUERIES["self_knn"](spark, str(tmp_path)).collect()}
-    for i in range(0, 200, 20):
+    for i in range(200):
         order = np.argsort(((points - points[i]) ** 2).sum(axis=1), kind="stable")[:5]
         assert [near[i, n] for n in range(1, 6)] == order.tolist()
+    for name in ("knn_regress", "knn_classify", "knn_target_features"):
+        assert {r["query_id"] for r in QUERIES[name](spark, str(tmp_path)).collect()} == set(range(200))
+    assert sum(r["n_queries"] for r in QUERIES["knn_recall_measured"](spark, str(tmp_path)).collect()) == 200
+
+
+def test_scan_of_any_number_of_queries_stores_k_rows_each(df, points, monkeypatch):
+    """Without a limit all queries go by scan, and of what the tasks find k rows per query are written."""
+    stored = []
+    monkeypatch.setattr(N, "materialise", lambda rows, label, *a: stored.append((label, rows.count())) or rows)
+    found = N.knn_join(df.withColumnRenamed("row_id", "query_id"), df.withColumnRenamed("row_id", "ref_id"), 4, block_rows=1, scanned=None, query_rows=500)
+    assert found.count() == 4 * len(points)
+    assert sum(n for label, n in stored if label == "knn-scanned") == 4 * len(points)
+
+
+def test_crowded_cells_are_scanned(spark, monkeypatch):
+    """Where cells rule nothing out, references are not sent to the chunks; the result is the same."""
+    rng = np.random.default_rng(11)
+    rows = [(i, [float(v) for v in p]) for i, p in enumerate(rng.normal(0, 1, (400, 24)))]
+    df = spark.createDataFrame(rows, "id bigint, vector array<double>")
+    q, r = df.withColumnRenamed("id", "query_id"), df.withColumnRenamed("id", "ref_id")
+    want = sorted(N.knn_join(q, r, 3, block_rows=40, chunk_rows=50, scanned=0).collect())
+    scans = []
+    scan = N._join_by_scan
+    monkeypatch.setattr(N, "_join_by_scan", lambda *a: scans.append(1) or scan(*a))
+    assert sorted(N.knn_join(q, r, 3, block_rows=40, chunk_rows=50, scanned=10).collect()) == want and scans
