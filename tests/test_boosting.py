@@ -321,3 +321,18 @@ def test_folds_of_order_lines_hold_the_features_that_are_fitted(spark, tmp_path)
     assert {"row_id", "y", "fold", *boosted.ITEM_FEATURES} <= set(boosted._items(spark, str(tmp_path)).columns)
     assert QUERIES["boosted_stump"](spark, str(tmp_path)).count() == 60
     assert QUERIES["linear_booster_rounds"](spark, str(tmp_path)).count() == 60
+
+
+def test_margins_are_written_only_when_they_are_refreshed(spark, data, monkeypatch):
+    """A race of many models stores bins and labels, not a number per row and model; so does a forest, once for all its trees."""
+    x, y = data
+    rows = table(spark, x, y, np.arange(len(y)) % 2)
+    made = B.Booster(rows, ["a", "b", "c"], [B.Model(m % 2, B.replace(SETTINGS, seed=m)) for m in range(40)])
+    assert made.rows.agg(F.sum(F.length("margin")), F.sum(F.length("bins"))).first() == (0, 3 * len(y))
+    made._refresh()
+    assert made.rows.agg(F.sum(F.length("margin"))).first()[0] == 8 * 40 * len(y)
+    stored, own = [], B.Booster._stored
+    monkeypatch.setattr(B.Booster, "_stored", lambda *a: stored.append(1) or own(*a))
+    monkeypatch.setattr(B, "MODELS", 4)
+    folds = rows.withColumns({"row_id": F.col("key"), "iter": F.lit(0), "fold": F.col("part")}).drop("part", "key")
+    assert len(B.random_forest(folds, ["a", "b", "c"], 2, 6, B.Settings(max_depth=2, lam=0.0, random_splits=True))) == 3 and len(stored) == 1
