@@ -336,3 +336,10 @@ def test_margins_are_written_only_when_they_are_refreshed(spark, data, monkeypat
     monkeypatch.setattr(B, "MODELS", 4)
     folds = rows.withColumns({"row_id": F.col("key"), "iter": F.lit(0), "fold": F.col("part")}).drop("part", "key")
     assert len(B.random_forest(folds, ["a", "b", "c"], 2, 6, B.Settings(max_depth=2, lam=0.0, random_splits=True))) == 3 and len(stored) == 1
+
+
+def test_one_shot_chain_grows_as_many_and_as_deep_trees_as_the_original():
+    from foldwright.plans import learned
+
+    s = LE.BOOSTED["xgb_tree"].settings(learned.ONE_SHOT)
+    assert (s.num_rounds, s.max_depth, s.patience, s.eta, s.min_child_weight) == (1100, 22, 100, 0.015, 3) and s.max_depth <= B.MAX_DEPTH
